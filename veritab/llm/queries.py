@@ -1,9 +1,10 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from veritab.llm import tokens
+from veritab.llm import quality_rules, tokens
 
 QUERIES = {
     "op4_token_counts": tokens.op4_token_counts,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
