@@ -1,9 +1,10 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from veritab.llm import quality_rules, tokens
+from veritab.llm import near_duplicates, quality_rules, tokens
 
 QUERIES = {
     "op4_token_counts": tokens.op4_token_counts,
+    "op5_near_duplicates": near_duplicates.op5_near_duplicates,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
