@@ -23,9 +23,11 @@ from veritab.llm.common import bounded_batches, documents, own_columns, rows_of
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks remembered by a worker; beyond it those merged so far are forgotten, and merged again when met.
-MEMORY = 400_000
+MEMORY = 1_000_000
 #: Longest chunk, in bytes, that is remembered.
 REMEMBERED = 64
+#: A chunk of letters and then these is two pre-tokens.
+POINTS = b".,;:!?"
 #: From here on composed and decomposed spellings exist, which lower-casing first could mix up.
 COMPOSING = re.compile("[^\x00-˿]")
 
@@ -72,6 +74,11 @@ def _as_bytes(token: str) -> bytes | None:
     return bytes(letters[c] for c in token) if all(c in letters for c in token) else None
 
 
+def _letters(body: bytes) -> bool:
+    text = body.decode()
+    return text.isalpha() and not COMPOSING.search(text)
+
+
 class Encoder:
     """Encodes whole texts of one worker; ids are kept as packed little-endian unsigned 32-bit numbers."""
 
@@ -80,10 +87,10 @@ class Encoder:
         self.whole = {text: number.to_bytes(4, "little") for text, number in prove_whole(self.tokenizer).items()}
         self.known = dict(self.whole)
 
-    def _merge(self, missing: set[bytes]) -> dict[bytes, bytes]:
+    def _merge(self, order: list[bytes]) -> dict[bytes, bytes]:
         import numpy as np
 
-        out, order = {}, list(missing)
+        out = {}
         for at in range(0, len(order), 20_000):
             part = order[at : at + 20_000]
             got = self.tokenizer.encode([x.decode() for x in part], is_pretokenized=True, add_special_tokens=False)
@@ -98,37 +105,51 @@ class Encoder:
 
     def packed(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
-        chunked = []
+        get, parts, missing = self.known.get, [], {}
         for text in texts:
             data = text.encode()
             if "<|" not in text and not COMPOSING.search(text):
                 data = data.lower()  # ASCII only, as the normaliser does later anyway
-            chunked.append(data.split())
-        missing: set[bytes] = set()
-        for chunks in chunked:
-            missing.update(chunks)
-        missing.difference_update(self.known)
-        once: dict[bytes, bytes] = {}
-        if missing:
-            special = {x for x in missing if b"<|" in x}
-            once = {x: self._alone(x) for x in special}
-            merged = self._merge(missing - special)
-            if len(self.known) + len(merged) > MEMORY + len(self.whole):
-                # what this batch still needs of the old entries is looked up before they go
-                once |= {x: self.known[x] for chunks in chunked for x in chunks if x in self.known and x not in self.whole}
-                self.known = dict(self.whole)
-            for chunk, ids in merged.items():
-                if len(chunk) <= REMEMBERED:
-                    self.known[chunk] = ids
-                else:
-                    once[chunk] = ids
-        known = self.known
-        for chunks in chunked:
-            if once:
-                get = once.get
-                yield b"".join([get(x) if x in once else known[x] for x in chunks])
+            chunks = data.split()
+            own = list(map(get, chunks))
+            if None in own:
+                gaps = [i for i, x in enumerate(own) if x is None]
+                for i in gaps:
+                    missing[chunks[i]] = None
+                parts.append((own, gaps, [chunks[i] for i in gaps]))
+            else:
+                parts.append((own, (), ()))
+        self._resolve(missing)
+        for own, gaps, chunks in parts:
+            for i, chunk in zip(gaps, chunks, strict=True):
+                own[i] = missing[chunk]
+            yield b"".join(own)
+
+    def _resolve(self, missing: dict[bytes, bytes | None]) -> None:
+        """Fill in the ids of chunks that aren't known, and remember them."""
+        known, tails, bodies = self.known, {}, {}
+        for chunk in missing:
+            if b"<|" in chunk:
+                missing[chunk] = self._alone(chunk)
+            elif chunk[-1] in POINTS and (body := chunk.rstrip(POINTS)) and body[-1] > 64 and _letters(body):
+                tails[chunk] = (body, chunk[len(body) :])
+                bodies.update(dict.fromkeys(tails[chunk]))
             else:
-                yield b"".join([known[x] for x in chunks])
+                bodies[chunk] = None
+        for body in bodies:
+            bodies[body] = known.get(body)
+        bodies |= self._merge([x for x, ids in bodies.items() if ids is None])
+        for chunk in missing:
+            if chunk in tails:
+                body, tail = tails[chunk]
+                missing[chunk] = bodies[body] + bodies[tail]
+            elif missing[chunk] is None:
+                missing[chunk] = bodies[chunk]
+        if len(known) + len(missing) + len(bodies) > MEMORY + len(self.whole):
+            known.clear()
+            known.update(self.whole)
+        known.update((x, ids) for x, ids in bodies.items() if len(x) <= REMEMBERED)
+        known.update((x, ids) for x, ids in missing.items() if len(x) <= REMEMBERED)
 
     def _alone(self, chunk: bytes) -> bytes:
         import numpy as np
