@@ -7,13 +7,12 @@
    within the sketch it is a certain bound). Ordering all values by how many sketches hold them,
    rare ones first, the first shared value lies within the first (size - m + 1) values of both,
    so only those enter the inverted lists, and common passages mostly don't.
-3. Each list proposes its smallest member with each other member. Union sketches estimate the
+3. Each list proposes one leading member with each other member. Union sketches estimate the
    similarity and drop hopeless pairs; the rest are verified on their full shingle sets.
-4. Links join classes to components. Lists whose members ended in different components propose
-   what is left: short lists all pairs across components; long lists compare everything outside
-   their largest component with the list, block by block, passing on only what the estimate
-   lets through. So no link between different texts is lost to a list's length, and pairs within
-   a large group of near copies are never listed.
+4. Links join classes to components. Where other members of a list ended in different components,
+   what lies outside the largest of them is compared with the list's members on full sets, block
+   by block. So no link between different texts is lost to a list's length, and pairs are never
+   listed: not within a large group of near copies, nor outside it.
 """
 
 from __future__ import annotations
@@ -33,9 +32,8 @@ K = 64
 PERCENT = 75
 #: Chance that a pair at the threshold shares fewer sketch values than m.
 MISS = 1e-9
-#: Lists up to this length propose all pairs that are left; longer ones go block by block.
-SHORT = 64
-BLOCK = 256
+#: Members of a block, when lists are compared block by block.
+BLOCK = 128
 #: Bits of the filter of documents whose texts are needed for verification: 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
 
@@ -81,13 +79,17 @@ def sketches(df: DataFrame, k: int = K) -> DataFrame:
 
 
 def inverted_lists(classes: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(value, rep): the members of each inverted list; values of one sketch alone are left out."""
+    """(value, rep, score): the members of each inverted list; values of one sketch alone are left out.
+
+    score is high for sketches of values that many have, as an original has that others were copied from.
+    """
     m = F.element_at(F.array(*[F.lit(int(x)) for x in least_shared(k, percent)]), (F.least(F.col("n"), F.lit(40 * k)) + 1).cast("int"))
     held = classes.select("rep", (F.size("sketch") - m + 1).alias("first"), F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     often = held.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     per = held.join(often, "value").groupBy("rep").agg(F.first("first").alias("first"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"))
     left = F.col("first") - (F.col("size") - F.size("vs"))  # values of df 1 come first
-    return per.where(left > 0).select("rep", F.explode(F.slice("vs", 1, left)).alias("v")).select(F.col("v.value").alias("value"), "rep")
+    score = F.aggregate("vs", F.lit(0).cast("long"), lambda a, v: a + v["df"])
+    return per.where(left > 0).select("rep", score.alias("score"), F.explode(F.slice("vs", 1, left)).alias("v")).select(F.col("v.value").alias("value"), "rep", "score")
 
 
 def _estimate(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, k: int, percent: int, least: np.ndarray) -> int:
@@ -174,42 +176,50 @@ def verified(pairs: DataFrame, df: DataFrame, percent: int = PERCENT) -> DataFra
     return pairs.where("sure").select("a", "b").union(found)
 
 
-def remaining_pairs(lists: DataFrame, labels: DataFrame, classes: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(a, b): pairs across components of lists that hold several."""
-    of = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", F.coalesce("label", "rep").alias("label"))
-    counts = of.groupBy("value", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = counts.groupBy("value").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    of = stored(of.join(mixed.select("value", "n", "main"), "value"), "mixed-lists")
-    short = of.where(F.col("n") <= SHORT)
-    x, y = short.select("value", F.col("rep").alias("a"), F.col("label").alias("l_a")), short.select("value", F.col("rep").alias("b"), F.col("label").alias("l_b"))
-    return x.join(y, "value").where("a < b and l_a <> l_b").select("a", "b").union(_blocked(of.where(F.col("n") > SHORT), classes, k, percent))
-
+def remaining_links(lists: DataFrame, leaders: DataFrame, labels: DataFrame, df: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): links across components between members of a list neither of which led it.
 
-def _blocked(of: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    least = least_shared(k, percent)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep", "value"), blocks).cast("int")
-    # everything in a list meets everything outside its main component, each block of one with each block of the other
-    rest = of.where("label <> main").select("value", "rep", "label", own.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.lit(True).alias("rest"))
-    touched = rest.select("value", "i").distinct()
-    all_ = of.select("value", "rep", "label", own.alias("j")).join(touched, "value").select("value", "rep", "label", "i", "j", F.lit(False).alias("rest"))
-    rows = rest.unionByName(all_).join(classes.select("rep", F.col("n").alias("size"), "sketch"), "rep")
+    Lists whose largest component is the same one make up a family. What a family has outside that
+    component is compared with all of it on full sets, block by block. Each block passes on one link
+    for two components at most.
+    """
+    of = lists.join(leaders.withColumnRenamed("a", "leader"), "value").where("rep <> leader")
+    of = of.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", F.coalesce("label", "rep").alias("label"))
+    of = stored(of, "list-members")
+    counts = of.groupBy("value", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = counts.groupBy("value").agg(F.max(F.struct("n", "label"))["label"].alias("family"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    members = stored(of.join(mixed.select("value", "family"), "value").select("family", "rep", "label").distinct(), "families")
+    if members.isEmpty():
+        return members.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("all_blocks"), F.ceil(F.count_if(F.col("label") != F.col("family")) / BLOCK).cast("int").alias("rest_blocks"))
+    rest = F.col("label") != F.col("family")
+    own = lambda n: F.pmod(F.xxhash64("rep", "family"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = members.join(sizes, "family")
+    as_all = rows.withColumn("j", own(F.col("all_blocks"))).withColumn("i", each("rest_blocks")).withColumn("rest", rest & (F.col("all_blocks") == 1))
+    as_rest = rows.where(rest & (F.col("all_blocks") > 1)).withColumn("i", own(F.col("rest_blocks"))).withColumn("j", each("all_blocks")).withColumn("rest", F.lit(True))
+    rows = as_all.unionByName(as_rest).select("family", "i", "j", "rest", "rep", "label")
+    texts = stored(needed_texts(df, members.select(F.col("rep").alias("a"), F.col("rep").alias("b"))), "texts")
+    rows = rows.join(texts.withColumnRenamed("id", "rep"), "rep")
 
     def compare(table):
         import pyarrow as pa
 
-        n, rest = table["size"].to_pylist(), table["rest"].to_pylist()
-        reps, labels = table["rep"].to_pylist(), table["label"].to_pylist()
-        sk = [np.asarray(s, np.int64).view(np.uint64) for s in table["sketch"].to_pylist()]
-        a, b = [], []
-        for p in (p for p, r in enumerate(rest) if r):
-            for q in (q for q, r in enumerate(rest) if not r):
-                if labels[p] != labels[q] and _estimate(sk[p], sk[q], n[p], n[q], k, percent, least):
-                    a.append(min(reps[p], reps[q]))
-                    b.append(max(reps[p], reps[q]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        rest = np.array(table["rest"].to_pylist(), bool)
+        reps, labels = np.array(table["rep"].to_pylist(), np.int64), np.array(table["label"].to_pylist(), np.int64)
+        sets = [S.shingles(t) for t in table["text"].to_pylist()]
+        # of a family of one block all rows are on both sides
+        left, right = np.flatnonzero(rest), np.arange(len(rest)) if rest.any() and len(set(reps.tolist())) == len(rest) else np.flatnonzero(~rest)
+        common = S.shared_matrix(sets, left, right)
+        n = np.array([len(x) for x in sets])
+        ok = (100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)) & (labels[left][:, None] != labels[right][None, :])
+        found = {}
+        for p, q in zip(*np.nonzero(ok), strict=True):
+            x, y = left[p], right[q]
+            found.setdefault((min(labels[x], labels[y]), max(labels[x], labels[y])), (min(reps[x], reps[y]), max(reps[x], reps[y])))
+        return pa.table({"a": pa.array([a for a, _ in found.values()], pa.int64()), "b": pa.array([b for _, b in found.values()], pa.int64())})
 
-    return rows.groupBy("value", "i", "j").applyInArrow(compare, "a long, b long")
+    return rows.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -225,14 +235,14 @@ def near_duplicates(df: DataFrame, k: int = K, percent: int = PERCENT) -> DataFr
         rows.where("doc_id is not null and same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes"
     )
     lists = stored(inverted_lists(classes, k, percent), "lists")
-    leaders = lists.groupBy("value").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("value", "a")
-    first = stored(lists.join(leaders, "value").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    leaders = lists.groupBy("value").agg(F.max(F.struct("score", (-F.col("rep")).alias("least"), "rep"))["rep"].alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("value", "a")
+    leaders = stored(leaders, "leaders")
+    first = lists.join(leaders, "value").where("rep <> a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
     links = stored(verified(stored(estimated(first, classes, k, percent), "estimated"), df, percent), "verified")
     labels = connected_components(links)
-    more = remaining_pairs(lists, labels, classes, k, percent).distinct().join(first, ["a", "b"], "left_anti")
-    more = stored(estimated(more, classes, k, percent), "estimated")
+    more = stored(remaining_links(lists, leaders, labels, df, percent), "more")
     if not more.isEmpty():
-        labels = connected_components(links.union(verified(more, df, percent)))
+        labels = connected_components(links.union(more))
     top = classes.select("same", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("label", "rep").alias("label"))
     found = rows.select("doc_id", "n_shingles", "same").join(top, "same", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))

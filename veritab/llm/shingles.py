@@ -80,3 +80,25 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
     return int((b[at] == a).sum())
+
+
+def shared_matrix(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """Intersection sizes of sets at places `left` with those at `right`, by products of 0/1 matrices of bounded width."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    sizes = [len(s) for s in sets]
+    if not out.size or not sum(sizes):
+        return out
+    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    dense = np.cumsum(counts > 1) - 1  # only what two sets have
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    of = counts[inverse] > 1
+    rows, columns_of = rows[of], dense[inverse[of]]
+    order = np.argsort(columns_of, kind="stable")
+    rows, columns_of = rows[order], columns_of[order]
+    total = int(dense[-1]) + 1
+    for at in range(0, total, columns):
+        a, b = np.searchsorted(columns_of, [at, at + columns])
+        part = np.zeros((len(sets), min(columns, total - at)), np.float32)
+        part[rows[a:b], columns_of[a:b] - at] = 1
+        out += (part[left] @ part[right].T).astype(np.int64)
+    return out
