@@ -23,7 +23,7 @@ from veritab.llm.common import bounded_batches, documents, own_columns, rows_of
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks remembered by a worker; beyond it those merged so far are forgotten, and merged again when met.
-MEMORY = 1_000_000
+MEMORY = 1_200_000
 #: Longest chunk, in bytes, that is remembered.
 REMEMBERED = 64
 #: A chunk of letters and then these is two pre-tokens.
@@ -75,10 +75,21 @@ def _as_bytes(token: str) -> bytes | None:
 
 
 def _letters(body: bytes) -> bool:
+    """Whether all are letters, none of them composing, so that they make one pre-token."""
+    if body.isalpha():  # of ASCII only
+        return True
     text = body.decode()
     return text.isalpha() and not COMPOSING.search(text)
 
 
+def _plain(chunk: bytes) -> bool:
+    """Letters that the normaliser leaves alone."""
+    if chunk.isalpha():
+        return chunk.islower()
+    text = chunk.decode()
+    return text.isalpha() and text == text.lower() and not COMPOSING.search(text)
+
+
 class Encoder:
     """Encodes whole texts of one worker; ids are kept as packed little-endian unsigned 32-bit numbers."""
 
@@ -86,23 +97,37 @@ class Encoder:
         self.tokenizer = load(path)
         self.whole = {text: number.to_bytes(4, "little") for text, number in prove_whole(self.tokenizer).items()}
         self.known = dict(self.whole)
+        # the vocabulary's merges without normaliser and patterns, for words that these would leave as they are
+        from tokenizers import Tokenizer, pre_tokenizers
 
-    def _merge(self, order: list[bytes]) -> dict[bytes, bytes]:
-        import numpy as np
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        letters = {b: c for c, b in _byte_letters().items()}
+        self.table = {b: letters[b] for b in range(256) if b != 32}
 
+    def _merge(self, order: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of chunks that need merging: plain words by merges alone, the rest with all the library does before."""
+        plain = [x for x in order if _plain(x)]
+        other = list(set(order).difference(plain)) if len(plain) < len(order) else []
         out = {}
-        for at in range(0, len(order), 20_000):
-            part = order[at : at + 20_000]
-            got = self.tokenizer.encode([x.decode() for x in part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(got.ids, dtype="<u4")
-            of = np.asarray(got.word_ids if len(ids) else [], dtype=np.int64)
-            ends = np.searchsorted(of, np.arange(len(part)), side="right")
-            packed, last = ids.tobytes(), 0
-            for chunk, end in zip(part, ends.tolist(), strict=True):
-                out[chunk] = packed[last * 4 : end * 4]
-                last = end
+        for part in (plain[at : at + 20_000] for at in range(0, len(plain), 20_000)):
+            joined = b" ".join(part).decode("latin-1").translate(self.table)
+            self._split(out, part, self.merges.encode(joined, add_special_tokens=False))
+        for part in (other[at : at + 20_000] for at in range(0, len(other), 20_000)):
+            self._split(out, part, self.tokenizer.encode([x.decode() for x in part], is_pretokenized=True, add_special_tokens=False))
         return out
 
+    @staticmethod
+    def _split(out: dict[bytes, bytes], part: list[bytes], got) -> None:
+        import numpy as np
+
+        ids = np.asarray(got.ids, dtype="<u4")
+        of = np.asarray(got.word_ids if len(ids) else [], dtype=np.int64)
+        packed, last = ids.tobytes(), 0
+        for chunk, end in zip(part, (np.searchsorted(of, np.arange(len(part)), side="right") * 4).tolist(), strict=True):
+            out[chunk] = packed[last:end]
+            last = end
+
     def packed(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
         get, parts, missing = self.known.get, [], {}
