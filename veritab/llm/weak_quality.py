@@ -24,7 +24,7 @@ from veritab.llm.weak_labels import LabelModel
 BITS = 14
 #: Documents that train the scorer.
 SAMPLE = 12_000
-KEEP = 0.5
+KEEP = 0.9
 #: Share of junk assumed before anything is known.
 PRIOR_GOOD = 0.8
 LABELLERS = ("length", "symbols", "variety", "lines", "capitals", "word length", "bars", "endings")
