@@ -38,13 +38,8 @@ def iso_date(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Text for comparison without case. Full case folding beyond ASCII needs Python and runs only there."""
-    return F.when(matches(c, r"[\x00-\x7F]*"), F.lower(c)).otherwise(_fold(c))
-
-
-@F.pandas_udf("string")
-def _fold(values):  # type: ignore[no-untyped-def]
-    return values.map(lambda v: None if v is None else v.casefold())
+    """Text for comparison without case: upper, then lower case, so that one letter's spellings meet (ß and SS, final sigma)."""
+    return F.replace(F.lower(F.upper(c)), F.lit("ς"), F.lit("σ"))
 
 
 def formula_safe(c: Column) -> Column:

@@ -89,7 +89,7 @@ def reviewed(rows: DataFrame, approve: Column, exclude: Column, split: Column |
 def content_duplicates(df: DataFrame, content: str, order: str, ident: str) -> DataFrame:
     """df with digest and duplicate_of: the earliest row of the same content, null on that row itself."""
     rows = df.withColumn("digest", F.sha2(F.coalesce(F.col(content).cast("binary"), F.lit("").cast("binary")), 256))
-    first = rows.groupBy(F.col("digest").alias("_d")).agg(F.min(F.struct(order, ident))[ident].alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    first = rows.groupBy(F.col("digest").alias("_d")).agg(F.min(F.struct(F.col(order).alias("o"), F.col(ident).alias("i")))["i"].alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     return rows.join(first, rows["digest"] == first["_d"], "left").select(*[rows[c] for c in rows.columns], F.when(F.col("_first") != F.col(ident), F.col("_first")).alias("duplicate_of"))
 
 
