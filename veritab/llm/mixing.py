@@ -157,9 +157,10 @@ def mixed(df: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
 
 def resampled(df: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """df with every document as often as its rate says."""
-    found = mixed(df, labels, targets).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    rows = df.join(found, df["doc_id"].eqNullSafe(found["doc_id"])).select(*[df[c] for c in df.columns], "_copies")
-    return rows.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy")
+    found = mixed(df, labels, targets).groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    rows = df.select(*[df[c].alias(f"own_{k}") for k, c in enumerate(df.columns)], df["doc_id"].alias("id")).join(found, F.col("id").eqNullSafe(F.col("doc_id"))).where("copies > 0")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rows.select(*[F.col(f"own_{k}").alias(c) for k, c in enumerate(df.columns)])
 
 
 def op9_mixing(spark, sf_dir):

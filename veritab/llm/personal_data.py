@@ -82,7 +82,7 @@ GAZETTEER = frozenset({"password", "passwd", "pwd", "pass", "token", "secret", "
 HARMLESS = frozenset({"version", "page", "section", "chapter", "license", "cc", "by-nc", "no", "table", "figure"})
 _CANDIDATE = re.compile(r"(?<![^\s\"'=:])[A-Za-z0-9_+/-]{6,}(?![^\s\"',;.:!?)])")
 _WORD = re.compile(r"[A-Za-z_-]+")
-_KEY = re.compile(r"(?:AKIA[0-9A-Z]{16}|[0-9a-f]{16,}|[A-Za-z]{2,4}[-_][0-9A-Za-z]{16,})\Z")
+_KEY = re.compile(r"(?:AKIA[0-9A-Z]{16}|(?=[a-f]*[0-9])[0-9a-f]{16,}|[A-Za-z]{2,4}[-_](?=[A-Za-z]*[0-9])[0-9A-Za-z]{16,})\Z")
 _NATURAL = re.compile(r"[A-Z]?[a-z-]+\Z|[A-Z-]+\Z")
 LABELERS = ("key pattern", "natural pattern", "word list", "assignment", "mixture", "length", "base pattern")
 
@@ -94,13 +94,13 @@ def candidate_votes(token: str, before: str, kind: str | None) -> list[int]:
     changes = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:], strict=False))
     near = words[-1:] and words[-1] in GAZETTEER or token[:4].lower() in GAZETTEER
     return [
-        1 if _KEY.match(token) and digits else -1,
-        0 if _NATURAL.match(token) else -1,
+        1 if _KEY.match(token) else 0,
+        0 if _NATURAL.match(token) and not _KEY.match(token) else 1,
         1 if near else 0 if words[-1:] and words[-1] in HARMLESS else -1,
-        1 if re.search(r"[=:]\s?[\"']?\Z", before) else -1,
+        1 if re.search(r"[=:]\s?[\"']?\Z", before) else 0,
         1 if changes >= 3 and letters else 0 if not digits else -1,
         1 if digits and len(token) >= 16 else 0 if len(token) < 10 else -1,
-        1 if kind else -1,
+        1 if kind else 0,
     ]
 
 
@@ -156,7 +156,7 @@ def scanned(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 def span_model(rows: DataFrame) -> tuple[Logistic, dict[int, float]]:
     """The span classifier, and the posterior of each vote pattern."""
     each = rows.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.votes", "s.at")
-    _, posterior, total = label_model(each, len(LABELERS), PRIOR)
+    _, posterior, total = label_model(each, len(LABELERS), PRIOR, (0.2, 0.8))
     sample = sample_by_hash(each.withColumn("_key", F.struct("doc_id", "start")), SAMPLE, total, "_key").select("doc_id", "start", "votes", "at").collect()
     sample.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["start"], r["votes"]))
     model = Logistic(1 << BITS)

@@ -232,6 +232,8 @@ class WarcReader(D.DataSourceReader):
         return [D.InputPartition(f) for f in archive_files(self.path)]
 
     def read(self, partition):
+        if partition is None:  # an archive without files
+            return
         system, path = file_system(partition.value)
         tests = [_test(f) for f in self.filters]
         want = "payload" in self.names or self.verify

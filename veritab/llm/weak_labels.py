@@ -12,60 +12,49 @@ ABSTAIN = -1
 
 
 class LabelModel:
-    """Two classes; each labeller votes 0, 1 or abstains, independently of the others given the class."""
+    """Two classes; labellers vote 0 or 1 independently of each other given the class; abstaining says nothing."""
 
-    def fit(self, patterns: np.ndarray, counts: np.ndarray, prior: float = 0.5, accuracy: float = 0.8, rounds: int = 100, tolerance: float = 1e-7) -> LabelModel:
+    def fit(self, patterns: np.ndarray, counts: np.ndarray, prior: float = 0.5, start: tuple[float, float] = (0.2, 0.8), rounds: int = 200, tolerance: float = 1e-8) -> LabelModel:
         """patterns: rows of votes; counts: how often each occurs.
 
-        Each labeller starts a little better than chance, which says which class is which; its rates stay
-        on that side (0.5 of its votes at least are held to be right, given balance), so that classes
+        start holds every labeller's chance of voting 1 for class 0 and class 1 at first; that says which
+        class is which. A labeller's chance for class 0 never rises above that for class 1, so the classes
         can't swap.
         """
-        votes = np.asarray(patterns).reshape(len(counts), -1)
+        votes = np.asarray(patterns)
         counts = np.asarray(counts, np.float64)
-        n = votes.shape[1]
+        spoken, ones = votes >= 0, votes == 1
         self.prior = prior
-        # chance of vote v (0, 1, abstain at the end) of each labeller for each class
-        self.rates = np.empty((2, n, 3))
-        for j in range(n):
-            spoken = counts[votes[:, j] >= 0].sum() / max(1.0, counts.sum())
-            for c in (0, 1):
-                self.rates[c, j] = [(accuracy if v == c else 1 - accuracy) * spoken for v in (0, 1)] + [1 - spoken]
-        self.rates = np.clip(self.rates, 1e-6, None)
-        last = -np.inf
+        self.ones = np.repeat(np.array([[start[0]], [start[1]]]), votes.shape[1], axis=1)  # by class and labeller
+        last = None
         for self.rounds in range(1, rounds + 1):
             p = self.posterior(votes)
             total = float((counts * self._log_total).sum())
             w = np.stack([counts * (1 - p), counts * p])
-            mass = w.sum(axis=1)
-            self.prior = float(np.clip(mass[1] / max(1e-9, mass.sum()), 0.01, 0.99))
-            for j in range(n):
-                for v, at in ((0, 0), (1, 1), (ABSTAIN, 2)):
-                    self.rates[:, j, at] = (w[:, votes[:, j] == v].sum(axis=1) + 0.5) / (mass + 1.5)
-            # a labeller's vote speaks for its class or for nothing
-            for v in (0, 1):
-                good, bad = self.rates[v, :, v], self.rates[1 - v, :, v]
-                swapped = bad > good
-                mean = (good + bad) / 2
-                self.rates[v, swapped, v] = self.rates[1 - v, swapped, v] = mean[swapped]
-            self.rates /= self.rates.sum(axis=2, keepdims=True)
-            if abs(total - last) <= tolerance * max(1.0, abs(last)):
+            self.prior = float(np.clip(w[1].sum() / max(1e-9, counts.sum()), 0.01, 0.99)) if counts.sum() else prior
+            # a vote of each kind is added where the labeller starts, so that rates stay off 0 and 1
+            self.ones = (w @ ones + 2 * np.array([[start[0]], [start[1]]])) / (w @ spoken + 2)
+            swapped = self.ones[0] > self.ones[1]
+            mean = self.ones.mean(axis=0)
+            self.ones[:, swapped] = mean[swapped]
+            if last is not None and abs(total - last) <= tolerance * max(1.0, abs(last)):
                 break
             last = total
         return self
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """The probability of class 1 for each row of votes."""
-        votes = np.asarray(votes).reshape(-1, self.rates.shape[1])
-        at = np.where(votes < 0, 2, votes)
-        log = np.log(self.rates)[:, np.arange(votes.shape[1]), at].sum(axis=2) + np.log([[1 - self.prior], [self.prior]])
-        top = log.max(axis=0)
+        """The probability of class 1 for each row of votes; the prior where all abstain."""
+        votes = np.asarray(votes).reshape(-1, self.ones.shape[1])
+        yes, no = (votes == 1).astype(float), (votes == 0).astype(float)
+        ones = np.clip(self.ones, 1e-6, 1 - 1e-6)
+        log = np.log(ones) @ yes.T + np.log(1 - ones) @ no.T + np.log([[1 - self.prior], [self.prior]])
+        top = log.max(axis=0, initial=-np.inf)
         self._log_total = top + np.log(np.exp(log - top).sum(axis=0))
         return np.exp(log[1] - self._log_total)
 
     def accuracies(self, votes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """How often each labeller, when it votes, agrees with the posterior."""
-        p, votes = self.posterior(votes), np.asarray(votes).reshape(len(counts), -1)
+        p, votes = self.posterior(votes), np.asarray(votes)
         right = np.where(votes == 1, p[:, None], 1 - p[:, None])
         w = np.asarray(counts, np.float64)[:, None] * (votes >= 0)
         return (right * w).sum(axis=0) / np.maximum(1e-9, w.sum(axis=0))

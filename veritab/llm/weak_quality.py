@@ -24,9 +24,12 @@ from veritab.llm.weak_labels import LabelModel
 BITS = 14
 #: Documents that train the scorer.
 SAMPLE = 12_000
-KEEP = 0.9
+KEEP = 0.5
 #: Share of junk assumed before anything is known.
 PRIOR_GOOD = 0.8
+#: Chances of a vote for natural text, for junk and natural text, from which the labellers start: each looks for one
+#: kind of junk, so most of them miss most junk, but natural text is rarely called junk.
+START = (0.6, 0.99)
 LABELLERS = ("length", "symbols", "variety", "lines", "capitals", "word length", "bars", "endings")
 _SYMBOLS = re.compile(rb"[#*$%&|<>!]")
 _CAPITALS, _SMALL = re.compile(rb"[A-Z]"), re.compile(rb"[a-z]")
@@ -59,7 +62,7 @@ def votes(s: dict[str, float]) -> list[int]:
     between = lambda bad, good: 0 if bad else 1 if good else -1
     n = s["words"]
     return [
-        between(n < 20, n >= 60),
+        between(n < 5, n >= 60),
         between(s["symbols"] > 0.3, s["symbols"] < 0.05),
         between(n >= 20 and s["variety"] < 0.3, n >= 20 and s["variety"] > 0.6),
         between(s["lines"] >= 4 and s["repeated lines"] > 0.3, s["lines"] >= 4 and s["repeated lines"] == 0),
@@ -121,12 +124,12 @@ def decode(codes: np.ndarray, labellers: int = len(LABELLERS)) -> np.ndarray:
     return np.asarray(codes, np.int64)[:, None] // 3 ** np.arange(labellers) % 3 - 1
 
 
-def label_model(rows: DataFrame, labellers: int = len(LABELLERS), prior: float = PRIOR_GOOD) -> tuple[LabelModel, dict[int, float], int]:
+def label_model(rows: DataFrame, labellers: int = len(LABELLERS), prior: float = PRIOR_GOOD, start: tuple[float, float] = START) -> tuple[LabelModel, dict[int, float], int]:
     """The model, the posterior of each pattern that occurs (at most 3 ** labellers), and the number of rows."""
     found = rows.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").collect()
     codes, n = np.array([r["votes"] for r in found], np.int64), np.array([r["n"] for r in found], np.float64)
     patterns = decode(codes, labellers)
-    model = LabelModel().fit(patterns, n, prior=prior)
+    model = LabelModel().fit(patterns, n, prior=prior, start=start)
     return model, dict(zip(codes.tolist(), model.posterior(patterns).tolist(), strict=True)) if len(codes) else {}, int(n.sum())
 
 
