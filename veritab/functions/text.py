@@ -38,8 +38,9 @@ def iso_date(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Text for comparison without case: upper, then lower case, so that one letter's spellings meet (ß and SS, final sigma)."""
-    return F.replace(F.lower(F.upper(c)), F.lit("ς"), F.lit("σ"))
+    """Text for comparison without case: upper, then lower case, so that one letter's spellings meet (final sigma, ß and SS)."""
+    whole = F.replace(F.replace(c, F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss"))
+    return F.replace(F.lower(F.upper(whole)), F.lit("ς"), F.lit("σ"))
 
 
 def formula_safe(c: Column) -> Column:
