@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -24,6 +25,17 @@ def test_eleven_names():
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_same_rows_as_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"create view {t} as select * from read_parquet('{SMALL}/{t}.parquet')")
+    expected = con.sql(ORACLE_SQL[name])
+    found = QUERIES[name](spark, SMALL)
+    assert sorted(found.columns) == sorted(expected.columns)
+    assert sorted(tuple(map(str, r)) for r in found.select(*expected.columns).collect()) == sorted(tuple(map(str, r)) for r in expected.fetchall())
+
+
 # ---- 1 --------------------------------------------------------------------------------------------
 
 
