@@ -622,3 +622,9 @@ def test_repeats_of_null_and_hot_keys(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 900, "hot").when(F.col("id") < 950, F.col("id").cast("string")).alias("k"))
     found = with_repeats(df, ["k"]).groupBy("k").agg(F.max("_repeated").alias("r")).collect()
     assert {r["k"]: r["r"] for r in found}["hot"] and {r["k"]: r["r"] for r in found}[None] and sum(r["r"] for r in found) == 2
+
+
+def test_replay_evaluation(spark):
+    found = incidents.evaluated(spark)
+    expected = {"total": 24, "passed": 24, "broken_deliveries": 21, "schema_detected": 12, "reconciliation_detected": 21, "healthy_deliveries": 3, "healthy_flagged": 0}
+    assert one(incidents.evaluation_summary(found)) == expected

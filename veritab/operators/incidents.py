@@ -55,3 +55,48 @@ class Replay:
                 raise SpecError("select payments that have issues")
             chosen = chosen.where(F.col("payment_id").isin(selected))
         return Replay(self.reference, snapshots.replaced(self.reference, self.delivered, chosen, ["payment_id"], list(LEDGER)), self.refunds, "candidate")
+
+
+def evaluated(spark, seeds: tuple[int, ...] = (3, 17, 91)) -> DataFrame:
+    """A row for each seed and set of faults: what was planted, what reconciliation found, what the contract's gate blocked.
+
+    All cases go through one plan, keyed by case and payment. `repaired` says that replacing what was found
+    leaves no issue and no difference in money.
+    """
+    from veritab.sources import synthetic
+
+    reference, delivered, truth = [], [], []
+    for seed in seeds:
+        payments, _ = synthetic.ledger(seed)
+        for mask in range(1 << len(snapshots.FAULTS)):
+            faults = [f for i, f in enumerate(snapshots.FAULTS) if mask & (1 << i)]
+            case = f"{seed}:{';'.join(faults)}"
+            planted = [f"PAY-{k:03d}" for k in range(1, 5)] * ("missing_region" in faults) + ["PAY-011"] * ("duplicate_retry" in faults) + ["PAY-012"] * ("amount_unit" in faults)
+            truth.append((case, seed, ";".join(faults), planted))
+            reference += [(case, *p) for p in payments]
+            delivered += [(case, *p) for p in synthetic.delivered(payments, faults)]
+    schema = "case string, record long, " + ", ".join(f"{c} string" for c in LEDGER)
+    left, right = spark.createDataFrame(reference, schema), spark.createDataFrame(delivered, schema)
+    keys, columns = ["case", "payment_id"], list(LEDGER)
+    found = snapshots.two_sided(left, right, keys, columns).withColumn("kind", snapshots._kind()).where("kind <> 'matched'")
+    checked = contracts.validated(right.select("record", "case", *columns), Contract((Field("case", "text"), *CONTRACT.fields), ("case", "payment_id"), 0, 1))
+    blocked = checked.rows.groupBy("case").agg(F.bool_or(F.size("reasons") > 0).alias("schema_blocked"))
+    fixed = snapshots.replaced(left.select("record", "case", *columns), right.select("record", "case", *columns), found.select(*keys), keys, ["case", *columns])
+    again = snapshots.two_sided(left, fixed, keys, columns).withColumn("kind", snapshots._kind()).groupBy("case").agg(F.count_if(F.col("kind") != "matched").alias("left_over"))
+    money = lambda df, n: df.groupBy("case").agg(F.sum(F.col("amount_cents").cast("bigint")).alias(n))
+    delta = money(left, "a").join(money(fixed, "b"), "case").select("case", (F.col("a") - F.col("b")).alias("delta_cents"))
+    issues = found.groupBy("case").agg(F.sort_array(F.collect_list("payment_id")).alias("detected"))  # at most twelve payments a case
+    cases = spark.createDataFrame(truth, "case string, seed int, faults string, planted array<string>")
+    rows = cases.join(issues, "case", "left").join(blocked, "case", "left").join(again, "case").join(delta, "case")
+    rows = rows.withColumns({"detected": F.coalesce("detected", F.array().cast("array<string>")), "schema_blocked": F.coalesce("schema_blocked", F.lit(False))})
+    rows = rows.withColumns({"reconciliation_blocked": (F.size("detected") > 0) | F.col("schema_blocked"), "repaired": (F.col("left_over") == 0) & (F.col("delta_cents") == 0)})
+    return rows.withColumn("passed", (F.col("detected") == F.sort_array("planted")) & F.col("repaired"))
+
+
+def evaluation_summary(cases: DataFrame) -> DataFrame:
+    """One row: cases passed, broken deliveries that the gate alone and reconciliation caught, healthy ones that were flagged."""
+    broken = F.col("faults") != ""
+    return cases.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if("passed").alias("passed"), F.count_if(broken).alias("broken_deliveries"), F.count_if(broken & F.col("schema_blocked")).alias("schema_detected"),
+        F.count_if(broken & F.col("reconciliation_blocked")).alias("reconciliation_detected"), F.count_if(~broken).alias("healthy_deliveries"), F.count_if(~broken & F.col("reconciliation_blocked")).alias("healthy_flagged"),
+    )
