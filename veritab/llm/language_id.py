@@ -18,7 +18,7 @@ from veritab.llm.common import bounded_batches, documents, own_columns, rows_of
 
 BITS = 12
 SIZES = (1, 2, 3)
-CENTROIDS = 4
+CENTROIDS = 6
 ROUNDS = 8
 #: Training documents a language gives to k-means, those with the smallest hashes of their ids.
 SAMPLE = 400
@@ -31,9 +31,14 @@ UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
 
+#: Bytes of letters stay; ASCII without letters, which says little of a language, becomes space, a run of which counts once.
+_TO_LETTERS = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
+
+
 def counts(text: str, bits: int = BITS) -> np.ndarray:
     """Hashed n-gram counts of a whole text, taken in stretches of bounded length."""
-    data = np.frombuffer(b" " + text.lower().encode("utf-8", "replace") + b" ", np.uint8)
+    data = _TO_LETTERS[np.frombuffer(b" " + text.lower().encode("utf-8", "replace") + b" ", np.uint8)]
+    data = data[np.concatenate([[True], (data[1:] != 32) | (data[:-1] != 32)])]
     out = np.zeros(1 << bits, np.float64)
     shift = np.uint32(32 - bits)
     for at in range(0, len(data), STRETCH):
