@@ -85,7 +85,8 @@ def inverted_lists(classes: DataFrame, k: int = K, percent: int = PERCENT) -> Da
     """
     m = F.element_at(F.array(*[F.lit(int(x)) for x in least_shared(k, percent)]), (F.least(F.col("n"), F.lit(40 * k)) + 1).cast("int"))
     held = classes.select("rep", (F.size("sketch") - m + 1).alias("first"), F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
-    often = held.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # written first, so that the join has two plain shuffles, of which adaptive execution can split what one value holds
+    often = stored(held.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequencies")
     per = held.join(often, "value").groupBy("rep").agg(F.first("first").alias("first"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"))
     left = F.col("first") - (F.col("size") - F.size("vs"))  # values of df 1 come first
     score = F.aggregate("vs", F.lit(0).cast("long"), lambda a, v: a + v["df"])
@@ -188,7 +189,7 @@ def remaining_links(lists: DataFrame, leaders: DataFrame, labels: DataFrame, df:
     of = stored(of, "list-members")
     counts = of.groupBy("value", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = counts.groupBy("value").agg(F.max(F.struct("n", "label"))["label"].alias("family"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    members = stored(of.join(mixed.select("value", "family"), "value").select("family", "rep", "label").distinct(), "families")
+    members = stored(of.join(stored(mixed.select("value", "family"), "mixed"), "value").select("family", "rep", "label").distinct(), "families")
     if members.isEmpty():
         return members.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("all_blocks"), F.ceil(F.count_if(F.col("label") != F.col("family")) / BLOCK).cast("int").alias("rest_blocks"))
