@@ -13,13 +13,18 @@ def trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE_SPACE))
 
 
+def _edge(c: Column, at: int) -> Column:
+    """Whether the character there is white space: a look-up, where trimming would compare every end with every code point."""
+    return F.substring(c, at, 1).isin(list(WHITE_SPACE))
+
+
 def blank(c: Column) -> Column:
     """Nothing but white space; a null is blank."""
-    return F.coalesce(trimmed(c) == "", F.lit(True))
+    return F.when(c.isNull() | (c == ""), True).when(_edge(c, 1), trimmed(c) == "").otherwise(False)
 
 
 def padded(c: Column) -> Column:
-    return F.coalesce(c != trimmed(c), F.lit(False))
+    return F.coalesce(_edge(c, 1) | _edge(c, -1), F.lit(False))
 
 
 def matches(c: Column, pattern: str) -> Column:
@@ -29,8 +34,7 @@ def matches(c: Column, pattern: str) -> Column:
 
 def date_of(c: Column) -> Column:
     """The date of a text YYYY-MM-DD in the years 1 to 9999, else null."""
-    parsed = F.when(matches(c, "[0-9]{4}-[0-9]{2}-[0-9]{2}"), c.try_cast("date"))
-    return F.when(F.year(parsed) >= 1, parsed)
+    return F.when(matches(c, "(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}"), c.try_cast("date"))
 
 
 def iso_date(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritab.functions.text import date_of, iso_date, padded, reasons
+from veritab.functions.text import date_of, padded, reasons
 from veritab.operators.keys import with_repeats
 
 ROLES = ("order_id", "team", "ordered_on", "due_on", "delivered_on")
@@ -21,16 +21,18 @@ def checked(df: DataFrame, as_of: str) -> DataFrame:
     """
     wide = F.col("width_ok") if "width_ok" in df.columns else F.lit(True)
     df = with_repeats(df, ["order_id"], "_repeated", F.col("order_id").isNotNull())
+    # parsed once, however many rules ask
+    df = df.withColumns({f"_day_{r}": date_of(F.col(r)) for r in ROLES if r.endswith("_on")})
     cell = lambda r: F.coalesce(F.col(r), F.lit(""))
     dirty = lambda r: padded(cell(r)) | ((cell(r) == "") if r != "delivered_on" else F.lit(False))
     found = []
     for r in ROLES:
         found.append((wide & dirty(r), f"{r}: blank or padded"))
         if r.endswith("_on"):
-            found.append((wide & ~dirty(r) & (cell(r) != "") & ~iso_date(cell(r)), f"{r}: not a date"))
+            found.append((wide & ~dirty(r) & (cell(r) != "") & F.col(f"_day_{r}").isNull(), f"{r}: not a date"))
     found.append((wide & F.col("_repeated"), "repeated order id"))
     first = F.when(~wide, F.array(F.lit("row width"))).otherwise(reasons(*found))
-    ordered, due, delivered, today = date_of(F.col("ordered_on")), date_of(F.col("due_on")), date_of(F.col("delivered_on")), F.lit(as_of).cast("date")
+    ordered, due, delivered, today = F.col("_day_ordered_on"), F.col("_day_due_on"), F.col("_day_delivered_on"), F.lit(as_of).cast("date")
     late = reasons(
         (due < ordered, "due before ordered"),
         (delivered < ordered, "delivered before ordered"),
@@ -49,7 +51,7 @@ def checked(df: DataFrame, as_of: str) -> DataFrame:
             "age_days": F.when(valid, F.datediff(F.coalesce(delivered, today), ordered)),
             "flagged": F.when(valid, late_days > 0),
         }
-    )
+    ).drop("_day_ordered_on", "_day_due_on", "_day_delivered_on")
 
 
 def valid(rows: DataFrame) -> DataFrame:
