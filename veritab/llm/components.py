@@ -20,7 +20,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("m")), "b").groupBy(F.col("a").alias("node")).agg(F.min("m").alias("m"))
-        low = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        # written, so that the next join has two plain shuffles: a component of very many nodes is one hot label
+        low = stored(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label")), "lower")
         jump = low.select(F.col("node").alias("label"), F.col("label").alias("of"))
         low = stored(low.join(jump, "label", "left").select("node", "old", F.least("label", "of").alias("label")), "labels")
         labels = low.select("node", "label")
