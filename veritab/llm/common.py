@@ -10,6 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritab.functions.workers import importable
+
 #: ASCII white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 NON_SPACE = r"[^\x20\x09-\x0D]"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -19,7 +21,8 @@ BATCH_ROWS = 2000
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, so that very long texts don't fill a Python worker."""
+    """Bound what one Arrow batch holds, so that very long texts don't fill a Python worker, which must find this package."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as D
 from pyspark.sql import functions as F
 
+from veritab.functions.workers import importable
 from veritab.llm.common import file_system, new_path, own_columns
 
 SCHEMA = "page_id long, record_id string, record_type string, uri string, date string, payload_digest string, payload_bytes long, refers_to long, payload binary"
@@ -329,6 +330,7 @@ class WarcDataSource(D.DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    importable(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
 
