@@ -459,6 +459,22 @@ def test_quality_rules_keep_clean_documents(spark, small, labels):
     assert found.where("quality = 1 and not kept").count() == 0
 
 
+def test_long_texts_without_common_words_are_rejected(spark, small, labels):
+    docs = small.select("doc_id", "text", "lang")
+    r = random.Random(4)
+    made = lambda: " ".join("".join(r.choice("etaoinsrlc") for _ in range(r.randint(3, 9))) for _ in range(120))
+    kana = lambda: " ".join("".join(r.choice("あいうえおかきくけこ") for _ in range(r.randint(3, 9))) for _ in range(120))
+    junk = spark.createDataFrame([(-1 - k, made(), "en") for k in range(5)], docs.schema)
+    other = spark.createDataFrame([(-11 - k, kana(), "ja") for k in range(5)], docs.schema)  # a language that the lists don't know
+    for more in (junk, junk.union(other)):
+        kept = {x["doc_id"] for x in quality_rules.kept_documents(docs.union(more)).collect()}
+        found = quality_rules.quality_rules(docs.union(more))
+        assert kept == {x["doc_id"] for x in found.where("kept").collect()}
+        assert not kept & set(range(-5, 0))
+        assert found.join(labels, "doc_id").where("not base_failed and quality = 1 and not kept").count() == 0
+    assert kept >= set(range(-15, -10))
+
+
 # ---- 9 --------------------------------------------------------------------------------------------
 
 
