@@ -510,6 +510,13 @@ def test_mixing_query(spark, labels):
     assert by["c"] > by["t"] and by["c"] > by["j"]
 
 
+def test_mixing_counts_tokens_as_the_encoder_does(spark, small, labels):
+    spaceless = spark.createDataFrame([(-1, "日本語の文章には空白がない。" * 50), (-2, "QUJDREVGR0g1Njc4" * 50)], "doc_id long, text string")
+    docs = small.select("doc_id", "text").union(spaceless)
+    n = {r["doc_id"]: r["n_tokens"] for r in mixing.mixed(docs, labels).collect()}
+    assert n == {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(docs).collect()} and min(n[-1], n[-2]) > 100
+
+
 def test_logistic_learns_soft_labels():
     rng = np.random.default_rng(0)
     rows = [(np.array([k % 4, 4 + int(rng.integers(4))]), np.ones(2)) for k in range(400)]

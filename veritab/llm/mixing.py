@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritab.llm import tokens
 from veritab.llm.common import bounded_batches, documents, own_columns, rows_of, stored
 from veritab.llm.linear import BITS, Logistic, sample_by_hash, word_features
 
@@ -62,7 +63,8 @@ def domain_classifier(df: DataFrame, labels: DataFrame) -> Logistic:
 
 
 def memberships(df: DataFrame, model: Logistic) -> DataFrame:
-    """(doc_id, n_tokens, p): words of each whole text and the posteriors of its domains."""
+    """(doc_id, n_tokens, p): tokens of each whole text, as op4_token_counts has them, and the posteriors of its domains."""
+    path = tokens.vocabulary_path()
     bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -70,10 +72,11 @@ def memberships(df: DataFrame, model: Logistic) -> DataFrame:
         import pyarrow as pa
 
         known: dict[bytes, int] = {}
+        encoder = tokens.encoder(path)
         for ids, texts in rows_of(batches, "doc_id", "text"):
             texts = [t or "" for t in texts]
             p = [shared.value.shares(*word_features(t, known)).tolist() for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(t.encode().split()) for t in texts], pa.int64()), pa.array(p, pa.list_(pa.float64()))], names=["doc_id", "n_tokens", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) >> 2 for x in encoder.packed(texts)], pa.int64()), pa.array(p, pa.list_(pa.float64()))], names=["doc_id", "n_tokens", "p"])
 
     return own_columns(df, "doc_id", "text").mapInArrow(judge, "doc_id long, n_tokens long, p array<double>")
 
@@ -109,9 +112,9 @@ def fitted(rows: DataFrame, targets: np.ndarray) -> list[np.ndarray]:
             total = np.zeros((2, n))
             for batch in batches:
                 if batch.num_rows:
-                    p, tokens = _matrix(batch.column(1)), batch.column(0).to_numpy()
+                    p, n_tokens = _matrix(batch.column(1)), batch.column(0).to_numpy()
                     rate, point = replay(p, list(so_far))
-                    total += np.stack([(rate * tokens) @ p, (point * tokens) @ p])
+                    total += np.stack([(rate * n_tokens) @ p, (point * n_tokens) @ p])
             yield pa.RecordBatch.from_arrays([pa.array(total.reshape(-1)[k : k + 1]) for k in range(2 * n)], names=[f"s{k}" for k in range(2 * n)])
 
         found = rows.select("n_tokens", "p").mapInArrow(sums, ", ".join(f"s{k} double" for k in range(2 * n))).agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(2 * n)]).first()
