@@ -253,6 +253,18 @@ def test_large_groups_and_chains(spark, monkeypatch, block):
     assert found == plain_components(rows)
 
 
+def test_repeated_rows_lose_no_links_of_a_family(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    long, short = [word() for _ in range(400)], [word() for _ in range(40)]
+    texts = {1: long, 2: [*long, "b"], 3: [*long, "c"], 4: short, 5: [*short, "d"]}
+    lists = spark.createDataFrame([(7, k, 0) for k in texts], "value long, rep long, score long")
+    leaders, labels = spark.createDataFrame([(7, 1)], "value long, a long"), spark.createDataFrame([(k, 1) for k in (1, 2, 3)], "node long, label long")
+    for again in ([], [2], [4, 5]):
+        df = spark.createDataFrame([(k, " ".join(texts[k])) for k in [*texts, *again]], "doc_id long, text string")
+        assert [tuple(x) for x in near_duplicates.remaining_links(lists, leaders, labels, df).collect()] == [(4, 5)]
+
+
 def test_bounds_and_estimates():
     least = near_duplicates.least_shared()
     assert [int(least[n]) for n in (1, 4, 20, 48)] == [1, 3, 15, 36] and (least[1:] >= 1).all()

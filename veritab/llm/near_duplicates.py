@@ -197,10 +197,11 @@ def remaining_links(lists: DataFrame, leaders: DataFrame, labels: DataFrame, df:
     own = lambda n: F.pmod(F.xxhash64("rep", "family"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rows = members.join(sizes, "family")
-    as_all = rows.withColumn("j", own(F.col("all_blocks"))).withColumn("i", each("rest_blocks")).withColumn("rest", rest & (F.col("all_blocks") == 1))
-    as_rest = rows.where(rest & (F.col("all_blocks") > 1)).withColumn("i", own(F.col("rest_blocks"))).withColumn("j", each("all_blocks")).withColumn("rest", F.lit(True))
-    rows = as_all.unionByName(as_rest).select("family", "i", "j", "rest", "rep", "label")
-    texts = stored(needed_texts(df, members.select(F.col("rep").alias("a"), F.col("rep").alias("b"))), "texts")
+    as_all = rows.withColumn("j", own(F.col("all_blocks"))).withColumn("i", each("rest_blocks")).withColumn("alone", F.col("all_blocks") == 1).withColumn("rest", rest & F.col("alone"))
+    as_rest = rows.where(rest & (F.col("all_blocks") > 1)).withColumn("i", own(F.col("rest_blocks"))).withColumn("j", each("all_blocks")).withColumn("alone", F.lit(False)).withColumn("rest", F.lit(True))
+    rows = as_all.unionByName(as_rest).select("family", "i", "j", "alone", "rest", "rep", "label")
+    # of repeated rows one stands for all
+    texts = stored(needed_texts(df, members.select(F.col("rep").alias("a"), F.col("rep").alias("b"))).groupBy("id").agg(F.min("text").alias("text")), "texts")
     rows = rows.join(texts.withColumnRenamed("id", "rep"), "rep")
 
     def compare(table):
@@ -210,7 +211,7 @@ def remaining_links(lists: DataFrame, leaders: DataFrame, labels: DataFrame, df:
         reps, labels = np.array(table["rep"].to_pylist(), np.int64), np.array(table["label"].to_pylist(), np.int64)
         sets = [S.shingles(t) for t in table["text"].to_pylist()]
         # of a family of one block all rows are on both sides
-        left, right = np.flatnonzero(rest), np.arange(len(rest)) if rest.any() and len(set(reps.tolist())) == len(rest) else np.flatnonzero(~rest)
+        left, right = np.flatnonzero(rest), np.arange(len(rest)) if table["alone"][0].as_py() else np.flatnonzero(~rest)
         common = S.shared_matrix(sets, left, right)
         n = np.array([len(x) for x in sets])
         ok = (100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)) & (labels[left][:, None] != labels[right][None, :])
