@@ -156,6 +156,23 @@ def test_credentials_are_added_and_words_are_not(spark):
     assert sum(n[k] for k in range(120)) >= 115 and sum(n[k] for k in range(120, 280)) == 0
 
 
+def test_credentials_in_brackets_with_padding_and_dots(spark):
+    r = random.Random(10)
+    of = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    every = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    aws, git = lambda: "AKIA" + of("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: "ghp_1" + of(every, 35)
+    padded, web = lambda: "7" + of(every, 20) + "==", lambda: ".".join("eyJ" * (k < 2) + "1" + of(every, 30) for k in range(3))
+    forms = [("see ({}) there", aws), ("see [{}], there", git), ("see `{}` there", aws), ("a,{},b", git), ("<key>{}</key>", aws), ("api_key={} x", padded), ("Bearer {}.", web), ("token: {}", web)]
+    rows = [(k, *(form.format(t := make()), t)) for k in range(160) for form, make in [forms[k % len(forms)]]]
+    rows += [(k, "an extraordinarylongword, (internationalization) of some.reasonably.long.words in version 2.0 <https://example.org>", "") for k in range(160, 320)]
+    for _, text, token in rows[:8]:
+        assert ("", text.index(token), text.index(token) + len(token)) in personal_data.candidates(text, [])
+    df = spark.createDataFrame(rows, "doc_id long, text string, token string")
+    left = {x["doc_id"]: x["token"] and x["token"] in x["text"] for x in personal_data.redact(df).collect()}
+    assert sum(left[k] for k in range(160)) <= 8
+    assert sum(x["n_added"] for x in personal_data.personal_spans(df.where("doc_id >= 160 or doc_id < 8")).where("doc_id >= 160").collect()) == 0
+
+
 def test_personal_data_query(spark, small, texts):
     planted = found = 0
     for r in personal_data.op3_personal_data(spark, SMALL).collect():

@@ -80,10 +80,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 #: Words that announce a credential, and words of ordinary numbers.
 GAZETTEER = frozenset({"password", "passwd", "pwd", "pass", "token", "secret", "key", "apikey", "api_key", "credential", "auth", "bearer", "akia", "ssn", "iban"})
 HARMLESS = frozenset({"version", "page", "section", "chapter", "license", "cc", "by-nc", "no", "table", "figure"})
-_CANDIDATE = re.compile(r"(?<![^\s\"'=:])[A-Za-z0-9_+/-]{6,}(?![^\s\"',;.:!?)])")
+# dots join the parts of web tokens, and = pads base64
+_CANDIDATE = re.compile(r"(?<![^\s\"'`=:&,;|()\[\]{}<>])[A-Za-z0-9_+/-]{6,}(?:\.[A-Za-z0-9_+/-]+)*={0,2}(?![^\s\"'`&,;|.:!?()\[\]{}<>])")
 _WORD = re.compile(r"[A-Za-z_-]+")
-_KEY = re.compile(r"(?:AKIA[0-9A-Z]{16}|(?=[a-f]*[0-9])[0-9a-f]{16,}|[A-Za-z]{2,4}[-_](?=[A-Za-z]*[0-9])[0-9A-Za-z]{16,})\Z")
-_NATURAL = re.compile(r"[A-Z]?[a-z-]+\Z|[A-Z-]+\Z")
+_KEY = re.compile(
+    r"(?:AKIA[0-9A-Z]{16}|(?=[a-f]*[0-9])[0-9a-f]{16,}|[A-Za-z]{2,4}[-_](?=[A-Za-z]*[0-9])[0-9A-Za-z]{16,}"
+    r"|eyJ[A-Za-z0-9_-]{5,}(?:\.[A-Za-z0-9_-]+){1,4}|(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{16,}={1,2})\Z"
+)
+_NATURAL = re.compile(r"(?:[A-Z]?[a-z-]+|[A-Z-]+)(?:\.(?:[A-Z]?[a-z-]+|[A-Z-]+))*\Z")
 LABELERS = ("key pattern", "natural pattern", "word list", "assignment", "mixture", "length", "base pattern")
 
 
@@ -97,7 +101,7 @@ def candidate_votes(token: str, before: str, kind: str | None) -> list[int]:
         1 if _KEY.match(token) else 0,
         0 if _NATURAL.match(token) and not _KEY.match(token) else 1,
         1 if near else 0 if words[-1:] and words[-1] in HARMLESS else -1,
-        1 if re.search(r"[=:]\s?[\"']?\Z", before) else 0,
+        1 if re.search(r"[=:]\s?[\"'`]?\Z", before) else 0,
         1 if changes >= 3 and letters else 0 if not digits else -1,
         1 if digits and len(token) >= 16 else 0 if len(token) < 10 else -1,
         1 if kind else 0,
