@@ -504,6 +504,14 @@ def test_long_texts_without_common_words_are_rejected(spark, small, labels):
     assert kept >= set(range(-15, -10))
 
 
+def test_every_language_has_references(spark):
+    plain = " ".join(f"{a}{b}" for a in ("stone", "river", "cloud", "meadow", "wind") for b in ("er", "ing", "ed", "ly", "s", "ful", "less", "y", "en", "al", "ous", "ish"))
+    digits = " ".join(str(10_000 + 37 * k) for k in range(40))
+    rows = [(k, plain, f"l{k:02}") for k in range(70)] + [(70, digits, "rare")]
+    found = {x["doc_id"]: x for x in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert found[70]["js_chars"] < 1e-6 and found[0]["js_chars"] < 1e-6 and found[70]["js_words"] < 1e-6
+
+
 # ---- 9 --------------------------------------------------------------------------------------------
 
 
@@ -567,6 +575,17 @@ def test_language_query(spark, small):
     assert np.mean([r["lang_pred"] == langs[r["doc_id"]] for r in out]) > 0.9
 
 
+def test_every_language_is_learned(spark):
+    r = random.Random(12)
+    rows = []
+    for k in range(210):
+        words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)]
+        rows += [(1000 * k + j, " ".join(r.choice(words) for _ in range(60)), f"l{k:03}") for j in range(3 if k < 200 else 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lang = {d: x for d, _, x in rows}
+    assert all(x["lang_pred"] == lang[x["doc_id"]] for x in language_id.identified(df, df).collect())
+
+
 def test_ngram_counts_in_stretches(monkeypatch):
     text = "Grüße aus Köln " * 300
     whole = language_id.counts(text)

@@ -22,8 +22,8 @@ CENTROIDS = 6
 ROUNDS = 8
 #: Training documents a language gives to k-means, those with the smallest hashes of their ids.
 SAMPLE = 400
-#: Languages that are learned: those with the most training documents.
-MAX_LANGUAGES = 200
+#: Documents of languages with no more than SAMPLE each that come to the driver at once.
+TOGETHER = 2000
 #: A document is rejected if its cosine to the nearest centroid is below the one that this share of the sample exceeds.
 REJECT_SHARE = 0.005
 STRETCH = 1 << 20
@@ -105,10 +105,10 @@ class Model:
         lettered = training.where(F.col("text").rlike(r"\p{L}"))
         df, n = document_frequencies(lettered)
         self.idf = np.log((1 + n) / (1 + df)) + 1
-        langs = [r["lang"] for r in lettered.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+        sizes = {r["lang"]: r["count"] for r in lettered.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
         found, names, self.floor = [], [], {}
-        for lang in langs:
-            vectors = weights(self._sample(lettered, lang), self.idf)
+        for lang, sample in self._samples(lettered, sizes):
+            vectors = weights(sample, self.idf)
             c = centroids(vectors)
             self.floor[lang] = float(np.quantile((vectors @ c.T).max(axis=1), REJECT_SHARE))
             found.append(c)
@@ -116,6 +116,37 @@ class Model:
         self.languages = names
         self.centroids = np.concatenate(found).astype(np.float32) if found else np.zeros((0, 1 << BITS), np.float32)
 
+    @classmethod
+    def _samples(cls, training: DataFrame, sizes: dict[str, int]):
+        """(language, count vectors) of every language; those of few documents are read together, up to TOGETHER documents at once."""
+        rare, held = [], 0
+        for lang, n in sizes.items():
+            if n > SAMPLE:
+                yield lang, cls._sample(training, lang)
+                continue
+            if rare and held + n > TOGETHER:
+                yield from cls._whole(training, rare)
+                rare, held = [], 0
+            rare.append(lang)
+            held += n
+        if rare:
+            yield from cls._whole(training, rare)
+
+    @staticmethod
+    def _whole(training: DataFrame, langs: list[str]):
+        """(language, count vectors) of all documents of a few languages."""
+
+        def vectors(batches):
+            import pyarrow as pa
+
+            for names, texts in rows_of(batches, "lang", "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts(t).astype(np.int32).tobytes() for t in texts], pa.binary())], names=["lang", "counts"])
+
+        of: dict[str, list[np.ndarray]] = {lang: [] for lang in langs}
+        for r in training.where(F.col("lang").isin(langs)).select("lang", "text").mapInArrow(vectors, "lang string, counts binary").collect():
+            of[r["lang"]].append(np.frombuffer(r["counts"], np.int32))
+        return [(lang, np.stack(x).astype(np.float64)) for lang, x in of.items()]
+
     @staticmethod
     def _sample(training: DataFrame, lang: str) -> np.ndarray:
         """Count vectors of about SAMPLE documents of a language: those with the smallest hashes of their ids."""

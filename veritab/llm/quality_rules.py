@@ -11,6 +11,7 @@ common word is rejected.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -42,8 +43,10 @@ GUARD_WORDS = 50
 LACKS_ALL = 0.01
 #: Share of a bare text's distance from which a text counts as bare: less than 1 by rounding only.
 ROUNDED = 0.999
-#: References are kept for so many languages, those with the most words.
+#: The query's SQL keeps references for so many languages, those with the most words; the operator keeps all.
 MAX_LANGUAGES = 64
+#: Up to so many references are compared by an expression each, more by one over an array of them.
+UNROLLED = 64
 
 
 def _only(text: Column, chars: str) -> Column:
@@ -116,11 +119,11 @@ def base_failed() -> Column:
 def references(rows: DataFrame, bins: str) -> dict[str, list[float]]:
     """By language, the histogram over all its documents that pass the base rules, as shares.
 
-    rows has lang, n_words and the counts. At most MAX_LANGUAGES short rows come to the driver.
+    rows has lang, n_words and the counts. A short row for each language comes to the driver.
     """
     n = len(CLASSES) + 2 if bins == "char_counts" else len(COMMON_WORDS) + 1
     sums = [F.sum(F.col(bins)[k]).alias(f"b{k}") for k in range(n)]
-    found = rows.where(~base_failed() & F.col("lang").isNotNull()).groupBy("lang").agg(F.sum("n_words").alias("_n"), *sums).orderBy(F.desc("_n"), "lang").limit(MAX_LANGUAGES).collect()
+    found = rows.where(~base_failed() & F.col("lang").isNotNull()).groupBy("lang").agg(F.sum("n_words").alias("_n"), *sums).orderBy(F.desc("_n"), "lang").collect()
     return {r["lang"]: [r[f"b{k}"] / total for k in range(n)] for r in found if (total := sum(r[f"b{k}"] for k in range(n)))}
 
 
@@ -135,8 +138,12 @@ def nearest(counts: Column, refs: list[list[float]]) -> Column:
         half = (p + q) / 2
         return F.when(p > 0, p * F.log2(p / half)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / half)).otherwise(0.0)
 
-    each = [F.aggregate(F.zip_with(shares, F.array(*[F.lit(float(x)) for x in q]), term), F.lit(0.0), lambda a, x: a + x) for q in refs]
-    least = F.least(*each) if len(each) > 1 else each[0]
+    divergence = lambda q: F.aggregate(F.zip_with(shares, q, term), F.lit(0.0), lambda a, x: a + x)
+    if len(refs) > UNROLLED:
+        least = F.array_min(F.transform(F.from_json(F.lit(json.dumps(refs)), "array<array<double>>"), divergence))
+    else:
+        each = [divergence(F.array(*[F.lit(float(x)) for x in q])) for q in refs]
+        least = F.least(*each) if len(each) > 1 else each[0]
     return F.when(total > 0, F.sqrt(F.greatest(F.lit(0.0), least / 2)))
 
 
