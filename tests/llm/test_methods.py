@@ -202,6 +202,22 @@ def test_tokens_equal_the_library(texts, monkeypatch, memory):
         assert [x for at in range(0, len(every), 20) for x in encoder.packed(every[at : at + 20])] == expected
 
 
+def test_tokens_equal_the_library_at_every_code_point():
+    """Each code point alone, before, after and between letters, with each of the points behind it; and random chunks."""
+    encoder = tokens.Encoder(tokens.vocabulary_path())
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or 0xA000 <= c < 0xAC00 or 0xF900 <= c < 0x20000 or c % 97 == 0)]
+    rng = random.Random(3)
+    every = [f"{c} {c}{p} G{c}{p} {c}di{p} a{c}b {p}{c}" for c in points for p in [rng.choice(".,;:!?")]]
+    few = [*map(chr, range(33, 0x250)), "\u0301", "\u0307", "\u0323", "ẞ", "ﬁ", "Ω", "K", "Å", ";", "·", "·"]
+    every += [x + p for x in ODD if x for p in ".,;:!?"] + ["GELDİ.", "TÜRKİYE DİLİ. GELDİ, BİTTİ!", "İ", "İ.", "Gİ,"]
+    every += [" ".join("".join(rng.choices(few, k=rng.randrange(1, 6))) + "".join(rng.choices(".,;:!?'", k=rng.randrange(3))) for _ in range(6)) for _ in range(20_000)]
+    for at in range(0, len(every), 500):
+        part = every[at : at + 500]
+        expected = [np.asarray(x.ids, "<u4").tobytes() for x in encoder.tokenizer.encode_batch(part, add_special_tokens=False)]
+        got = list(encoder.packed(part))
+        assert got == expected, [x for x, a, b in zip(part, got, expected, strict=True) if a != b][:5]
+
+
 def test_token_query(spark, texts):
     tokenizer = tokens.load(tokens.vocabulary_path())
     for r in tokens.op4_token_counts(spark, SMALL).collect():

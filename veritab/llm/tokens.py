@@ -75,11 +75,14 @@ def _as_bytes(token: str) -> bytes | None:
 
 
 def _letters(body: bytes) -> bool:
-    """Whether all are letters, none of them composing, so that they make one pre-token."""
+    """Whether all are letters, none of them composing, and stay so in lower case, so that they make one pre-token.
+
+    Dotted capital I doesn't: its lower case ends with a combining mark, which joins the punctuation behind it.
+    """
     if body.isalpha():  # of ASCII only
         return True
     text = body.decode()
-    return text.isalpha() and not COMPOSING.search(text)
+    return text.isalpha() and text.lower().isalpha() and not COMPOSING.search(text)
 
 
 def _plain(chunk: bytes) -> bool:
