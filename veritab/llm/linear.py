@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import zlib
 
 import numpy as np
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 14
+#: Bytes of features that a sample may bring to the driver.
+SAMPLE_BYTES = 128 << 20
 
 
 @functools.lru_cache(maxsize=1 << 16)
@@ -18,9 +21,19 @@ def bucket(word: str, bits: int = BITS) -> int:
 
 
 def sample_by_hash(df: DataFrame, size: int, rows: int, key: str = "doc_id", seed: int = 11) -> DataFrame:
-    """About `size` of the rows (of which there are `rows`), chosen by a hash of the key: the same ones on every run."""
+    """About `size` of the rows (of which there are `rows`), chosen by a hash of the key: the same ones on every run.
+
+    Never more than 2 * size: where a key repeats that often, those with the smallest hashes and values stand.
+    """
     share = min(1.0, size / max(1, rows))
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * size)
+    place = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30))
+    chosen = df.where(place < math.ceil(share * (1 << 30)))
+    return chosen.orderBy(place, *df.columns).limit(2 * size)
+
+
+def size_within(size: int, rows: int, total_bytes: int, budget: int = SAMPLE_BYTES) -> int:
+    """The size of a sample of which about `budget` bytes at most come to the driver."""
+    return min(size, int(budget / max(1, total_bytes) * rows)) if total_bytes > 0 else size
 
 
 class Logistic:

@@ -4,22 +4,28 @@ A classifier trained on a labelled table gives each document posteriors over dom
 rates of the documents are then fitted by least squares so that the expected tokens of each domain,
 the sum of rate x tokens x posterior, match targets.
 
-The fit is projected gradient descent with momentum in the metric where a document weighs as much
-as its tokens and a domain's error is relative to the tokens that it has at first; then the largest
-curvature is 1, which is the step, and rare domains converge as fast as common ones. A step needs only the residual of each domain, a few numbers; each pass over the
-stored posteriors replays the steps so far and sums the next residual, so neither rates nor
-gradients are ever moved or kept.
+The fit is projected gradient descent with momentum, restarted where the error grows, in the metric
+where a document weighs as much as its tokens and a domain's error is relative to the tokens that
+it has at first; then the largest curvature is 1, which is the step, and rare domains converge as
+fast as common ones. In this metric documents of equal posteriors have equal rates at every step,
+so tokens are summed by posteriors first (which are multiples of 1 / PARTS), and a pass covers these
+cells, of which there are at most as many as lattice points, whatever the number of documents. A step
+needs only the residual of each domain, a few numbers; each pass replays the steps so far and sums
+the next residual, so neither rates nor gradients are ever moved or kept.
 """
 
 from __future__ import annotations
 
+import warnings
+from dataclasses import dataclass, field
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm import tokens
 from veritab.llm.common import bounded_batches, documents, own_columns, rows_of, stored
-from veritab.llm.linear import BITS, Logistic, sample_by_hash, word_features
+from veritab.llm.linear import BITS, Logistic, sample_by_hash, size_within, word_features
 
 DOMAINS = ("clean", "toxic", "junk")
 #: Shares of the tokens that the domains shall have, and the clean tokens kept, as a multiple of those there are.
@@ -27,9 +33,16 @@ TARGETS = {"clean": 0.97, "toxic": 0.01, "junk": 0.02}
 CLEAN_FACTOR = 1.02
 #: Labelled documents that train the classifier.
 SAMPLE = 6000
-STEPS = 100
-TOLERANCE = 1e-3
-SETTLED = 1e-5
+#: Posteriors are multiples of one part in so many.
+PARTS = 1024
+STEPS = 200
+#: A target is met within this share of itself.
+TOLERANCE = 1e-4
+#: The fit has settled when its squared error hasn't fallen by this share within PATIENCE steps.
+SETTLED = 1e-3
+PATIENCE = 12
+#: Domains whose target is below this share of all target tokens are measured against that share.
+FLOOR = 1e-6
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -38,10 +51,14 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 
 
 def domain_classifier(df: DataFrame, labels: DataFrame) -> Logistic:
-    """A classifier of domains from a bounded sample of labelled documents (labels: doc_id, domain)."""
+    """A classifier of domains from a bounded sample of labelled documents (labels: doc_id, domain).
+
+    A doc_id whose labels contradict each other trains nothing. Of repeated documents one stands for all: the
+    one with the smallest features.
+    """
     bounded_batches(df.sparkSession)
-    labels = labels.where("doc_id is not null and domain is not null").dropDuplicates(["doc_id"])
-    chosen = F.broadcast(sample_by_hash(labels, SAMPLE, labels.count()))  # at most 2 * SAMPLE rows
+    agreed = labels.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"), F.max("domain").alias("other")).where("domain = other").select("doc_id", "domain")
+    chosen = F.broadcast(sample_by_hash(agreed, SAMPLE, agreed.count()))  # at most 2 * SAMPLE rows
 
     def featured(batches):
         import pyarrow as pa
@@ -54,7 +71,10 @@ def domain_classifier(df: DataFrame, labels: DataFrame) -> Logistic:
                 names=["doc_id", "domain", "at", "value"],
             )
 
-    rows = own_columns(df, "doc_id", "text").where("text is not null").join(chosen, "doc_id").limit(2 * SAMPLE).select("doc_id", "domain", "text").mapInArrow(featured, "doc_id long, domain int, at binary, value binary").collect()
+    rows = own_columns(df, "doc_id", "text").where("text is not null").join(chosen, "doc_id").select("doc_id", "domain", "text").mapInArrow(featured, "doc_id long, domain int, at binary, value binary")
+    rows = stored(rows.groupBy("doc_id", "domain").agg(F.min(F.struct("at", "value")).alias("f")).select("doc_id", "domain", "f.at", "f.value"), "features")
+    n, total = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("at") + F.octet_length("value"))).first()
+    rows = sample_by_hash(rows, size_within(2 * SAMPLE, n, total or 0), n).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["at"]))
     model = Logistic(1 << BITS, len(DOMAINS))
     if rows:
@@ -62,6 +82,13 @@ def domain_classifier(df: DataFrame, labels: DataFrame) -> Logistic:
     return model
 
 
+def in_parts(p: np.ndarray, parts: int = PARTS) -> np.ndarray:
+    """Posteriors rounded to multiples of one part that still sum to 1: the largest one makes up for the others."""
+    whole = np.rint(p * parts)
+    whole[p.argmax()] += parts - whole.sum()
+    return whole / parts
+
+
 def memberships(df: DataFrame, model: Logistic) -> DataFrame:
     """(doc_id, n_tokens, p): tokens of each whole text, as op4_token_counts has them, and the posteriors of its domains."""
     path = tokens.vocabulary_path()
@@ -75,18 +102,27 @@ def memberships(df: DataFrame, model: Logistic) -> DataFrame:
         encoder = tokens.encoder(path)
         for ids, texts in rows_of(batches, "doc_id", "text"):
             texts = [t or "" for t in texts]
-            p = [shared.value.shares(*word_features(t, known)).tolist() for t in texts]
+            p = [in_parts(shared.value.shares(*word_features(t, known))).tolist() for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) >> 2 for x in encoder.packed(texts)], pa.int64()), pa.array(p, pa.list_(pa.float64()))], names=["doc_id", "n_tokens", "p"])
 
     return own_columns(df, "doc_id", "text").mapInArrow(judge, "doc_id long, n_tokens long, p array<double>")
 
 
-def replay(p: np.ndarray, residuals: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, point at which the next residual is taken) after the steps that these residuals gave; p has a row for each document."""
+@dataclass
+class Steps:
+    """The steps of a fit: the weighted residual of each, and how much of the change since the last step carries on."""
+
+    residuals: list[np.ndarray] = field(default_factory=list)
+    momentum: list[float] = field(default_factory=list)
+    met: bool = False
+
+
+def replay(p: np.ndarray, steps: Steps) -> tuple[np.ndarray, np.ndarray]:
+    """(rates, point at which the next residual is taken) after these steps; p has a row for each document."""
     rate = point = np.ones(len(p))
-    for t, r in enumerate(residuals):
+    for r, m in zip(steps.residuals, steps.momentum, strict=True):
         new = np.maximum(0.0, point - p @ r)
-        point = np.maximum(0.0, new + (t / (t + 3)) * (new - rate))
+        point = np.maximum(0.0, new + m * (new - rate))
         rate = new
     return rate, point
 
@@ -95,40 +131,49 @@ def _matrix(column) -> np.ndarray:
     return column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()].reshape(len(column), -1)
 
 
-def fitted(rows: DataFrame, targets: np.ndarray) -> list[np.ndarray]:
-    """The weighted residuals of each step until the targets are met within TOLERANCE, or nothing changes any more.
+def cells(rows: DataFrame) -> DataFrame:
+    """(p, n_tokens) by equal posteriors: at most a row for each way to share out PARTS, whatever the input."""
+    return stored(rows.groupBy("p").agg(F.sum(F.col("n_tokens").cast("double")).alias("n_tokens")), "cells")
+
+
+def fitted(rows: DataFrame, targets: np.ndarray) -> Steps:
+    """The steps until each target is met within TOLERANCE of itself, or nothing changes any more.
 
     rows: n_tokens and p, stored. Each pass brings a few sums of each partition to an aggregate, one row to the driver.
+    Targets may be out of reach; then the nearest mix is where steps no longer change it, and met stays false.
     """
     n = len(targets)
-    weight = None
-    residuals: list[np.ndarray] = []
-    last = None
+    weight, steps = None, Steps()
+    since, errors = 0, []
+    unit = np.maximum(targets, max(1.0, FLOOR * targets.sum()))
     for _ in range(STEPS):
 
-        def sums(batches, so_far=tuple(residuals)):
+        def sums(batches, so_far=Steps(list(steps.residuals), list(steps.momentum))):
             import pyarrow as pa
 
             total = np.zeros((2, n))
             for batch in batches:
                 if batch.num_rows:
                     p, n_tokens = _matrix(batch.column(1)), batch.column(0).to_numpy()
-                    rate, point = replay(p, list(so_far))
+                    rate, point = replay(p, so_far)
                     total += np.stack([(rate * n_tokens) @ p, (point * n_tokens) @ p])
             yield pa.RecordBatch.from_arrays([pa.array(total.reshape(-1)[k : k + 1]) for k in range(2 * n)], names=[f"s{k}" for k in range(2 * n)])
 
         found = rows.select("n_tokens", "p").mapInArrow(sums, ", ".join(f"s{k} double" for k in range(2 * n))).agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(2 * n)]).first()
         got = np.array([x or 0.0 for x in found]).reshape(2, n)
-        unit = max(1.0, targets.sum())
-        met = np.abs(got[0] - targets).max() <= TOLERANCE * unit
-        # targets may be out of reach; then the nearest mix is where steps no longer change it
-        settled = last is not None and np.abs(got - last).max() <= SETTLED * unit
-        if met or settled:
+        steps.met = bool((np.abs(got[0] - targets) <= TOLERANCE * unit).all())
+        weight = np.maximum(got[0], 1e-9 * max(1.0, targets.sum())) if weight is None else weight
+        now = float((np.square(got[0] - targets) / weight).sum())
+        if steps.met or (len(errors) >= PATIENCE and min(errors[-PATIENCE:], default=0.0) > (1 - SETTLED) * min(errors[:-PATIENCE], default=np.inf)):
             break
-        last = got
-        weight = np.maximum(got[0], 1e-9 * unit) if weight is None else weight
-        residuals.append((got[1] - targets) / weight)
-    return residuals
+        since = since + 1 if not errors or now <= errors[-1] else 0  # momentum that overshoots is dropped
+        errors.append(now)
+        steps.residuals.append((got[1] - targets) / weight)
+        steps.momentum.append(since / (since + 3))
+    if not steps.met:
+        off = ", ".join(f"{x:+.2%}" for x in (got[0] - targets) / unit)
+        warnings.warn(f"mixing targets not met after {len(steps.residuals)} steps, off by {off}", stacklevel=2)
+    return steps
 
 
 def target_tokens(rows: DataFrame, targets: dict[str, float] = TARGETS) -> np.ndarray:
@@ -148,12 +193,15 @@ def mixed(df: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
     """(doc_id, n_tokens, p_clean, p_toxic, p_junk, rate, copies) of every row.
 
     labels: doc_id, quality, toxic. A null or empty text has no tokens: it bears on no target, and its rate
-    is what its posteriors give. Without labels all domains are equally likely. Repeated rows each give a
-    row; an empty table gives none. Columns other than doc_id and text are ignored.
+    is what its posteriors give. Without labels all domains are equally likely. A doc_id with labels that
+    contradict each other trains nothing. Repeated rows each give a row, of equal rate and copies; an empty
+    table gives none. Very long texts are one document of many tokens. Columns other than doc_id and text
+    are ignored. Where targets can't be met a warning says by how much they are missed.
     """
     model = domain_classifier(df, labels.select("doc_id", domain_of(labels["quality"], labels["toxic"]).alias("domain")))
     rows = stored(memberships(df, model), "memberships")
-    residuals = fitted(rows, target_tokens(rows, targets))
+    of = cells(rows)
+    steps = fitted(of, target_tokens(of, targets))
 
     def rates(batches):
         import pyarrow as pa
@@ -161,14 +209,18 @@ def mixed(df: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
         for batch in batches:
             if batch.num_rows:
                 p = _matrix(batch.column(2))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(p[:, k]) for k in range(p.shape[1])], pa.array(replay(p, residuals)[0])], names=["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(p[:, k]) for k in range(p.shape[1])], pa.array(replay(p, steps)[0])], names=["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate"])
 
     found = rows.mapInArrow(rates, "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS) + ", rate double")
     return found.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
 def resampled(df: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """df with every document as often as its rate says."""
+    """df with every document as often as its rate says, all columns kept.
+
+    Rows are matched by doc_id, null ids with each other; repeated rows of one doc_id are each taken equally
+    often, as often as the most of them would be. An empty table gives no rows; null texts are taken at their rate.
+    """
     found = mixed(df, labels, targets).groupBy("doc_id").agg(F.max("copies").alias("copies"))
     rows = df.select(*[df[c].alias(f"own_{k}") for k, c in enumerate(df.columns)], df["doc_id"].alias("id")).join(found, F.col("id").eqNullSafe(F.col("doc_id"))).where("copies > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
