@@ -615,10 +615,46 @@ def test_language_query(spark, small):
     for r in rows:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1
     out = [r for r in rows if r["held_out"] and langs[r["doc_id"]]]
-    assert np.mean([r["lang_pred"] == langs[r["doc_id"]] for r in out]) > 0.9
-
-
-def test_every_language_is_learned(spark):
+    assert np.mean([r["lang_pred"] == langs[r["doc_id"]] for r in out]) > 0.95
+
+
+def test_numbers_are_no_letters(spark, small):
+    rows = [(1, "½ ² 12"), (2, "①"), (3, "Ⅷ"), (4, "٣ _ 5"), (5, "½ a"), (6, "漢"), (7, None), (8, ""), (9, "ª")]
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.identified(spark.createDataFrame(rows, "doc_id long, text string"), small).collect()}
+    assert [found[d] == "und" for d in range(1, 10)] == [True] * 4 + [False] * 2 + [True] * 2 + [False]
+
+
+def test_languages_equal_a_plain_reckoning(spark, small):
+    """Frequencies, weights, centroids and cosines once more in one place, from n-grams as strings of bytes."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in small.select("doc_id", "text", "lang").limit(150).collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+
+    def grams(text):
+        data = b" " + re.sub(rb"[\x00-\x7f]", lambda m: m[0] if m[0].isalpha() else b" ", text.lower().encode()) + b" "
+        data = re.sub(b" +", b" ", data)
+        out = np.zeros(1 << language_id.BITS)
+        for n in (1, 2, 3):
+            for k in range(len(data) - n + 1):
+                number = int.from_bytes(data[k : k + n], "little") | n << 24
+                out[number * 2654435761 % (1 << 32) >> (32 - language_id.BITS)] += 1
+        return out
+
+    texts = {d: t for d, t, _ in rows if t and any(map(str.isalpha, t))}
+    vector = {d: grams(t) for d, t in texts.items()}
+    train = [(d, lang) for d, t, lang in rows if d in texts and lang]
+    idf = np.log((1 + len(train)) / (1 + sum(vector[d] > 0 for d, _ in train))) + 1
+    unit = {d: np.log1p(v) * idf / np.linalg.norm(np.log1p(v) * idf) for d, v in vector.items()}
+    hashes = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("h")).collect()}
+    means = {lang: language_id.centroids(np.stack([unit[d] for d in sorted((d for d, x in train if x == lang), key=hashes.get)]).astype(np.float32)) for lang in {x for _, x in train}}
+    for r in language_id.identified(df, df).collect():
+        like = {lang: float((c @ unit[r["doc_id"]]).max()) for lang, c in means.items()} if r["doc_id"] in unit else {"und": 0.0}
+        best = max(like, key=like.get)
+        assert abs(r["score"] - like[best]) < 1e-4 and (r["lang_pred"] == best or like[best] - like[r["lang_pred"]] < 1e-5)
+
+
+@pytest.mark.parametrize("block", [language_id.BLOCK, 50])
+def test_every_language_is_learned(spark, monkeypatch, block):
+    monkeypatch.setattr(language_id, "BLOCK", block)
     r = random.Random(12)
     rows = []
     for k in range(210):

@@ -3,32 +3,42 @@
 A text is lower-cased and its byte n-grams (1 to 3 bytes of UTF-8, so letters of any script) are
 hashed into a vector of counts. Damped counts times inverse document frequency, scaled to length
 1, are compared by cosine with several centroids of each language. Document frequencies come from
-all training documents; centroids from a bounded sample of them by spherical k-means.
+all training documents; centroids from a bounded sample of each language by spherical k-means, a
+task for each language. Every language that occurs is learned; centroids are broadcast in blocks of
+languages, and a document keeps the best cosine over all blocks.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm.common import bounded_batches, documents, own_columns, rows_of
+from veritab.llm.common import bounded_batches, documents, own_columns, rows_of, stored
 
 BITS = 12
 SIZES = (1, 2, 3)
 CENTROIDS = 6
 ROUNDS = 8
-#: Training documents a language gives to k-means, those with the smallest hashes of their ids.
+#: Training documents a language gives to k-means, on average: all of them, or those with the smallest hashes.
 SAMPLE = 400
-#: Documents of languages with no more than SAMPLE each that come to the driver at once.
-TOGETHER = 2000
+#: Languages whose centroids are broadcast together: about 0.1 MB each.
+BLOCK = 400
 #: A document is rejected if its cosine to the nearest centroid is below the one that this share of the sample exceeds.
 REJECT_SHARE = 0.005
 STRETCH = 1 << 20
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numbers such as fractions and roman numerals, which aren't.
+_LETTER_LIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether there is a letter, of Unicode's categories L, in the text."""
+    return any(m[0].isalpha() for m in _LETTER_LIKE.finditer(text))
 
 
 #: Bytes of letters stay; ASCII without letters, which says little of a language, becomes space, a run of which counts once.
@@ -63,23 +73,28 @@ def weights(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (x / np.where(norm == 0, 1, norm)).astype(np.float32)
 
 
-def document_frequencies(training: DataFrame, bits: int = BITS) -> tuple[np.ndarray, int]:
-    """How many training documents hold each n-gram bucket; a row for each bucket comes to the driver."""
+def frequencies(training: DataFrame, bits: int = BITS) -> tuple[np.ndarray, dict[str, int]]:
+    """(how many training documents hold each n-gram bucket, how many there are of each language).
+
+    Documents without a letter don't count. A row for each bucket and language comes to the driver.
+    """
 
     def partial(batches):
         import pyarrow as pa
 
-        total, n = np.zeros(1 << bits, np.int64), 0
-        for (texts,) in rows_of(batches, "text"):
-            for t in texts:
-                total += counts(t, bits) > 0
-                n += 1
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([*range(1 << bits), -1], pa.int32()), pa.array([*total.tolist(), n], pa.int64())], names=["bucket", "n"])
+        total, of = np.zeros(1 << bits, np.int64), Counter()
+        for texts, langs in rows_of(batches, "text", "lang"):
+            for t, lang in zip(texts, langs, strict=True):
+                if has_letter(t):
+                    total += counts(t, bits) > 0
+                    of[lang] += 1
+        held = np.flatnonzero(total).tolist()
+        if of:
+            yield pa.RecordBatch.from_arrays([pa.array([*held, *[-1] * len(of)], pa.int32()), pa.array([*[None] * len(held), *of], pa.string()), pa.array([*total[held].tolist(), *of.values()], pa.int64())], names=["bucket", "lang", "n"])
 
-    rows = training.select("text").mapInArrow(partial, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    found = {r["bucket"]: r["n"] for r in rows}
-    return np.array([found.get(b, 0) for b in range(1 << bits)]), found.get(-1, 0)
+    rows = training.select("text", "lang").mapInArrow(partial, "bucket int, lang string, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n")).collect()
+    found = {r["bucket"]: r["n"] for r in rows if r["lang"] is None}
+    return np.array([found.get(b, 0) for b in range(1 << bits)]), {r["lang"]: r["n"] for r in rows if r["lang"] is not None}
 
 
 def centroids(vectors: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> np.ndarray:
@@ -97,74 +112,21 @@ def centroids(vectors: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) ->
     return c
 
 
+@dataclass
 class Model:
-    """Centroids with their languages, idf, and the cosine below which a language rejects."""
-
-    def __init__(self, training: DataFrame):
-        """training: doc_id, text and lang, none of the last two null."""
-        lettered = training.where(F.col("text").rlike(r"\p{L}"))
-        df, n = document_frequencies(lettered)
-        self.idf = np.log((1 + n) / (1 + df)) + 1
-        sizes = {r["lang"]: r["count"] for r in lettered.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
-        found, names, self.floor = [], [], {}
-        for lang, sample in self._samples(lettered, sizes):
-            vectors = weights(sample, self.idf)
-            c = centroids(vectors)
-            self.floor[lang] = float(np.quantile((vectors @ c.T).max(axis=1), REJECT_SHARE))
-            found.append(c)
-            names += [lang] * len(c)
-        self.languages = names
-        self.centroids = np.concatenate(found).astype(np.float32) if found else np.zeros((0, 1 << BITS), np.float32)
-
-    @classmethod
-    def _samples(cls, training: DataFrame, sizes: dict[str, int]):
-        """(language, count vectors) of every language; those of few documents are read together, up to TOGETHER documents at once."""
-        rare, held = [], 0
-        for lang, n in sizes.items():
-            if n > SAMPLE:
-                yield lang, cls._sample(training, lang)
-                continue
-            if rare and held + n > TOGETHER:
-                yield from cls._whole(training, rare)
-                rare, held = [], 0
-            rare.append(lang)
-            held += n
-        if rare:
-            yield from cls._whole(training, rare)
-
-    @staticmethod
-    def _whole(training: DataFrame, langs: list[str]):
-        """(language, count vectors) of all documents of a few languages."""
-
-        def vectors(batches):
-            import pyarrow as pa
+    """Centroids of some languages, the language of each, idf, and the cosine below which a language rejects."""
 
-            for names, texts in rows_of(batches, "lang", "text"):
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts(t).astype(np.int32).tobytes() for t in texts], pa.binary())], names=["lang", "counts"])
-
-        of: dict[str, list[np.ndarray]] = {lang: [] for lang in langs}
-        for r in training.where(F.col("lang").isin(langs)).select("lang", "text").mapInArrow(vectors, "lang string, counts binary").collect():
-            of[r["lang"]].append(np.frombuffer(r["counts"], np.int32))
-        return [(lang, np.stack(x).astype(np.float64)) for lang, x in of.items()]
-
-    @staticmethod
-    def _sample(training: DataFrame, lang: str) -> np.ndarray:
-        """Count vectors of about SAMPLE documents of a language: those with the smallest hashes of their ids."""
-
-        def vectors(batches):
-            import pyarrow as pa
-
-            for (texts,) in rows_of(batches, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array([counts(t).astype(np.int32).tobytes() for t in texts], pa.binary())], names=["counts"])
-
-        own = training.where(F.col("lang") == lang).withColumn("_h", F.xxhash64("doc_id"))
-        last = own.select("_h").orderBy("_h").limit(SAMPLE).agg(F.max("_h")).first()[0]
-        rows = own.where(F.col("_h") <= last).select("text").limit(2 * SAMPLE).mapInArrow(vectors, "counts binary").collect()
-        return np.stack([np.frombuffer(r["counts"], np.int32) for r in rows]).astype(np.float64)
+    idf: np.ndarray
+    languages: list[str]
+    centroids: np.ndarray
+    floor: dict[str, float]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
-        """(language, score, rejected): score is the cosine, cut to 0 to 1; nothing without a letter has a language."""
-        open_ = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+        """(language, score, rejected): score is the cosine, cut to 0 to 1; nothing without a letter has a language.
+
+        Of equally near centroids the first one counts, languages being in alphabetical order.
+        """
+        open_ = [i for i, t in enumerate(texts) if t and has_letter(t)]
         out = [(UNKNOWN, 0.0, True)] * len(texts)
         if not len(self.centroids):
             return out
@@ -177,6 +139,48 @@ class Model:
         return out
 
 
+def learned(training: DataFrame) -> list[Model]:
+    """Models of blocks of languages, in alphabetical order; training: doc_id, text and lang, none of the last two null.
+
+    Of equal documents one is in the sample.
+    """
+    spark = training.sparkSession
+    df, sizes = frequencies(training)
+    if not sizes:
+        return []
+    idf = np.log((1 + sum(sizes.values())) / (1 + df)) + 1
+    span = 1 << 40
+    last = spark.createDataFrame([(x, int(min(1.0, SAMPLE / n) * span)) for x, n in sizes.items()], "lang string, last long")
+    own = training.withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(span))).join(F.broadcast(last), "lang").where("h <= last").select("lang", "h", "text")
+
+    def vectors(batches):
+        import pyarrow as pa
+
+        for langs, hashes, texts in rows_of(batches, "lang", "h", "text"):
+            rows = [(lang, h, counts(t).astype(np.int32).tobytes()) for lang, h, t in zip(langs, hashes, texts, strict=True) if has_letter(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["lang", "h", "counts"])
+
+    def clustered(table):
+        import pyarrow as pa
+
+        table = table.sort_by("h")
+        x = weights(np.stack([np.frombuffer(c, np.int32) for c in table["counts"].to_pylist()]).astype(np.float64), idf)
+        c = centroids(x).astype(np.float32)
+        floor = float(np.quantile((x @ c.T).max(axis=1), REJECT_SHARE))
+        return pa.table({"lang": [table["lang"][0].as_py()] * len(c), "k": pa.array(range(len(c)), pa.int32()), "centroid": [row.tobytes() for row in c], "floor": [floor] * len(c)})
+
+    sample = own.mapInArrow(vectors, "lang string, h long, counts binary").groupBy("lang", "h").agg(F.min("counts").alias("counts"))
+    found = stored(sample.groupBy("lang").applyInArrow(clustered, "lang string, k int, centroid binary, floor double"), "centroids")
+    names, models = sorted(sizes), []
+    for at in range(0, len(names), BLOCK):
+        part = names[at : at + BLOCK]
+        rows = found.where(F.col("lang").between(part[0], part[-1])).collect() if len(names) > BLOCK else found.collect()
+        rows.sort(key=lambda r: (r["lang"], r["k"]))
+        if rows:
+            models.append(Model(idf, [r["lang"] for r in rows], np.stack([np.frombuffer(r["centroid"], np.float32) for r in rows]), {r["lang"]: r["floor"] for r in rows}))
+    return models
+
+
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
@@ -185,20 +189,34 @@ def identified(df: DataFrame, training: DataFrame) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of every row by a model learned from training (doc_id, text, lang).
 
     A text that is null or has no letter gets `und` and score 0. A text far from all centroids is
-    rejected, which is a mark beside the nearest language, not instead of it. Without training rows all
-    get `und`. Repeated rows each give a row; other columns are ignored.
+    rejected, which is a mark beside the nearest language, not instead of it. Of equally near languages
+    the first one in the alphabet counts. Without training rows all get `und`; an empty table gives no
+    rows. Very long texts are taken whole, in stretches of bounded length. Repeated rows each give a row;
+    other columns are ignored.
     """
-    bounded_batches(df.sparkSession)
-    model = df.sparkSession.sparkContext.broadcast(Model(own_columns(training, "doc_id", "text", "lang").where("text is not null and lang is not null")))
+    spark = df.sparkSession
+    bounded_batches(spark)
+    models = learned(own_columns(training, "doc_id", "text", "lang").where("text is not null and lang is not null"))
+    rows = own_columns(df, "doc_id", "text").select("*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+    for at, model in enumerate(models):
+        rows = _better(rows, spark.sparkContext.broadcast(model), last=at == len(models) - 1)
+    return rows.drop("text")
+
+
+def _better(rows: DataFrame, model, last: bool) -> DataFrame:
+    """rows with the prediction of the model wherever that is nearer; the text is passed on unless it is the last one."""
+    keep = "" if last else ", text string"
 
     def predict(batches):
         import pyarrow as pa
 
-        for ids, texts in rows_of(batches, "doc_id", "text"):
-            lang, score, rejected = zip(*model.value.predict(texts), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
+        for ids, texts, *before in rows_of(batches, "doc_id", "text", "lang_pred", "score", "rejected"):
+            new = model.value.predict(texts)
+            lang, score, rejected = zip(*[n if n[1] > old[1] or old[0] == UNKNOWN else old for n, old in zip(new, zip(*before, strict=True), strict=True)], strict=True)
+            columns = [pa.array(ids, pa.int64()), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*columns, *([] if last else [pa.array(texts, pa.string())])], names=["doc_id", "lang_pred", "score", "rejected", *([] if last else ["text"])])
 
-    return own_columns(df, "doc_id", "text").mapInArrow(predict, "doc_id long, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(predict, "doc_id long, lang_pred string, score double, rejected boolean" + keep)
 
 
 def op10_language_id(spark, sf_dir):
