@@ -453,6 +453,55 @@ def test_predicates_are_pushed_down(spark, tmp_path):
     assert df.where("payload is not null").count() == 5
 
 
+FILTERS = [
+    "record_type = 'revisit'", "not record_type = 'revisit'", "refers_to <=> 1", "not (refers_to <=> 1)", "refers_to is null", "not (refers_to is null)", "refers_to is not null", "refers_to = 1", "not (refers_to = 1)", "refers_to in (1, 2)",
+    "refers_to not in (1, 2)", "refers_to in (1, null)", "refers_to not in (1, null)", "refers_to > 1", "not (refers_to > 1)", "refers_to <= 2", "uri is null", "not (uri <=> 'http://h1/')", "not (uri <=> null)", "uri <=> null", "uri like 'http://h1%'",
+    "uri not like 'http://h1%'", "uri like '%1/'", "not uri like '%h2%'", "uri > 'http://h1/'", "page_id between 3 and 9", "page_id < 5 or refers_to = 3", "not (page_id < 5 and refers_to is null)", "payload_bytes >= 10 and uri is not null",
+    "payload is not null", "payload is null and refers_to is null", "not (payload_digest = 'X')", "date = '2026-01-01T00:00:00Z'", "record_id is not null", "page_id is null", "not (page_id <=> 3)",
+]
+
+
+def test_every_predicate_gives_what_it_gives_in_memory(spark, tmp_path):
+    warc.register(spark)
+    path = f"file://{tmp_path}/a"
+    rows = [(None if k == 11 else k, None if k % 4 == 3 else f"http://h{k % 3}/", b"p" * (k % 5) * 4, None, None if k < 6 else k % 4) for k in range(20)]
+    spark.createDataFrame(rows, "page_id long, uri string, payload binary, payload_digest string, refers_to long").write.format("warc").mode("append").save(path)
+    df = warc.archive(spark, path)
+    held = spark.createDataFrame(df.collect(), df.schema)
+    for condition in FILTERS:
+        assert sorted(map(str, warc.archive(spark, path).where(condition).collect())) == sorted(map(str, held.where(condition).collect())), condition
+
+
+def test_overwriting_leaves_nothing_of_the_old_archive(spark, tmp_path):
+    warc.register(spark)
+    path = f"file://{tmp_path}/a"
+    rows = spark.createDataFrame([(k, "u", b"x", None, None) for k in range(4)], "page_id long, uri string, payload binary, payload_digest string, refers_to long")
+    rows.write.format("warc").mode("append").save(path)
+    old = set((tmp_path / "a").iterdir())
+    rows.where("page_id > 1").write.format("warc").mode("overwrite").save(path)
+    new = set((tmp_path / "a").iterdir())
+    assert not old & new and sorted(r["page_id"] for r in spark.read.format("warc").load(path).collect()) == [2, 3]
+    # while the old files aren't deleted yet, readers see the new archive alone
+    replaced = warc.json.dumps({"files": ["part-old.warc.gz"], "replaces": []})
+    name = next(x.name for x in new if x.suffix == ".json")
+    (tmp_path / "a" / "manifest-old.json").write_text(replaced)
+    own = warc.json.loads((tmp_path / "a" / name).read_text())
+    (tmp_path / "a" / name).write_text(warc.json.dumps(own | {"replaces": ["manifest-old.json"]}))
+    assert spark.read.format("warc").load(path).count() == 2
+
+
+def test_payloads_are_not_shuffled_for_few_repeats(spark):
+    plan = warc.deduplicated(spark.read.parquet(f"{SMALL}/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+        test_same_rows_as_sql(spark, "op7_warc")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
 def test_leftovers_of_failed_tasks_are_not_read(spark, tmp_path):
     warc.register(spark)
     path = f"file://{tmp_path}/a"

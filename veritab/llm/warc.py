@@ -6,6 +6,8 @@ for, is skipped without being decoded: a member of our own .warc.gz says in its
 long it is, a plain .warc record says so in its WARC header, and a foreign .warc.gz member is
 passed over in small chunks.
 
+Spark keeps what was pushed into a loaded frame, so `archive` loads one for each condition.
+
 Writing gives each task a file of its own name. Only the files that the driver's commit lists in
 a manifest belong to the archive, so what failed or repeated tasks leave behind isn't read.
 """
@@ -16,6 +18,7 @@ import base64
 import hashlib
 import io
 import json
+import operator
 import re
 import struct
 import uuid
@@ -28,7 +31,7 @@ from pyspark.sql import datasource as D
 from pyspark.sql import functions as F
 
 from veritab.functions.workers import importable
-from veritab.llm.common import file_system, new_path, own_columns
+from veritab.llm.common import file_system, new_path, own_columns, stored
 
 SCHEMA = "page_id long, record_id string, record_type string, uri string, date string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 #: Columns that are known from the headers alone; only predicates on these are pushed down.
@@ -192,26 +195,33 @@ def records(file, accept=lambda row: True, want_payload: bool = True) -> Iterato
         at = part.skip()
 
 
+def _in(v, values):
+    return None if v is None else True if v in values else None if None in values else False
+
+
+def _known(compare):
+    """A comparison that is unknown for a null."""
+    return lambda v, w: None if v is None or w is None else compare(v, w)
+
+
+#: By kind of filter, what it says of a value: true, false, or None where that is unknown.
+_SAYS = {
+    D.EqualTo: _known(operator.eq), D.GreaterThan: _known(operator.gt), D.GreaterThanOrEqual: _known(operator.ge), D.LessThan: _known(operator.lt), D.LessThanOrEqual: _known(operator.le),
+    D.StringStartsWith: _known(str.startswith), D.StringEndsWith: _known(str.endswith), D.StringContains: _known(operator.contains),
+    D.In: _in, D.EqualNullSafe: operator.eq, D.IsNull: lambda v, _: v is None, D.IsNotNull: lambda v, _: v is not None,
+}
+
+
 def _test(f: D.Filter):
-    """A predicate on a record's row for a filter that headers can answer, else None."""
-    column = getattr(f, "attribute", (None,))
+    """What a filter that headers can answer says of a record's row (true, false or None: unknown); None for other filters."""
     if isinstance(f, D.Not):
         inner = _test(f.child)
-        column = getattr(f.child, "attribute", (None,))
-        # a null stays unknown under negation
-        return inner and (lambda row: row[column[0]] is not None and not inner(row))
-    if len(column) != 1 or column[0] not in HEADER_COLUMNS:
+        return inner and (lambda row: None if (said := inner(row)) is None else not said)
+    column = getattr(f, "attribute", ())
+    if len(column) != 1 or column[0] not in HEADER_COLUMNS or type(f) not in _SAYS:
         return None
-    name = column[0]
-    tests = {
-        D.EqualTo: lambda v, w: v is not None and v == w, D.EqualNullSafe: lambda v, w: v == w, D.In: lambda v, w: v is not None and v in w,
-        D.GreaterThan: lambda v, w: v is not None and v > w, D.GreaterThanOrEqual: lambda v, w: v is not None and v >= w, D.LessThan: lambda v, w: v is not None and v < w, D.LessThanOrEqual: lambda v, w: v is not None and v <= w,
-        D.IsNull: lambda v, w: v is None, D.IsNotNull: lambda v, w: v is not None,
-        D.StringStartsWith: lambda v, w: v is not None and v.startswith(w), D.StringEndsWith: lambda v, w: v is not None and v.endswith(w), D.StringContains: lambda v, w: v is not None and w in v,
-    }
-    test = tests.get(type(f))
-    value = getattr(f, "value", None)
-    return test and (lambda row: test(row[name], value))
+    says, name, value = _SAYS[type(f)], column[0], getattr(f, "value", None)
+    return lambda row: says(row[name], value)
 
 
 class WarcReader(D.DataSourceReader):
@@ -246,7 +256,10 @@ class WarcReader(D.DataSourceReader):
 
 
 def archive_files(path: str) -> list[str]:
-    """A single archive, or those of a folder: the ones its manifests list, or without any all .warc and .warc.gz."""
+    """A single archive, or those of a folder: the ones its manifests list, or without any all .warc and .warc.gz.
+
+    A manifest that another one replaces doesn't count, even while it is still there.
+    """
     from pyarrow import fs
 
     system, inner = file_system(path)
@@ -256,14 +269,17 @@ def archive_files(path: str) -> list[str]:
     found = [x.path for x in system.get_file_info(fs.FileSelector(inner, recursive=False, allow_not_found=True)) if x.type == fs.FileType.File]
     manifests = [x for x in found if re.search(r"/manifest-[^/]*\.json$", x)]
     if manifests:
-        names = []
-        for m in manifests:
-            with system.open_input_stream(m) as f:
-                names += json.loads(f.read())["files"]
-        return [f"{path.rstrip('/')}/{n}" for n in sorted(names)]
+        lists = {m.rsplit("/", 1)[1]: _listed(system, m) for m in manifests}
+        replaced = {x for own in lists.values() for x in own.get("replaces", ())}
+        return [f"{path.rstrip('/')}/{n}" for n in sorted(n for m, own in lists.items() if m not in replaced for n in own["files"])]
     return sorted(prefix + x for x in found if x.endswith((".warc", ".warc.gz")))
 
 
+def _listed(system, manifest: str) -> dict:
+    with system.open_input_stream(manifest) as f:
+        return json.loads(f.read())
+
+
 @dataclass
 class Written(D.WriterCommitMessage):
     name: str | None
@@ -294,16 +310,20 @@ class WarcWriter(D.DataSourceArrowWriter):
         return Written(name)
 
     def commit(self, messages):
+        """One manifest, moved to its place when it is whole, adds all files at once, or puts them in place of what was there."""
         from pyarrow import fs
 
         system, inner = file_system(self.path)
         system.create_dir(inner, recursive=True)
-        old = [x.path for x in system.get_file_info(fs.FileSelector(inner)) if re.search(r"/manifest-[^/]*\.json$", x.path)]
-        with system.open_output_stream(f"{inner}/manifest-{uuid.uuid4().hex}.json", compression=None) as f:
-            f.write(json.dumps({"files": sorted(m.name for m in messages if m and m.name)}).encode())
-        if self.overwrite:
-            for x in old:
-                system.delete_file(x)
+        before = [x.path for x in system.get_file_info(fs.FileSelector(inner)) if re.search(r"/(manifest-[^/]*\.json|[^/]*\.warc(\.gz)?)$", x.path)] if self.overwrite else []
+        own = {f"{inner}/{m.name}" for m in messages if m and m.name}
+        old = [x for x in before if x not in own]
+        name = f"manifest-{uuid.uuid4().hex}.json"
+        with system.open_output_stream(f"{inner}/{name}.new", compression=None) as f:
+            f.write(json.dumps({"files": sorted(x.rsplit("/", 1)[1] for x in own), "replaces": sorted(x.rsplit("/", 1)[1] for x in old if x.endswith(".json"))}).encode())
+        system.move(f"{inner}/{name}.new", f"{inner}/{name}")
+        for x in sorted(old, key=lambda x: x.endswith(".json")):
+            system.delete_file(x)
 
     def abort(self, messages):
         system, inner = file_system(self.path)
@@ -335,17 +355,35 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
+def archive(spark: SparkSession, path: str, columns: str | None = None, **options: str) -> DataFrame:
+    """The records of an archive as a frame of its own, for one condition; columns are some of SCHEMA, with types.
+
+    Spark doesn't tell Python sources which columns a query needs, so leave payload out where it isn't wanted.
+
+    Spark (4.1) plans a loaded frame's read once and keeps the predicates pushed into it: the same frame,
+    used again without or with another condition, would still give the rows of the first one. So call this
+    for each condition, also for two within one plan.
+    """
+    register(spark)
+    return spark.read.format("warc").schema(columns or SCHEMA).options(**options).load(path)
+
+
 def deduplicated(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """(page_id, uri, payload, payload_digest, refers_to): rows to write; of equal payloads the smallest page_id is the response.
 
     A null html is an empty payload. Rows that share the smallest page_id are all responses, and so are
-    those of a payload that no row with a page_id has. Columns other than page_id, url and html are ignored.
+    those of a payload that no row with a page_id has. An empty table gives no rows. Columns other than
+    page_id, url and html are ignored.
+
+    Only digests are shuffled to find those that repeat. Their table is written, so that its size is known
+    before the join: while it is below the session's broadcast threshold payloads aren't moved, beyond that
+    the join shuffles them.
     """
     rows = own_columns(pages, "page_id", "url", "html").select("page_id", F.col("url").alias("uri"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha1("payload"))
     # pages with a payload of their own need no partner, so only the first of repeated ones are joined
     firsts = rows.where(F.octet_length("payload") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("payload_digest", "first")
-    joined = rows.join(firsts, "payload_digest", "left")
+    joined = rows.join(stored(firsts, "repeated-payloads"), "payload_digest", "left")
     return joined.select("page_id", "uri", "payload", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
@@ -353,6 +391,6 @@ def op7_warc(spark, sf_dir):
     register(spark)
     path = new_path(spark, "warc")
     deduplicated(spark.read.parquet(f"{sf_dir}/pages.parquet")).write.format("warc").mode("append").save(path)
-    found = spark.read.format("warc").option("verify", "true").schema("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long").load(path)
+    found = archive(spark, path, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long", verify="true")
     return found.where(F.col("record_type").isin("response", "revisit"))
 
