@@ -363,8 +363,52 @@ def test_bin_completion_is_optimal_on_small_cases():
     assert worse == 0
 
 
+def test_bin_completion_is_optimal_where_best_fit_is_not():
+    """Lengths from a sixth to a half of the sequence, which best-fit often packs badly."""
+    beaten = 0
+    total = lambda plan: sum(t for t, _ in plan)
+    for seed in range(1500):
+        r = random.Random(seed)
+        size = r.choice([40, 60, 100, 300])
+        items = [r.randint(size // 6, size // 2) for _ in range(r.randint(3, 11))]
+        counts = dict(Counter(items))
+        plan = packing.bin_completion(counts, size)
+        assert used(plan) == counts and total(plan) == fewest(items, size)
+        assert packing.lower_bound(counts, size) <= total(plan)
+        beaten += total(plan) < total(packing.best_fit(counts, size))
+    assert beaten > 20
+    assert total(packing.bin_completion(dict(Counter([21, 24, 25, 30, 35, 38, 41, 41, 44])), 100)) == 3
+
+
+def test_fillings_are_all_undominated_ones():
+    for seed in range(200):
+        r = random.Random(seed)
+        rest = r.randint(5, 30)
+        counts = dict(Counter(r.randint(1, 15) for _ in range(r.randint(1, 8))))
+        items = sorted(Counter(counts).elements())
+        every = set()
+        for mask in range(1 << len(items)):
+            picked = [x for i, x in enumerate(items) if mask >> i & 1]
+            if sum(picked) <= rest:
+                every.add(tuple(picked))
+
+        def beaten(picked):
+            over = Counter(items) - Counter(picked)
+            slack = rest - sum(picked)
+            for mask in range(1 << len(picked)):
+                part = [x for i, x in enumerate(picked) if mask >> i & 1]
+                if any(x <= sum(part) + slack and (x > sum(part) or x == sum(part) and len(part) > 1) for x in over):
+                    return True
+            return False
+
+        expected = {p for p in every if not beaten(p)}
+        found = list(packing.fillings(sorted(counts), counts, rest, rest))
+        assert {tuple(sorted(Counter(dict(p)).elements())) for _, p in found} == expected and len(found) == len(expected)
+        assert [w for w, _ in found] == sorted(w for w, _ in found) and all(w == rest - sum(x * n for x, n in p) for w, p in found)
+
+
 def test_bin_completion_is_never_worse_than_best_fit():
-    for seed in range(20):
+    for seed in range(8):
         r = random.Random(seed)
         counts = dict(Counter(r.randint(1, 4096) for _ in range(r.randint(100, 5000))))
         n = lambda plan: sum(t for t, _ in plan)
