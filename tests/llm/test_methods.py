@@ -93,6 +93,8 @@ def test_adpcm_blocks_one_by_one():
                 index = max(0, min(88, index + int(telephony.INDEX_STEPS[code & 7])))
                 out.append(value)
     assert telephony.adpcm_decode(data).tolist() == out
+    parts = [data[:0], data, data[:256], data[:3], data[:4], data[256:700]]
+    assert [x.tolist() for x in telephony.adpcm_decode_all(parts)] == [telephony.adpcm_decode(x).tolist() for x in parts]
 
 
 @pytest.mark.parametrize("rates", [(8000, 16000), (8000, 22050), (16000, 8000), (44100, 16000)])
@@ -104,13 +106,60 @@ def test_resampling_keeps_a_tone(rates):
     assert np.abs(y - 10_000 * np.sin(2 * np.pi * 440 * np.arange(len(y)) / target))[300:-300].max() < 60
 
 
+def g711(code, law):
+    """The decoders of the recommendation, a code at a time."""
+    if law == telephony.MULAW:
+        code = ~code & 0xFF
+        size = (((code & 15) * 2 + 33) << ((code >> 4) & 7)) - 33
+        return -size * 4 if code & 128 else size * 4
+    code ^= 0x55
+    segment, size = (code >> 4) & 7, (code & 15) * 2 + 1
+    size = size if segment == 0 else (size + 32) << (segment - 1)
+    return size * 8 if code & 128 else -size * 8
+
+
+def plain_feature(pcm):
+    """Twice the rate by the plain sum over the windowed sinc, and the features of that."""
+    half, x = 16, np.asarray(pcm, np.float64)
+    out = []
+    for t in range(2 * len(x)):
+        k = np.arange(max(0, -(-(t - half) // 2)), min(len(x), (t + half) // 2 + 1))
+        d = t - 2 * k
+        out.append(float((x[k] * np.sinc(d / 2) * (0.54 + 0.46 * np.cos(np.pi * d / half))).sum()))
+    y = np.clip(np.rint(out), -32768, 32767)
+    return [len(y), int(np.abs(y).max(initial=0)), int((y * y).sum()) // max(1, len(y)), int(((y[1:] >= 0) != (y[:-1] >= 0)).sum())]
+
+
 def test_audio_query_gives_back_the_payload(spark, small, texts):
+    formats = Counter()
+    media = {r["doc_id"]: bytes(r["media"]) for r in telephony.stored_audio(small).collect()}
+    pcm = {r["doc_id"]: bytes(r["pcm"]) for r in telephony.decoded_audio(telephony.stored_audio(small)).collect()}
     for r in telephony.op2_telephony_audio(spark, SMALL).collect():
         raw = (texts[r["doc_id"]] or "").encode()
         padded = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
-    pcm = telephony.decoded_audio(telephony.stored_audio(small)).where("error is null").limit(3).collect()
-    assert all(telephony.read_wav(bytes(r["pcm"]))[:2] == (telephony.PCM, 16000) for r in pcm)
+        assert (r["media_bytes"], r["media_sha256"], r["pcm_sha256"]) == (len(media[r["doc_id"]]), hashlib.sha256(media[r["doc_id"]]).hexdigest(), hashlib.sha256(pcm[r["doc_id"]]).hexdigest())
+        assert telephony.read_wav(pcm[r["doc_id"]])[:2] == (telephony.PCM, 16000)
+        formats[r["format"]] += 1
+        if formats[r["format"]] <= 12:
+            if r["format"] == telephony.ADPCM:
+                expanded = telephony.adpcm_decode(b"".join(b"\0\0\x18\0" + padded[k : k + 252] for k in range(0, len(padded), 252)))  # held against a plain decoder above
+            else:
+                expanded = [g711(c, r["format"]) for c in padded]
+            got = [int(x.split("=")[1]) for x in r["feature"].split(";")]
+            want = plain_feature(expanded)
+            assert got[0] == want[0] and abs(got[1] - want[1]) <= 1 and abs(got[2] - want[2]) <= 1 + want[2] * 1e-5 and abs(got[3] - want[3]) <= 2
+    assert set(formats) == set(telephony.FORMATS) and min(formats.values()) > 20
+
+
+@pytest.mark.parametrize("tag", telephony.FORMATS)
+def test_payloads_come_back_from_every_format(tag):
+    r = random.Random(6)
+    for n in (64, 128, 192, 256, 252 * 64, 6400):
+        payload = r.randbytes(n)
+        audio = telephony.read_all([telephony.framed(payload, tag)])[0]
+        assert audio.tag == tag and telephony.unframed(tag, audio.data, audio.block) == payload
+        assert len(audio.pcm) == (n if tag != telephony.ADPCM else 2 * n + -(-n // 252))
 
 
 def test_broken_media_say_why(spark):

@@ -1,8 +1,12 @@
 """Telephony audio columns: G.711 and IMA ADPCM in WAV containers, decoded to resampled PCM.
 
 Mu-law and A-law codes expand through tables of 256 entries made from their rules. ADPCM blocks
-are independent of each other, so numpy decodes one sample of all blocks at a time. PCM is
-resampled by a windowed-sinc filter, in stretches of bounded length, and stored as 16-bit WAV.
+are independent of each other, so numpy decodes one sample of all blocks of a batch of files at a
+time. PCM is resampled by a windowed-sinc filter, in stretches of bounded length, and stored as
+16-bit WAV.
+
+A payload of bytes is stored as the codes of one of these formats: a byte is a sample of G.711, or
+two of ADPCM, whose blocks each begin with a header of a first sample and a step.
 """
 
 from __future__ import annotations
@@ -12,11 +16,12 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from veritab.llm.common import bounded_batches, documents, own_columns, rows_of
+from veritab.llm.common import bounded_batches, documents, own_columns, rows_of, stored
 
 #: Format tags of WAV.
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 0x11
@@ -25,6 +30,10 @@ TARGET_RATE = 16000
 BLOCK_BYTES = 256
 STRETCH = 1 << 20
 UNIT = 64
+#: Formats in which payloads are stored, chosen by their checksum: equal payloads are stored alike.
+FORMATS = (MULAW, ALAW, ADPCM)
+#: First sample and step index of each ADPCM block around a payload.
+BLOCK_HEAD = struct.pack("<hBx", 0, 24)
 
 
 def mulaw_table() -> np.ndarray:
@@ -77,22 +86,34 @@ def adpcm_decode(data: bytes, block: int = BLOCK_BYTES) -> np.ndarray:
 
     A last block that is cut short is decoded as far as it goes; a rest without a whole header is dropped.
     """
-    whole = len(data) // block
-    parts = []
-    for raw in (np.frombuffer(data, np.uint8, whole * block).reshape(whole, block), np.frombuffer(data, np.uint8, offset=whole * block).reshape(1, -1)):
-        if not raw.size or raw.shape[1] < 4:
-            continue
-        value = raw[:, :2].copy().view("<i2")[:, 0].astype(np.int32)
-        index = np.minimum(raw[:, 2].astype(np.int32), len(STEP_SIZES) - 1)
-        out = np.empty((len(raw), 1 + 2 * (raw.shape[1] - 4)), np.int16)
-        out[:, 0] = value
-        for at in range(4, raw.shape[1]):
-            byte = raw[:, at].astype(np.int32)
-            for half, code in enumerate((byte & 15, byte >> 4)):
-                value, index = _next(value, index, code)
-                out[:, 1 + 2 * (at - 4) + half] = value
-        parts.append(out.reshape(-1))
-    return np.concatenate(parts) if parts else np.empty(0, np.int16)
+    return adpcm_decode_all([data], block)[0]
+
+
+def adpcm_decode_all(files: list[bytes], block: int = BLOCK_BYTES) -> list[np.ndarray]:
+    """PCM of the blocks of several files, one sample of all their blocks at a time."""
+    if block < 4:
+        raise ValueError("ADPCM blocks have a header of 4 bytes")
+    ends = np.cumsum([-(-len(x) // block) for x in files])
+    raw = np.zeros((int(ends[-1]) if len(ends) else 0, block), np.uint8)
+    for x, end in zip(files, ends.tolist(), strict=True):
+        own = raw[end - -(-len(x) // block) : end].reshape(-1)
+        own[: len(x)] = np.frombuffer(x, np.uint8)
+    index = np.minimum(raw[:, 2].astype(np.int32), len(STEP_SIZES) - 1)
+    value = raw[:, :2].copy().view("<i2")[:, 0].astype(np.int32)
+    each = 1 + 2 * (block - 4)
+    out = np.empty((each, len(raw)), np.int16)
+    out[0] = value
+    codes = np.ascontiguousarray(raw[:, 4:].T)
+    for at in range(len(codes)):
+        for half, code in enumerate((codes[at] & 15, codes[at] >> 4)):
+            value, index = _next(value, index, code)
+            out[1 + 2 * at + half] = value
+    pcm, found = out.T, []
+    for x, end in zip(files, ends.tolist(), strict=True):
+        over = len(x) % block
+        samples = len(x) // block * each + (1 + 2 * (over - 4) if over >= 4 else 0)
+        found.append(pcm[end - -(-len(x) // block) : end].reshape(-1)[:samples])
+    return found
 
 
 def adpcm_encode(pcm: np.ndarray, block: int = BLOCK_BYTES) -> bytes:
@@ -146,6 +167,21 @@ def read_wav(file: bytes) -> tuple[int, int, int, memoryview, int | None]:
     raise ValueError("WAV file without data")
 
 
+def framed(payload: bytes, tag: int, block: int = BLOCK_BYTES) -> bytes:
+    """A WAV file whose codes are the payload: nothing is lost."""
+    if tag != ADPCM:
+        return wav(tag, payload)
+    parts = [payload[at : at + block - 4] for at in range(0, len(payload), block - 4)]
+    return wav(tag, b"".join(BLOCK_HEAD + x for x in parts), samples=len(parts) + 2 * len(payload), block=block)
+
+
+def unframed(tag: int, data: memoryview | bytes, block: int) -> bytes:
+    """The payload that was stored, from the codes of a WAV file."""
+    if tag != ADPCM:
+        return bytes(data)
+    return b"".join(bytes(data[at + 4 : at + block]) for at in range(0, len(data), block))
+
+
 def expand(tag: int, data: memoryview | bytes, block: int = BLOCK_BYTES) -> np.ndarray:
     """16-bit PCM of stored samples."""
     if tag in tables():
@@ -157,6 +193,38 @@ def expand(tag: int, data: memoryview | bytes, block: int = BLOCK_BYTES) -> np.n
     raise ValueError(f"unknown WAV format {tag}")
 
 
+@dataclass
+class Audio:
+    """A WAV file that was read: its format, rate, block size, codes and samples; or why it couldn't be."""
+
+    tag: int = 0
+    rate: int = 0
+    block: int = 1
+    data: memoryview | bytes = b""
+    pcm: np.ndarray | None = None
+    error: str | None = None
+
+
+def read_all(files: list[bytes | None]) -> list[Audio]:
+    """Several WAV files; ADPCM blocks of the same size are decoded together."""
+    found, blocks = [], {}
+    for file in files:
+        try:
+            tag, rate, block, data, samples = read_wav(file or b"")
+            audio = Audio(tag, rate, block, data)
+            if tag == ADPCM and block >= 4:
+                blocks.setdefault(block, []).append((audio, samples))
+            else:
+                audio.pcm = expand(tag, data, block)
+        except (ValueError, struct.error) as error:
+            audio = Audio(error=str(error))
+        found.append(audio)
+    for block, of in blocks.items():
+        for (audio, samples), pcm in zip(of, adpcm_decode_all([bytes(a.data) for a, _ in of], block), strict=True):
+            audio.pcm = pcm[:samples]
+    return found
+
+
 @functools.cache
 def _filter(up: int, down: int) -> np.ndarray:
     """A Hamming-windowed sinc, 8 zero crossings to each side, of `up` phases."""
@@ -196,26 +264,29 @@ def resampled(pcm: np.ndarray, rate: int, target: int = TARGET_RATE, stretch: in
         yield np.clip(np.rint(out), -32768, 32767).astype(np.int16)
 
 
-def feature(pcm: np.ndarray, rate: int) -> str:
-    """Integer features of the resampled signal: samples, peak, mean square, zero crossings."""
+def described(pcm: np.ndarray, rate: int, target: int = TARGET_RATE) -> tuple[bytes, str]:
+    """(the resampled signal as a 16-bit WAV file, its features): samples, peak, mean square, zero crossings."""
     n = peak = square = crossings = 0
-    last = 0
-    for x in resampled(pcm, rate):
+    last, parts = 0, []
+    for x in resampled(pcm, rate, target):
+        parts.append(x.astype("<i2").tobytes())
         n += len(x)
-        peak = max(peak, int(np.abs(x.astype(np.int32)).max(initial=0)))
-        square += int(np.square(x.astype(np.int64)).sum())
+        wide = x.astype(np.int32)
+        peak = max(peak, int(np.abs(wide).max(initial=0)))
+        square += int(np.dot(x.astype(np.float64), x.astype(np.float64)))  # exact: below 2 ** 53
         sign = x >= 0
         crossings += int((sign[1:] != sign[:-1]).sum()) + int(last != 0 and len(sign) > 0 and (last > 0) != bool(sign[0]))
         last = 1 if len(sign) and sign[-1] else -1
-    return f"n={n};peak={peak};ms={square // n if n else 0};zc={crossings}"
+    return wav(PCM, b"".join(parts), target), f"n={n};peak={peak};ms={square // n if n else 0};zc={crossings}"
 
 
-def stored_audio(df: DataFrame, tag: int = MULAW) -> DataFrame:
-    """(doc_id, n_bytes, media): the UTF-8 of each text, padded with bytes 0, as the codes of a G.711 WAV file.
+def stored_audio(df: DataFrame, formats: tuple[int, ...] = FORMATS) -> DataFrame:
+    """(doc_id, n_bytes, media): the UTF-8 of each text, padded with bytes 0, as the codes of a WAV file.
 
-    A null text is stored as an empty one. Nothing is lost: the codes are the bytes.
+    A null text is stored as an empty one, which is padded as any other. Nothing is lost: the codes are the bytes.
+    Equal texts give equal files, whatever else is in the row. Repeated rows each give a row, an empty table none;
+    other columns are ignored. A very long text is one long file.
     """
-    assert tag in (MULAW, ALAW)
     bounded_batches(df.sparkSession)
 
     def store(batches):
@@ -223,16 +294,18 @@ def stored_audio(df: DataFrame, tag: int = MULAW) -> DataFrame:
 
         for ids, texts in rows_of(batches, "doc_id", "text"):
             raw = [(t or "").encode() for t in texts]
-            media = [wav(tag, x + b"\0" * (max(1, -(-len(x) // UNIT)) * UNIT - len(x))) for x in raw]
+            whole = [x + b"\0" * (max(1, -(-len(x) // UNIT)) * UNIT - len(x)) for x in raw]
+            media = [framed(x, formats[zlib.crc32(x) % len(formats)]) for x in whole]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return own_columns(df, "doc_id", "text").mapInArrow(store, "doc_id long, n_bytes long, media binary")
 
 
 def decoded_audio(df: DataFrame, rate: int = TARGET_RATE) -> DataFrame:
-    """(doc_id, pcm, error): WAV files of column media as 16-bit PCM WAV files at the rate.
+    """(doc_id, pcm, error): WAV files of column media as 16-bit PCM WAV files at the rate, to be stored.
 
-    A null or unreadable file gives a null pcm and says why in error.
+    A null or unreadable file gives a null pcm and says why in error. Repeated rows each give a row, an
+    empty table none; other columns are ignored.
     """
     bounded_batches(df.sparkSession)
 
@@ -240,24 +313,20 @@ def decoded_audio(df: DataFrame, rate: int = TARGET_RATE) -> DataFrame:
         import pyarrow as pa
 
         for ids, files in rows_of(batches, "doc_id", "media"):
-            pcm, errors = [], []
-            for file in files:
-                try:
-                    tag, own, block, data, samples = read_wav(file or b"")
-                    x = expand(tag, data, block)
-                    x = x[:samples] if tag == ADPCM and samples is not None else x
-                    pcm.append(wav(PCM, b"".join(y.astype("<i2").tobytes() for y in resampled(x, own, rate)), rate))
-                    errors.append(None)
-                except (ValueError, struct.error) as error:
-                    pcm.append(None)
-                    errors.append(str(error))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pcm, pa.binary()), pa.array(errors, pa.string())], names=["doc_id", "pcm", "error"])
+            found = read_all(files)
+            pcm = [None if a.pcm is None else described(a.pcm, a.rate, rate)[0] for a in found]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pcm, pa.binary()), pa.array([a.error for a in found], pa.string())], names=["doc_id", "pcm", "error"])
 
     return own_columns(df, "doc_id", "media").mapInArrow(decode, "doc_id long, pcm binary, error string")
 
 
 def audio_digests(df: DataFrame) -> DataFrame:
-    """The digest columns of stored media (doc_id, n_bytes, media), from the stored bytes read back."""
+    """The digest columns of stored media (doc_id, n_bytes, media), from the stored bytes read back.
+
+    feature, pcm_bytes and pcm_sha256 are of the file that decoded_audio gives. A null or unreadable file ends
+    the job, as stored_audio writes none. Repeated rows each give a row, an empty table none; other columns
+    are ignored.
+    """
     bounded_batches(df.sparkSession)
 
     def digest(batches):
@@ -265,14 +334,19 @@ def audio_digests(df: DataFrame) -> DataFrame:
 
         for ids, sizes, files in rows_of(batches, "doc_id", "n_bytes", "media"):
             out = []
-            for file in files:
-                tag, rate, block, data, _ = read_wav(file)
-                out.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(file), hashlib.sha256(file).hexdigest(), feature(expand(tag, data, block), rate)))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            for file, audio in zip(files, read_all(files), strict=True):
+                if audio.pcm is None:
+                    raise ValueError(audio.error)
+                payload = unframed(audio.tag, audio.data, audio.block)
+                pcm, feature = described(audio.pcm, audio.rate)
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(file), hashlib.sha256(file).hexdigest(), feature, audio.tag, len(pcm), hashlib.sha256(pcm).hexdigest()))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string()]
+            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "format", "pcm_bytes", "pcm_sha256"]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]], names=names)
 
-    return df.select("doc_id", "n_bytes", "media").mapInArrow(digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    columns = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, format int, pcm_bytes long, pcm_sha256 string"
+    return own_columns(df, "doc_id", "n_bytes", "media").mapInArrow(digest, columns)
 
 
 def op2_telephony_audio(spark, sf_dir):
-    return audio_digests(stored_audio(documents(spark, sf_dir)))
+    return audio_digests(stored(stored_audio(documents(spark, sf_dir)), "media"))
