@@ -25,7 +25,7 @@ KINDS = ("email", "ip", "card", "phone")
 ADDED = "secret"
 BITS = 12
 SAMPLE = 20_000
-ACCEPT = 0.9
+ACCEPT = 0.5
 #: Share of candidates assumed to be personal before anything is known.
 PRIOR = 0.5
 
@@ -36,6 +36,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_LETTER = re.compile(r"[A-Za-z]")
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -84,7 +85,7 @@ HARMLESS = frozenset({"version", "page", "section", "chapter", "license", "cc",
 _CANDIDATE = re.compile(r"(?<![^\s\"'`=:&,;|()\[\]{}<>])[A-Za-z0-9_+/-]{6,}(?:\.[A-Za-z0-9_+/-]+)*={0,2}(?![^\s\"'`&,;|.:!?()\[\]{}<>])")
 _WORD = re.compile(r"[A-Za-z_-]+")
 _KEY = re.compile(
-    r"(?:AKIA[0-9A-Z]{16}|(?=[a-f]*[0-9])[0-9a-f]{16,}|[A-Za-z]{2,4}[-_](?=[A-Za-z]*[0-9])[0-9A-Za-z]{16,}"
+    r"(?:AKIA[0-9A-Z]{16}|(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{16,}|(?=[A-F]*[0-9])(?=[0-9]*[A-F])[0-9A-F]{16,}|[A-Za-z]{2,4}[-_](?=[A-Za-z]*[0-9])[0-9A-Za-z]{16,}"
     r"|eyJ[A-Za-z0-9_-]{5,}(?:\.[A-Za-z0-9_-]+){1,4}|(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{16,}={1,2})\Z"
 )
 _NATURAL = re.compile(r"(?:[A-Z]?[a-z-]+|[A-Z-]+)(?:\.(?:[A-Z]?[a-z-]+|[A-Z-]+))*\Z")
@@ -117,18 +118,22 @@ def candidate_features(token: str, before: str) -> np.ndarray:
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Base spans, and tokens apart from them that hold a digit or are long: (kind or '', start, end)."""
+    """Base spans, and tokens that hold a digit or are long and aren't part of one: (kind or '', start, end).
+
+    Tokens without a letter are no candidates: of mere digits the base patterns say which are personal. A token
+    may hold a base span, as a key may hold the digits of a card.
+    """
     found = list(base)
     taken = sorted((a, b) for _, a, b in base)
-    k = 0
+    k, end = 0, 0  # the farthest end of base spans that start no later than the token
     for m in _CANDIDATE.finditer(text):
-        if len(m[0]) < 14 and not _DIGIT.search(m[0]):
+        if (len(m[0]) < 14 and not _DIGIT.search(m[0])) or not _LETTER.search(m[0]):
             continue
-        while k < len(taken) and taken[k][1] <= m.start():
+        while k < len(taken) and taken[k][0] <= m.start():
+            end = max(end, taken[k][1])
             k += 1
-        if any(a < m.end() and m.start() < b for a, b in taken[k:][:4]):
-            continue
-        found.append(("", m.start(), m.end()))
+        if end < m.end():
+            found.append(("", m.start(), m.end()))
     return found
 
 
@@ -178,8 +183,8 @@ def personal_spans(df: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) of every row.
 
     spans is kind:start:end, comma-joined, by kind (added ones last), then start. A null text counts as
-    empty and has no spans. Repeated rows each give a row; an empty table gives none. Columns other than
-    doc_id and text are ignored.
+    empty and has no spans; very long texts are searched whole. Repeated rows each give a row; an empty table
+    gives none. Columns other than doc_id and text are ignored.
     """
     rows = stored(scanned(df), "spans")
     model, _ = span_model(rows)
@@ -219,7 +224,8 @@ def redact(df: DataFrame) -> DataFrame:
     """df with every text's personal data replaced, and n_chars, if there is one, counted anew.
 
     Spans of a row are found again while it is rewritten, from its own text, so nothing is joined and
-    repeated doc_ids do no harm. A null text stays null.
+    repeated doc_ids do no harm. A null text stays null, an empty one empty; very long ones are rewritten whole.
+    An empty table gives no rows. All columns are kept; n_chars keeps its type.
     """
     rows = stored(scanned(df), "spans")
     model, _ = span_model(rows)
@@ -243,7 +249,7 @@ def redact(df: DataFrame) -> DataFrame:
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
     done = df.mapInArrow(rewrite, df.schema)
-    return done.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))) if "n_chars" in df.columns else done
+    return done.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else done
 
 
 def op3_personal_data(spark, sf_dir):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm.common import bounded_batches, documents, own_columns, rows_of, stored
-from veritab.llm.linear import Logistic, sample_by_hash
+from veritab.llm.linear import Logistic, sample_by_hash, size_within
 from veritab.llm.weak_labels import LabelModel
 
 BITS = 14
@@ -141,12 +141,14 @@ def classified(df: DataFrame, keep: float = KEEP) -> DataFrame:
     """(doc_id, n_votes, posterior, score, kept) of every row.
 
     posterior is the label model's, score the trained scorer's; kept is score >= keep. A null text counts
-    as empty, on which nearly all labellers abstain or vote 0. Repeated rows each give a row; an empty table gives none.
+    as empty, on which nearly all labellers abstain or vote 0. A very long text is judged whole, by one vector of
+    bounded size. Repeated rows each give a row; an empty table gives none.
     Columns other than doc_id and text are ignored.
     """
     rows = stored(weighed(df), "weak-quality")
     _, posterior, total = label_model(rows)
-    sample = sample_by_hash(rows.where("doc_id is not null"), SAMPLE, total).select("votes", "at", "value", "doc_id").collect()
+    total_bytes = rows.agg(F.sum(F.octet_length("at") + F.octet_length("value"))).first()[0] or 0
+    sample = sample_by_hash(rows.where("doc_id is not null"), size_within(SAMPLE, total, total_bytes), total).select("votes", "at", "value", "doc_id").collect()
     sample.sort(key=lambda r: (r["doc_id"], r["votes"]))
     scorer = Logistic(1 << BITS)
     if sample:
