@@ -17,28 +17,40 @@ def _distance(shares: str, refs: str) -> str:
 
 
 def quality_rules() -> str:
+    """Common words, references and limits are worked out from the tables, as the operator does."""
     classes = ", ".join(f"{_ONLY(v)} as c_{k}" for k, v in _QUOTED.items())
     names = [f"c_{k}" for k in Q.CLASSES]
-    common = ", ".join(f"len(list_filter(w, lambda x: x = '{c}' or x = '{c.capitalize()}'))" for c in Q.COMMON_WORDS)
-    known = ", ".join(f"'{c}'" for c in Q.SPELLINGS)
-    n_chars, n_words = len(Q.CLASSES) + 2, len(Q.COMMON_WORDS) + 1
-    shares = lambda col, n: "[" + ", ".join(f"sum({col}[{k}]) / sum(list_sum({col}))" for k in range(1, n + 1)) + "]"
+    n_chars = len(Q.CLASSES) + 2
+    shares = "[" + ", ".join(f"sum(cc[{k}]) / sum(list_sum(cc))" for k in range(1, n_chars + 1)) + "]"
     failed = f"(n_words < {Q.MIN_WORDS} or 100 * n_repeat_words > {Q.MAX_REPEAT_PERCENT} * n_words)"
     k = Q.WINDOW
+    word_chars = "coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)"
+    half = "((1 + other) / 2)"
     return f"""
 with d as (select row_number() over () as rid, doc_id, lang, coalesce(text, '') as t from documents),
 s as (select *, list_filter(regexp_split_to_array(t, '{_SPACE}+'), lambda x: x <> '') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls, length(t) as n_chars, {classes} from d),
+u as (select lang, w, count(*) as n from (select lang, unnest(w) as w from s where lang is not null) x where length(w) <= {Q.COMMON_LETTERS} group by lang, w),
+common as (select distinct w from (select w, row_number() over (partition by lang order by n desc, w) as k from u) x where k <= {Q.COMMON_WORDS}),
+names as (select coalesce(list(w order by w), []) as names from common),
 g as (select rid, i, array_to_string(w[i:i + {k - 1}], ' ') as g from (select rid, w, unnest(range(1, len(w) - {k - 2})) as i from s where len(w) >= {k}) x),
 r as (select rid, i from (select rid, i, count(*) over (partition by rid, g) as n from g) y where n > 1),
 p as (select rid, sum(least({k}, nxt - i))::bigint as n_repeat_words from (select rid, i, coalesce(lead(i) over (partition by rid order by i), i + {k}) as nxt from r) z group by rid),
-c as (select s.rid, doc_id, lang, len(w) as n_words, n_chars, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, c_symbol as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(p.n_repeat_words, 0) as n_repeat_words,
-    [{", ".join(names)}, n_chars - coalesce(list_sum(list_transform(w, lambda x: length(x))), 0), coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) - ({" + ".join(names)})] as cc,
-    [{common}, len(w) - len(list_filter(w, lambda x: x in ({known})))] as wc from s left join p on s.rid = p.rid),
-f as (select lang, sum(n_words) as n, {shares("cc", n_chars)} as rc, {shares("wc", n_words)} as rw from c where not {failed} and lang is not null group by lang order by n desc, lang limit {Q.MAX_LANGUAGES}),
-q as (select list(rc) as rc, list(rw) as rw from f),
-x as (select c.*, {failed} as base_failed, {_distance("cc", "rc")} as js_chars, {_distance("wc", "rw")} as js_words from c, q)
+h as (select rid, w, count(*) as n from (select rid, unnest(w) as w from s) x where w in (select w from common) group by rid, w),
+v as (select rid, map_from_entries(list((w, n))) as found, sum(n) as n_found from h group by rid),
+c as (select s.rid, doc_id, lang, len(w) as n_words, n_chars, {word_chars}::bigint as word_chars, c_symbol as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(p.n_repeat_words, 0) as n_repeat_words,
+    [{", ".join(names)}, n_chars - {word_chars}, {word_chars} - ({" + ".join(names)})] as cc,
+    list_append(list_transform(names, lambda x: coalesce(found[x], 0)), len(w) - coalesce(n_found, 0)) as wc from s left join p on s.rid = p.rid left join v on s.rid = v.rid, names),
+ok as (select * from c where not {failed} and lang is not null),
+fc as (select lang, {shares} as rc from ok group by lang),
+each as (select lang, i, sum(wc[i]) as n from (select lang, wc, unnest(range(1, len(wc) + 1)) as i from ok) x group by lang, i),
+fw as (select lang, list(n / total order by i) as rw, list(n / total order by i)[-1] as other from (select *, sum(n) over (partition by lang) as total from each) x group by lang),
+q as (select (select list(rc) from fc) as rc, (select list(rw) from fw where pow(other, {Q.GUARD_WORDS}) <= {Q.LACKS_ALL}) as rw,
+    (select min(sqrt((1 - log2({half}) + case when other > 0 then other * log2(other / {half}) else 0 end - other) / 2)) from fw where pow(other, {Q.GUARD_WORDS}) <= {Q.LACKS_ALL}) as bare,
+    coalesce((select list(lang) from fw where pow(other, {Q.GUARD_WORDS}) > {Q.LACKS_ALL}), []) as others),
+x as (select c.*, {failed} as base_failed, {_distance("cc", "rc")} as js_chars, {_distance("wc", "rw")} as js_words, bare, others from c, q)
 select doc_id, n_words::bigint as n_words, word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words, base_failed,
-    not base_failed and not coalesce(n_chars >= {Q.GUARD_CHARS} and js_chars > {Q.MAX_CHAR_DISTANCE}, false) and not coalesce(n_words >= {Q.GUARD_WORDS} and js_words > {Q.MAX_WORD_DISTANCE}, false) as kept from x"""
+    not base_failed and not coalesce(n_chars >= {Q.GUARD_CHARS} and js_chars > {Q.MAX_CHAR_DISTANCE}, false)
+    and not coalesce(n_words >= {Q.GUARD_WORDS} and js_words >= {Q.BARE_SHARE} * bare and (len(others) = 0 or not coalesce(list_contains(others, lang), true)), false) as kept from x"""
 
 
 def warc() -> str:
