@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veritab.llm import language_id, linear, mixing, near_duplicates, packing, personal_data, quality_rules, shingles, telephony, tokens, warc, weak_labels, weak_quality
+from veritab.llm import common, language_id, linear, mixing, near_duplicates, packing, personal_data, quality_rules, shingles, telephony, tokens, warc, weak_labels, weak_quality
 from veritab.llm.queries import ORACLE_SQL, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -367,6 +367,63 @@ def test_repeated_rows_lose_no_links_of_a_family(spark):
         assert [tuple(x) for x in near_duplicates.remaining_links(lists, leaders, labels, df).collect()] == [(4, 5)]
 
 
+def test_pairs_near_the_threshold_are_all_found(spark):
+    """Recall over pairs of all sizes whose similarity is just above and below the threshold."""
+    rng = np.random.default_rng(21)
+    rows, linked, near = [], {}, 0
+    for k in range(700):
+        n = int(rng.integers(6, 60)) if k % 2 else int(rng.integers(60, 700))
+        base = [f"w{x}" for x in rng.integers(0, 100_000, n)]
+        other = list(base)
+        cut = max(1, round((n - 4) / 7 * rng.uniform(0.7, 1.2)))  # about a seventh of the shingles differ at 0.75
+        at = int(rng.integers(0, n))
+        other = other[:at] + other[at + cut :] if k % 3 else other[:at] + [f"v{x}" for x in rng.integers(0, 100_000, cut)] + other[at + cut :]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        a, b = word_sets(rows[-2][1]), word_sets(rows[-1][1])
+        share = len(a & b) / max(1, len(a | b))
+        near += abs(share - 0.75) < 0.05
+        linked[2 * k + 1] = 100 * len(a & b) >= 75 * len(a | b) and len(b) > 0
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert near > 100 and 100 < sum(linked.values()) < 690
+    assert {d for d, yes in linked.items() if yes} == {d for d in linked if found[d] == d - 1}
+
+
+@pytest.mark.parametrize("bits", [1 << 4, 1 << 28])
+def test_needed_texts_by_filter_and_by_join(spark, monkeypatch, bits):
+    monkeypatch.setattr(near_duplicates, "FILTER_BITS", bits)
+    df = spark.createDataFrame([(k, f"t{k}") for k in range(200)] + [(None, "x")], "doc_id long, text string")
+    pairs = spark.createDataFrame([(3, 7), (7, 9), (150, 3)], "a long, b long")
+    found = {r["id"]: r["text"] for r in near_duplicates.needed_texts(df, pairs).collect()}
+    assert set(found) >= {3, 7, 9, 150} and len(found) < 20 and all(t == f"t{k}" for k, t in found.items())
+
+
+def test_stored_tables_that_nothing_reads_are_deleted(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    assert near_duplicates.near_duplicates(small).count() == small.count()
+    assert {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()} <= {"sketches", "classes", "labels", "frequencies", "families"}
+
+
+def test_a_session_without_a_shared_folder(spark):
+    class Session:
+        conf = type("Conf", (), {"get": lambda self, name, default=None: default})()
+
+        def __init__(self, master):
+            conf = type("Conf", (), {"get": lambda self, name: None})()
+            self.sparkContext = type("Context", (), {"master": master, "applicationId": "test-app", "getConf": lambda self: conf})()
+
+    assert common.shared_dir(Session("local[2]")) == common.shared_dir(Session("local[2]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session("spark://host:7077"))
+
+
+def test_words_made_to_collide_in_polynomials_differ():
+    """Thue-Morse words have equal polynomial sums modulo 2 ** 64 for every odd base."""
+    one = "".join("ab"[k.bit_count() & 1] for k in range(2048))
+    other = "".join("ba"[k.bit_count() & 1] for k in range(2048))
+    a, b = shingles.shingles(f"x y {one} z u"), shingles.shingles(f"x y {other} z u")
+    assert shingles.shared(a, b) == 0 and len(a) == len(b) == 1
+
+
 def test_bounds_and_estimates():
     least = near_duplicates.least_shared()
     assert [int(least[n]) for n in (1, 4, 20, 48)] == [1, 3, 15, 36] and (least[1:] >= 1).all()

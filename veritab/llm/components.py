@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm.common import stored
+from veritab.llm.common import discard, stored
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -23,7 +23,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         # written, so that the next join has two plain shuffles: a component of very many nodes is one hot label
         low = stored(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label")), "lower")
         jump = low.select(F.col("node").alias("label"), F.col("label").alias("of"))
-        low = stored(low.join(jump, "label", "left").select("node", "old", F.least("label", "of").alias("label")), "labels")
-        labels = low.select("node", "label")
-        if low.where("old <> label").isEmpty():
-            return labels
+        new = stored(low.join(jump, "label", "left").select("node", "old", F.least("label", "of").alias("label")), "labels")
+        discard(labels, low)
+        labels = new
+        if new.where("old <> label").isEmpty():
+            discard(both)
+            return new.select("node", "label")

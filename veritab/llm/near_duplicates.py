@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm import shingles as S
-from veritab.llm.common import bounded_batches, documents, own_columns, rows_of, stored
+from veritab.llm.common import bounded_batches, discard, documents, own_columns, rows_of, stored
 from veritab.llm.components import connected_components
 
 K = 64
@@ -34,8 +34,10 @@ PERCENT = 75
 MISS = 1e-9
 #: Members of a block, when lists are compared block by block.
 BLOCK = 128
-#: Bits of the filter of documents whose texts are needed for verification: 8 MB, whatever the input.
-FILTER_BITS = 1 << 26
+#: Bits of the filter of documents whose texts are needed for verification: 32 MB, whatever the input.
+FILTER_BITS = 1 << 28
+#: With fewer bits for each of these documents the filter would let too many others through; then they are joined.
+FILTER_SHARE = 8
 
 
 def _lower_end(draws: int, total: int, good: int) -> int:
@@ -133,12 +135,21 @@ def estimated(pairs: DataFrame, classes: DataFrame, k: int = K, percent: int = P
 
 
 def needed_texts(df: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, text) of the documents in pairs, and of few others: found in one pass with a bit filter of fixed size."""
-    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    """(id, text) of the documents in pairs, and maybe of few others.
+
+    Found in one pass with a bit filter broadcast to all, whose size grows with the documents up to
+    FILTER_BITS; beyond that by a join.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = own_columns(df, "doc_id", "text").where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+    n = ids.count()
+    if n * FILTER_SHARE > FILTER_BITS:
+        return texts.join(ids, "id", "left_semi")
+    size = min(FILTER_BITS, 1 << max(12, (n * 2 * FILTER_SHARE).bit_length()))
+    place = F.pmod(F.xxhash64("id"), F.lit(size))
     bits = ids.select(place.alias("p")).select(F.expr("cast(shiftright(p, 5) as int)").alias("at"), F.expr("shiftleft(1L, cast(p % 32 as int))").alias("bit"))
     rows = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
-    table = np.zeros(FILTER_BITS >> 5, np.uint32)
+    table = np.zeros(size >> 5, np.uint32)
     table[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
     shared = df.sparkSession.sparkContext.broadcast(table)
 
@@ -149,7 +160,6 @@ def needed_texts(df: DataFrame, pairs: DataFrame) -> DataFrame:
             p = batch.column(batch.schema.get_field_index("place")).to_numpy()
             yield batch.filter(pa.array((shared.value[p >> 5] >> (p & 31).astype(np.uint32)) & np.uint32(1) > 0)).select(["id", "text"])
 
-    texts = own_columns(df, "doc_id", "text").where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
     return texts.select("id", "text", place.alias("place")).mapInArrow(chosen, "id long, text string")
 
 
@@ -174,23 +184,40 @@ def verified(pairs: DataFrame, df: DataFrame, percent: int = PERCENT) -> DataFra
 
     side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))
     found = open_.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b").mapInArrow(judge, "a long, b long")
-    return pairs.where("sure").select("a", "b").union(found)
+    links = stored(pairs.where("sure").select("a", "b").union(found), "verified")
+    discard(texts)
+    return links
+
+
+def sketches_allow(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, k: int = K, percent: int = PERCENT) -> np.ndarray:
+    """For sets at places `left` and `right`, whether sizes and the values that their sketches share allow a link.
+
+    The chance of a wrong no is MISS, as in the lists: two sets at the threshold share least_shared values of their sketches.
+    """
+    least = least_shared(k, percent)
+    n = np.array([len(x) for x in sets])
+    small, large = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
+    needed = least[np.minimum(large, len(least) - 1)]
+    return (small > 0) & (100 * small >= percent * large) & (S.shared_matrix([x[:k] for x in sets], left, right) >= needed)
 
 
-def remaining_links(lists: DataFrame, leaders: DataFrame, labels: DataFrame, df: DataFrame, percent: int = PERCENT) -> DataFrame:
+def remaining_links(lists: DataFrame, leaders: DataFrame, labels: DataFrame, df: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """(a, b): links across components between members of a list neither of which led it.
 
     Lists whose largest component is the same one make up a family. What a family has outside that
-    component is compared with all of it on full sets, block by block. Each block passes on one link
-    for two components at most.
+    component is compared with all of it, block by block: the union of two sketches drops hopeless pairs,
+    full sets decide on the rest. Each block passes on one link for two components at most, so a pair of
+    components is done with at its first link.
     """
     of = lists.join(leaders.withColumnRenamed("a", "leader"), "value").where("rep <> leader")
     of = of.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", F.coalesce("label", "rep").alias("label"))
     of = stored(of, "list-members")
     counts = of.groupBy("value", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = counts.groupBy("value").agg(F.max(F.struct("n", "label"))["label"].alias("family"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    members = stored(of.join(stored(mixed.select("value", "family"), "mixed"), "value").select("family", "rep", "label").distinct(), "families")
+    mixed = stored(mixed.select("value", "family"), "mixed")
+    members = stored(of.join(mixed, "value").select("family", "rep", "label").distinct(), "families")
     if members.isEmpty():
+        discard(of, mixed)
         return members.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("all_blocks"), F.ceil(F.count_if(F.col("label") != F.col("family")) / BLOCK).cast("int").alias("rest_blocks"))
     rest = F.col("label") != F.col("family")
@@ -212,16 +239,18 @@ def remaining_links(lists: DataFrame, leaders: DataFrame, labels: DataFrame, df:
         sets = [S.shingles(t) for t in table["text"].to_pylist()]
         # of a family of one block all rows are on both sides
         left, right = np.flatnonzero(rest), np.arange(len(rest)) if table["alone"][0].as_py() else np.flatnonzero(~rest)
-        common = S.shared_matrix(sets, left, right)
-        n = np.array([len(x) for x in sets])
-        ok = (100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)) & (labels[left][:, None] != labels[right][None, :])
+        possible = sketches_allow(sets, left, right, k, percent) & (labels[left][:, None] != labels[right][None, :])
         found = {}
-        for p, q in zip(*np.nonzero(ok), strict=True):
+        for p, q in zip(*np.nonzero(possible), strict=True):
             x, y = left[p], right[q]
-            found.setdefault((min(labels[x], labels[y]), max(labels[x], labels[y])), (min(reps[x], reps[y]), max(reps[x], reps[y])))
+            parts = (min(labels[x], labels[y]), max(labels[x], labels[y]))
+            if parts not in found and S.linked(sets[x], sets[y], percent):
+                found[parts] = (min(reps[x], reps[y]), max(reps[x], reps[y]))
         return pa.table({"a": pa.array([a for a, _ in found.values()], pa.int64()), "b": pa.array([b for _, b in found.values()], pa.int64())})
 
-    return rows.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
+    links = stored(rows.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long"), "more")
+    discard(of, mixed, members, texts)
+    return links
 
 
 def near_duplicates(df: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -240,11 +269,14 @@ def near_duplicates(df: DataFrame, k: int = K, percent: int = PERCENT) -> DataFr
     leaders = lists.groupBy("value").agg(F.max(F.struct("score", (-F.col("rep")).alias("least"), "rep"))["rep"].alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("value", "a")
     leaders = stored(leaders, "leaders")
     first = lists.join(leaders, "value").where("rep <> a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-    links = stored(verified(stored(estimated(first, classes, k, percent), "estimated"), df, percent), "verified")
+    pairs = stored(estimated(first, classes, k, percent), "estimated")
+    links = verified(pairs, df, percent)
+    discard(pairs)
     labels = connected_components(links)
-    more = stored(remaining_links(lists, leaders, labels, df, percent), "more")
+    more = remaining_links(lists, leaders, labels, df, k, percent)
     if not more.isEmpty():
         labels = connected_components(links.union(more))
+    discard(lists, leaders, links, more)
     top = classes.select("same", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("label", "rep").alias("label"))
     found = rows.select("doc_id", "n_shingles", "same").join(top, "same", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
