@@ -69,6 +69,21 @@ def test_csv_records():
             csv_text.parse(bad)
 
 
+def test_broken_texts_dont_stop_the_others(spark):
+    texts = [("a", "x,y\n1,2\n"), ("b", 'x\n"open'), ("c", None), ("d", "\0"), ("e", ""), ("f", "\ufeffz\n\n")]
+    found = csv_text.parsed(spark.createDataFrame(texts, "id string, content string"))
+    assert rows(found.where("error is null"), "id", "record", "cells") == [("a", 1, ["x", "y"]), ("a", 2, ["1", "2"]), ("f", 1, ["z"]), ("f", 2, [])]
+    assert {r["id"] for r in found.where("error is not null and record is null and cells is null").collect()} == {"b", "c", "d", "e"} and found.count() == 8
+
+
+def test_only_sound_tables_are_cleaned(spark):
+    good, headers = csv_text.table(spark, "a,b\n x ,y\n")
+    assert quality.trimmed_cells(good, headers).count() == quality.trim_changes(good, headers).count() == 1
+    for content in ("a,b\nx\n", "a,A \nx,y\n", ",b\nx,y\n", "a,b\nx,y,z\n"):
+        with pytest.raises(SpecError, match="not a table"):
+            quality.trimmed_cells(*csv_text.table(spark, content))
+
+
 def test_structural_mix(spark):
     df, headers = csv_text.table(spark, 'name,amount\n" Alice ",10\nBob,\nBob,\nOnlyName\n')
     assert dict(rows(quality.issue_counts(quality.findings(df, headers)), "kind", "n")) == {"whitespace": 1, "missing": 3, "duplicate": 1, "row_width": 1}
@@ -502,7 +517,7 @@ def test_pages_of_bundles(spark):
         receipts.split_pages(spark.createDataFrame([(1, ["x"] * 201)], "id long, pages array<string>")).collect()
 
 
-def test_folders_readers_and_extractors(spark, tmp_path):
+def test_folders_readers_and_extractors(spark, tmp_path, monkeypatch):
     for name, content in {"a.pdf": b"one page of text that is long enough", "b/c.PNG": b"one page of text that is long enough", "d.txt": b"no", "e.jpg": b"other"}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(content)
@@ -513,11 +528,30 @@ def test_folders_readers_and_extractors(spark, tmp_path):
         with open(path.removeprefix("file:")) as f:
             return [f.read()]
 
-    read_ = files.with_text(found.where("duplicate_of is null"), read)
+    monkeypatch.setattr(files, "MAX_BYTES", 10)
+    assert rows(files.imported(spark, str(tmp_path)), "name", "status", "error", "digest")[:2] == [("a.pdf", "refused", "more than 25 MiB", None), ("c.PNG", "refused", "more than 25 MiB", None)]
+    read_ = files.with_text(found.where("duplicate_of is null").drop("error"), read)
     out = {r["name"]: r for r in files.extracted(read_, lambda raw: {"merchant": raw[9:17], "total": 5}).collect()}
     assert out["a.pdf"]["fields"] == {"merchant": "one page", "total": "5"} and out["e.jpg"]["extraction_error"]
 
 
+def test_unreadable_amounts_stand_against_approval(spark):
+    fields = {"merchant": "M", "receipt_number": "1", "date": "2026-01-02", "calendar": "gregorian", "currency": "USD", "total": "5", "subtotal": "", "tax": "", "service_charge": "", "document_type": "receipt", "status": "review"}
+    cases = [{}, {"tax": "abc"}, {"total": "x"}, {"subtotal": "-1", "service_charge": "1.234"}, {"total": ""}]
+    df = spark.createDataFrame([(k, *(fields | {"receipt_number": str(k)} | c).values(), None) for k, c in enumerate(cases)], "id long, " + ", ".join(f"{f} string" for f in fields) + ", duplicate_of long")
+    found = receipts.reviewed(receipts.validated(receipts.normalised(df)), F.lit(True), F.lit(False))
+    assert rows(found, "id", "status", "issues") == [(0, "approved", []), (1, "review", ["unreadable tax"]), (2, "review", ["unreadable total"]), (3, "review", ["unreadable subtotal", "unreadable service_charge"]), (4, "review", ["missing total"])]
+
+
+def test_places_of_the_queue(spark):
+    late = [(k, f"o{k % 7}-{k}", "t", "2026-01-01", f"2026-01-{5 + k % 4:02}", "" if k % 3 else "2026-01-20") for k in range(60)]
+    df = spark.createDataFrame(late, "record long, order_id string, team string, ordered_on string, due_on string, delivered_on string")
+    checked = orders.checked(df, "2026-01-25")
+    expected = [r["order_id"] for r in orders.queue(checked).collect()]
+    assert [r["order_id"] for r in orders.queue_places(checked).orderBy("place").collect()] == expected
+    assert sorted(r["place"] for r in orders.queue_places(checked).collect()) == list(range(1, 61))
+
+
 def test_field_scores(spark):
     cases = [("total", True, "10.00", "10", True), ("total", True, "NaN", "10", False), ("merchant", True, " ACME ", "acme", True), ("merchant", False, None, "", False), ("merchant", True, None, "", True), ("merchant", True, "x", None, False), ("tax", True, None, "5", False)]
     df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, field string, present boolean, actual string, expected string, ok boolean")

@@ -107,7 +107,8 @@ class Investigation:
         keys = ["product", "warehouse"]
         before = Window.partitionBy(*keys).orderBy("day")
         near = F.lag("day").over(before) == F.date_sub("day", 1)
-        rows = self.rows.withColumns({"_closing": F.when(near, F.lag("closing").over(before)), "prior_record": F.when(near, F.lag("record").over(before))})
+        # a day's prior one is the last calibration day at the earliest, so no more history is sorted
+        rows = self.rows.where(self._in(self.b - dt.timedelta(days=1), self.c)).withColumns({"_closing": F.when(near, F.lag("closing").over(before)), "prior_record": F.when(near, F.lag("record").over(before))})
         rows = rows.where(self._in(self.b, self.c)).join(self.profiles, keys, "left").join(self.series.select(*keys, "status"), keys, "left")
         expected = F.col("opening") + F.col("received") - F.col("sold")
         rows = rows.withColumns({"expected_closing": expected, "delta": F.col("closing") - expected, "continuity_delta": F.col("opening") - F.col("_closing"), "score": (F.col("sold") - F.col("median")) / F.col("scale")})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions.text import blank, padded, trimmed
+from veritab.plans.specs import SpecError
 
 LISTED = 200
 KINDS = ("header", "row_width", "duplicate", "missing", "whitespace")
@@ -13,13 +14,22 @@ KINDS = ("header", "row_width", "duplicate", "missing", "whitespace")
 
 def header_findings(headers: list[str]) -> list[int]:
     """1-based places of names that are blank or repeat an earlier one, case and outer white space aside."""
-    seen, found = set(), []
-    for place, name in enumerate(headers, 1):
-        key = name.strip().casefold()
-        if not key or key in seen:
-            found.append(place)
-        seen.add(key)
-    return found
+    folded = [h.strip().casefold() for h in headers]
+    return [i + 1 for i, name in enumerate(folded) if name == "" or folded.index(name) != i]
+
+
+def structure_errors(df: DataFrame, headers: list[str]) -> list[str]:
+    """What keeps (record, cells) from being a table: unclear names, or rows of another width. One count comes to the driver."""
+    wrong = df.where(F.size("cells") != len(headers)).limit(1).count()
+    return ["unclear column names"] * bool(header_findings(headers)) + ["rows of different widths"] * bool(wrong)
+
+
+def require_structure(df: DataFrame, headers: list[str]) -> DataFrame:
+    """df itself if it is a table; cleaning and comparing are refused otherwise."""
+    errors = structure_errors(df, headers)
+    if errors:
+        raise SpecError("not a table: " + ", ".join(errors))
+    return df
 
 
 def _cell(i: Column) -> Column:
@@ -63,13 +73,16 @@ def first_findings(found: DataFrame, limit: int = LISTED) -> DataFrame:
     return found.withColumn("_rank", rank).orderBy("record", "_rank", "column").limit(limit).drop("_rank")
 
 
-def trim_changes(df: DataFrame) -> DataFrame:
-    """(record, column, before, after) of each cell that trimming would change."""
+def trim_changes(df: DataFrame, headers: list[str] | None = None) -> DataFrame:
+    """(record, column, before, after) of each cell that trimming would change; with headers, only of a sound table."""
+    df = df if headers is None else require_structure(df, headers)
     each = df.select("record", F.posexplode("cells").alias("_at", "before")).withColumn("after", trimmed(F.col("before")))
     return each.where(F.col("before") != F.col("after")).select("record", (F.col("_at") + 1).alias("column"), "before", "after")
 
 
-def trimmed_cells(df: DataFrame) -> DataFrame:
+def trimmed_cells(df: DataFrame, headers: list[str] | None = None) -> DataFrame:
+    """df with every cell trimmed; with headers, only of a sound table."""
+    df = df if headers is None else require_structure(df, headers)
     return df.withColumn("cells", F.transform("cells", trimmed))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.text import amount_valid, blank, cents_of, fold, iso_date, money, reasons, trimmed
-from veritab.plans.specs import QuestionPlan, SpecError
+from veritab.plans.specs import QuestionPlan
 
 AMOUNTS = ("total", "subtotal", "tax", "service_charge")
 TEXTS = ("merchant", "receipt_number", "date", "calendar", "currency", "document_type")
@@ -54,17 +54,23 @@ def possible_duplicates(df: DataFrame) -> DataFrame:
     """
     m, r = _identity()
     rows = df.withColumns({"_m": m, "_r": r, "_open": F.col("status").isin("review", "approved").cast("int")})
-    n = rows.where((F.col("merchant") != "") & (F.col("receipt_number") != "")).groupBy(F.col("_m").alias("_km"), F.col("_r").alias("_kr")).agg(F.sum("_open").alias("_n"))
+    n = rows.where((F.col("merchant") != "") & (F.col("receipt_number") != "")).groupBy(F.col("_m").alias("_km"), F.col("_r").alias("_kr")).agg(F.sum("_open").alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    n = n.where("_rows > 1").drop("_rows")
     found = rows.join(n, (rows["_m"] == n["_km"]) & (rows["_r"] == n["_kr"]) & (rows["merchant"] != "") & (rows["receipt_number"] != ""), "left")
     return found.select(*[rows[c] for c in df.columns], F.coalesce(F.col("_n") - F.col("_open") > 0, F.lit(False)).alias("possible_duplicate"))
 
 
 def validated(df: DataFrame) -> DataFrame:
-    """Normalised documents (id, status, ...) with `issues`, in a fixed order."""
+    """Normalised documents (id, status, ...) with `issues`, in a fixed order.
+
+    An amount that can't be read is an issue, so such a document is never approved; it isn't missing.
+    """
     rows = possible_duplicates(df)
     parts = F.col("subtotal_cents") + F.col("tax_cents") + F.col("service_charge_cents")
+    unread = lambda c: F.array_contains("bad_amounts", c)
     issues = reasons(
-        *[((F.col("total_cents").isNull() if c == "total" else blank(F.col(c))), f"missing {c}") for c in REQUIRED],
+        *[(unread(c), f"unreadable {c}") for c in AMOUNTS],
+        *[((F.col("total_cents").isNull() & ~unread("total") if c == "total" else blank(F.col(c))), f"missing {c}") for c in REQUIRED],
         (~iso_date(F.col("date")), "date"),
         (F.col("calendar") != "gregorian", "calendar"),
         (~F.col("currency").isin(*CURRENCIES), "currency"),
@@ -135,15 +141,3 @@ def answer(rows: DataFrame, plan: QuestionPlan) -> DataFrame:
     one = parts.agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("n"), F.array_sort(F.collect_list(F.struct("g", "t"))).alias("ts"))
     found = F.concat(F.col("n").cast("string"), F.lit(" approved documents match. "), F.lit("They are listed as sources.") if plan.action == "list" else F.concat(F.lit("Document totals: "), F.array_join(F.transform("ts", lambda x: x["t"]), "; ")))
     return one.select(F.when(F.col("n") > 0, found).otherwise("No approved documents match; that doesn't make the total zero.").alias("answer"))
-
-
-def latest(df: DataFrame, by: str, order: str) -> DataFrame:
-    """The newest row of each group, as of publications or contract versions."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
-
-
-def require_plan(action: str, **filters: str) -> QuestionPlan:
-    unknown = set(filters) - {"currency", "start", "end", "merchant", "message"}
-    if unknown:
-        raise SpecError(f"unknown filters: {', '.join(sorted(unknown))}")
-    return QuestionPlan(action, **filters)

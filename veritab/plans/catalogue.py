@@ -93,6 +93,24 @@ def trim_applied(spark, sf_dir):
     return cells.select("record", *[F.get("cells", F.lit(i)).alias(h) for i, h in enumerate(HEADERS)])
 
 
+_NAMES = "select n_nationkey * 2 as k, n_name as name from nation union all select n_nationkey * 2 + 1, case when n_nationkey % 5 = 0 then ' ' else concat(' ', lower(n_name), '  ') end from nation where n_nationkey % 3 = 0"
+
+
+@query(f"select cast(place as int) as place from (select place, f, row_number() over (partition by f order by place) as r from (select row_number() over (order by k) as place, lower(trim(name)) as f from ({_NAMES}) x) y) z where f = '' or r > 1")
+def quality_header_names(spark, sf_dir):
+    # the names of one header: a few, whatever the table's size
+    rows = spark.sql(_NAMES.replace("from nation", "from {nation}"), nation=spark.read.parquet(f"{sf_dir}/nation.parquet")).orderBy("k").collect()
+    return spark.createDataFrame([(p,) for p in quality.header_findings([r["name"] for r in rows])], "place int")
+
+
+@query(f"select count(*) filter (where is_short) > 0 as refused, count(*) filter (where not is_short)::bigint as sound_rows from ({CELLS}) x")
+def quality_structure_guard(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    refused = bool(quality.structure_errors(cells, HEADERS))
+    sound = quality.require_structure(cells.where(F.size("cells") == len(HEADERS)), HEADERS)
+    return sound.agg(F.lit(refused).alias("refused"), F.count(F.lit(1)).alias("sound_rows"))
+
+
 # ---- comparison ---------------------------------------------------------------------------------
 
 COMPARED = """
@@ -275,8 +293,21 @@ def snapshot_invalid_identities(spark, sf_dir):
     return _assessed(spark, sf_dir, "padded_delivery_view").invalid.select("role", "record", "id")
 
 
+_INVALID = "exists (select 1 from ({view}) v where trim(id) = '' or id <> trim(id))"
+_BLOCKERS = " || ".join(
+    f"case when {condition} then '{name};' else '' end"
+    for condition, name in (
+        (f"date '{STALE.reference_date}' <> date '{STALE.delivery_date}'", "dates_differ"),
+        (f"date '{STALE.as_of}' - date '{STALE.reference_date}' > {STALE.max_age_days}", "reference_too_old"),
+        (f"date '{STALE.as_of}' - date '{STALE.delivery_date}' > {STALE.max_age_days}", "delivery_too_old"),
+        (_INVALID.replace("{view}", "{reference_view}"), "reference_invalid_identity"),
+        (_INVALID.replace("{view}", "{padded_delivery_view}"), "delivery_invalid_identity"),
+    )
+)
+
+
 @query(f"""select (select count(*) from ({{reference_view}}) r) as reference_rows, (select count(*) from ({{padded_delivery_view}}) d) as delivery_rows, count(*) filter (where kind = 'matched') as matched_keys, count(*) filter (where kind <> 'matched') as discrepancies,
-    'dates_differ;reference_too_old;delivery_too_old;delivery_invalid_identity' as blockers, false as matched from ({_PADDED}) k""")
+    rtrim({_BLOCKERS}, ';') as blockers, {_BLOCKERS} = '' and count(*) filter (where kind <> 'matched') = 0 as matched from ({_PADDED}) k""")
 def snapshot_blockers(spark, sf_dir):
     return _assessed(spark, sf_dir, "padded_delivery_view", STALE).summary.withColumn("blockers", _joined("blockers"))
 
@@ -420,9 +451,9 @@ def order_counts(spark, sf_dir):
     return orders.counts(_orders(spark, sf_dir))
 
 
-@query(f"select order_id, team, due_on, cast(late_days as int) as late_days from ({ORDERS}) z where reasons = '' and status = 'open overdue' order by late_days desc, due_on, order_id limit 100")
+@query(f"select place, order_id, team, status, due_on, cast(late_days as int) as late_days from (select *, row_number() over (order by late_days desc, due_on, order_id, record) as place from ({ORDERS}) z where reasons = '') q")
 def order_overdue_queue(spark, sf_dir):
-    return orders.queue(_orders(spark, sf_dir)).where("status = 'open overdue'").select("order_id", "team", "due_on", "late_days").limit(100)
+    return orders.queue_places(_orders(spark, sf_dir)).select("place", "order_id", "team", "status", "due_on", "late_days")
 
 
 # ---- inventory ----------------------------------------------------------------------------------
@@ -538,11 +569,13 @@ def lab_confusion(spark, sf_dir):
 
 _AMOUNT = "regexp_full_match({c}, '[0-9]+([.][0-9]+)?') and try_cast({c} as decimal(20, 6)) = round(try_cast({c} as decimal(20, 6)), 2)"
 _CENTS = lambda c: f"case when {_AMOUNT.replace('{c}', c)} then cast(try_cast({c} as decimal(20, 2)) * 100 as bigint) end"
+_BAD_AMOUNTS = " || ".join(f"case when {c} <> '' and not coalesce({_AMOUNT.replace('{c}', c)}, false) then '{c};' else '' end" for c in receipts.AMOUNTS)
 NORMAL = f"""select id, trim(merchant) as merchant, trim(receipt_number) as receipt_number, date, lower(calendar) as calendar, case upper(currency) when 'BIRR' then 'ETB' else upper(currency) end as currency, {_CENTS("total")} as total_cents, {_CENTS("subtotal")} as subtotal_cents,
-    {_CENTS("tax")} as tax_cents, {_CENTS("service_charge")} as service_charge_cents, case when total <> '' and not ({_AMOUNT.replace("{c}", "total")}) then 'total' else '' end as bad_amounts, lower(document_type) as document_type, status from ({{receipts_raw}}) r"""
+    {_CENTS("tax")} as tax_cents, {_CENTS("service_charge")} as service_charge_cents, rtrim({_BAD_AMOUNTS}, ';') as bad_amounts, lower(document_type) as document_type, status from ({{receipts_raw}}) r"""
+_UNREAD = " || ".join(f"case when list_contains(string_split(bad_amounts, ';'), '{c}') then 'unreadable {c};' else '' end" for c in receipts.AMOUNTS)
 ISSUES = f"""with n as ({NORMAL}), k as (select lower(merchant) as m, lower(receipt_number) as r, count(*) filter (where status in ('review', 'approved')) as n from n where merchant <> '' and receipt_number <> '' group by 1, 2),
     p as (select n.*, coalesce(k.n - case when status in ('review', 'approved') then 1 else 0 end > 0, false) as possible_duplicate from n left join k on lower(n.merchant) = k.m and lower(n.receipt_number) = k.r)
-    select *, rtrim(case when merchant = '' then 'missing merchant;' else '' end || case when date = '' then 'missing date;' else '' end || case when currency = '' then 'missing currency;' else '' end || case when total_cents is null then 'missing total;' else '' end
+    select *, rtrim({_UNREAD} || case when merchant = '' then 'missing merchant;' else '' end || case when date = '' then 'missing date;' else '' end || case when currency = '' then 'missing currency;' else '' end || case when total_cents is null and not list_contains(string_split(bad_amounts, ';'), 'total') then 'missing total;' else '' end
         || case when document_type = '' then 'missing document_type;' else '' end || case when not ({_DATE.replace("{c}", "date")}) then 'date;' else '' end || case when calendar <> 'gregorian' then 'calendar;' else '' end
         || case when currency not in ('ETB', 'USD', 'EUR', 'KES') then 'currency;' else '' end || case when document_type not in ('receipt', 'invoice') then 'document type;' else '' end
         || case when abs(total_cents - (subtotal_cents + tax_cents + service_charge_cents)) > 2 then 'arithmetic;' else '' end || case when possible_duplicate then 'possible duplicate;' else '' end, ';') as issues from p"""
@@ -629,13 +662,31 @@ def extraction_model_summary(spark, sf_dir):
 # ---- sources ------------------------------------------------------------------------------------
 
 
-@query("select page_id, 2 + i as record, case when i = 0 then url else html end as cell from (select page_id, url, html, unnest([0, 1]) as i from pages where url is not null and html is not null) x")
+_CSV = "select page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages"
+
+
+def _csv_texts(spark, sf_dir, broken: bool) -> DataFrame:
+    """A text of each page: a header, a record of two cells and, of some, a short one and a blank line; some with a byte order mark, some broken."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    k = F.col("page_id")
+    text = F.concat(F.when(k % 5 == 0, "\ufeff").otherwise(""), F.lit("url,html\r\n"), quoted("url"), F.lit(","), quoted("html"), F.lit("\r\n"), F.when(k % 3 == 0, "short\r\n\r\n").otherwise(""))
+    if broken:
+        text = F.when(k % 7 == 0, F.concat(text, F.lit('"open'))).when(k % 7 == 1, F.concat(text, F.lit("\0"))).when(k % 7 == 2, F.concat(text, F.lit('"a"b'))).when(k % 7 == 3, F.concat(F.lit("\r\n"), text)).otherwise(text)
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(k.cast("string").alias("id"), text.alias("content"))
+
+
+@query(f"""select page_id, 1 as record, 2 as width, 'url' as first, 'html' as second from ({_CSV}) x union all select page_id, 2, 2, url, html from ({_CSV}) x
+    union all select page_id, 3, 1, 'short', null from ({_CSV}) x where page_id % 3 = 0 union all select page_id, 4, 0, null, null from ({_CSV}) x where page_id % 3 = 0""")
 def csv_parse_records(spark, sf_dir):
-    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
-    text = F.concat(F.lit("cell\r\n"), quoted("url"), F.lit("\r\n"), quoted("html"), F.lit("\r\n"))
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").where("url is not null and html is not null").select(F.col("page_id").cast("string").alias("id"), text.alias("content"))
-    rows = csv_text.parsed(pages, limits=False)
-    return rows.where("record > 1").select(F.col("id").cast("bigint").alias("page_id"), "record", F.get("cells", F.lit(0)).alias("cell"))
+    rows = csv_text.parsed(_csv_texts(spark, sf_dir, False), limits=False)
+    return rows.select(F.col("id").cast("bigint").alias("page_id"), "record", F.size("cells").alias("width"), F.get("cells", F.lit(0)).alias("first"), F.get("cells", F.lit(1)).alias("second"))
+
+
+@query(f"""select page_id, case page_id % 7 when 0 then 'not CSV: unexpected end of data' when 1 then 'binary content' when 2 then 'not CSV: '','' expected after ''"''' when 3 then 'no header record' end as error,
+    case when page_id % 7 > 3 then case when page_id % 3 = 0 then 4 else 2 end else 0 end::bigint as records from ({_CSV}) x""")
+def csv_rejected_texts(spark, sf_dir):
+    rows = csv_text.parsed(_csv_texts(spark, sf_dir, True), limits=False)
+    return rows.groupBy(F.col("id").cast("bigint").alias("page_id")).agg(F.max("error").alias("error"), F.count("record").alias("records"))
 
 
 @query("select conv_id as parent, cast(row_number() over (partition by conv_id order by turn) as int) as page, text from conversations")

@@ -21,20 +21,20 @@ VIEWS = {
                cast(cast(o.o_orderdate as date) + 60 as string) as due_on,
                case when cast(l.l_shipdate as date) <= cast('1998-06-30' as date) then cast(cast(l.l_shipdate as date) as string) else '' end as delivered_on
         from {lineitem} l join {orders} o on l.l_orderkey = o.o_orderkey""",
+    # n is 1 on the first of January 1998, and grows by a day each day of a year
     "stock_days": """
         select cast(l_shipdate as date) as day, l_returnflag as product, l_linestatus as warehouse,
-               cast(sum(cast(l_quantity as bigint)) as bigint) as sold, cast(dayofyear(cast(l_shipdate as date)) as bigint) as n
-        from {lineitem}
-        where cast(l_shipdate as date) between cast('1998-01-01' as date) and cast('1998-04-10' as date)
+               cast(sum(cast(l_quantity as bigint)) as bigint) as sold, cast(dayofyear(cast(l_shipdate as date)) + (year(cast(l_shipdate as date)) - 1998) * 366 as bigint) as n
+        from {lineitem} where l_shipdate is not null
         group by cast(l_shipdate as date), l_returnflag, l_linestatus""",
     "stock_view": """
-        select n * 100 + ascii(product) as record, cast(day as string) as date, product, warehouse,
+        select (n * 100 + ascii(product)) * 100 + ascii(warehouse) as record, cast(day as string) as date, product, warehouse,
                cast(100000 + n * 13 as string) as opening, cast(sold + 13 as string) as received,
-               case when n % 41 = 0 then concat(cast(sold as string), ' ') else cast(sold as string) end as sold,
-               case when n % 43 = 0 then 'x' when n % 17 = 0 then cast(100000 + n * 13 + 14 as string) else cast(100000 + n * 13 + 13 as string) end as closing
+               case when n % 41 = 0 and product = 'R' then concat(cast(sold as string), ' ') when n % 47 = 31 then cast(sold * 9 as string) else cast(sold as string) end as sold,
+               case when n % 43 = 0 and product = 'R' then 'x' when n % 17 = 0 then cast(100000 + n * 13 + 14 as string) else cast(100000 + n * 13 + 13 as string) end as closing
         from ({stock_days}) s
         union all
-        select n * 100 + 99 as record, cast(day as string) as date, product, warehouse, '1', '1', '1', '1'
+        select (n * 100 + ascii(product)) * 100 + ascii(warehouse) + 5 as record, cast(day as string) as date, product, warehouse, '1', '1', '1', '1'
         from ({stock_days}) s where n % 71 = 0""",
     "reference_view": """
         select o_orderkey as record, cast(o_orderkey as string) as id, cast(o_custkey as string) as customer, o_orderstatus as status,
@@ -88,7 +88,7 @@ VIEWS = {
                case when c.c_nationkey % 5 = 0 then 'birr' when c.c_nationkey % 5 = 1 then 'usd' when c.c_nationkey % 5 = 2 then 'EUR' when c.c_nationkey % 5 = 3 then 'KES' else 'XXX' end as currency,
                case when o.o_orderkey % 71 = 0 then '' when o.o_orderkey % 73 = 0 then '1.234' else concat(cast(o.o_custkey * 3 + 1000 as string), '.50') end as total,
                case when o.o_orderkey % 3 = 0 then cast(o.o_custkey * 3 + case when o.o_orderkey % 79 = 0 then 500 else 900 end as string) else '' end as subtotal,
-               '100.50' as tax, '0' as service_charge,
+               case when o.o_orderkey % 107 = 0 then 'abc' else '100.50' end as tax, case when o.o_orderkey % 109 = 0 then '-1' else '0' end as service_charge,
                case when o.o_orderkey % 83 = 0 then 'credit note' else 'Receipt' end as document_type,
                case when o.o_orderkey % 4 = 0 then 'review' when o.o_orderkey % 37 = 0 then 'imported' else 'approved' end as status
         from {orders} o join {customer} c on o.o_custkey = c.c_custkey

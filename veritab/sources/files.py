@@ -11,22 +11,29 @@ from veritab.plans.specs import SpecError
 
 #: What can be imported, and how large.
 EXTENSIONS = ("pdf", "heic", "jpeg", "jpg", "png")
-MAX_BYTES = 25_000_000
+MAX_BYTES = 25 * 1024 * 1024
 MAX_PAGES, MAX_CHARS, LEAST_CHARS = 20, 35_000, 25
 
 
 def imported(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """(path, name, bytes, created, digest, status, duplicate_of) of the files below a folder; copies point at the earliest path.
+    """(path, name, bytes, created, digest, status, duplicate_of, error) of the files below a folder.
 
-    Digests are taken where the files are read; contents aren't kept. Files that are too large are left out.
+    A folder is imported in the order of its paths, so copies point at the first path of their content. Files
+    that are too large are refused, with an error and without a digest. Digests are taken where the files are
+    read; contents aren't kept.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)\z", 1))
-    rows = files.where(ext.isin(*extensions) & (F.col("length") <= MAX_BYTES)).select("path", F.regexp_extract("path", r"([^/]*)\z", 1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("created"), F.sha2("content", 256).alias("digest"))
-    first = rows.groupBy(F.col("digest").alias("_d")).agg(F.min("path").alias("_first"))
-    rows = rows.join(first, rows["digest"] == first["_d"])
-    copy = F.col("path") != F.col("_first")
-    return rows.withColumns({"status": F.when(copy, "duplicate").otherwise("imported"), "duplicate_of": F.when(copy, F.col("_first"))}).drop("_d", "_first")
+    names = ["path", F.regexp_extract("path", r"([^/]*)\z", 1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("created")]
+    # sizes are known before contents are read: the two scans read either one or none of them
+    rows = files.where(ext.isin(*extensions) & (F.col("length") <= MAX_BYTES)).select(*names, F.sha2("content", 256).alias("digest"))
+    large = files.where(ext.isin(*extensions) & (F.col("length") > MAX_BYTES)).select(*names)
+    first = rows.groupBy(F.col("digest").alias("_d")).agg(F.min("path").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    rows = rows.join(first, rows["digest"] == first["_d"], "left")
+    copy = F.coalesce(F.col("path") != F.col("_first"), F.lit(False))
+    rows = rows.withColumns({"status": F.when(copy, "duplicate").otherwise("imported"), "duplicate_of": F.when(copy, F.col("_first")), "error": F.lit(None).cast("string")}).drop("_d", "_first", "_n")
+    refused = large.withColumns({"digest": F.lit(None).cast("string"), "status": F.lit("refused"), "duplicate_of": F.lit(None).cast("string"), "error": F.lit("more than 25 MiB")})
+    return rows.unionByName(refused)
 
 
 def with_text(documents: DataFrame, read: Callable[[str], list[str]]) -> DataFrame:
