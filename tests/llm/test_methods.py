@@ -816,6 +816,12 @@ def test_mixing_counts_tokens_as_the_encoder_does(spark, small, labels):
     assert n == {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(docs).collect()} and min(n[-1], n[-2]) > 100
 
 
+def test_token_features():
+    at, value = linear.token_features(np.array([5, 70_000, 5, 3, 5, 4464], np.uint32), 16)
+    assert at.tolist() == [3, 5, 4464] and np.allclose(value, np.log1p([1, 3, 2]) / np.sqrt((np.log1p([1, 3, 2]) ** 2).sum()))
+    assert [len(x) for x in linear.token_features(np.empty(0, np.uint32), 16)] == [0, 0]
+
+
 def test_logistic_learns_soft_labels():
     rng = np.random.default_rng(0)
     rows = [(np.array([k % 4, 4 + int(rng.integers(4))]), np.ones(2)) for k in range(400)]

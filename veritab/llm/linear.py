@@ -70,21 +70,11 @@ class Logistic:
         return self._shares(self.weights[:, at] @ value + self.bias)
 
 
-def word_features(text: str, known: dict[bytes, int], bits: int = BITS, memory: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words of a whole text with damped counts, scaled to length 1; known remembers words' buckets."""
-    words = text.encode("utf-8", "replace").lower().split()
-    try:
-        found = [known[w] for w in words]
-    except KeyError:
-        if len(known) > memory:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = zlib.crc32(w) * 2654435761 % (1 << 32) >> (32 - bits)
-        found = [known[w] for w in words]
-    if not found:
+def token_features(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct token ids of a text, folded to so many bits, with damped counts scaled to length 1."""
+    if not len(ids):
         return np.empty(0, np.int64), np.empty(0)
-    count = np.bincount(np.array(found, np.int64), minlength=1 << bits) if len(found) > 4096 else None
-    at, n = np.unique(found, return_counts=True) if count is None else (np.flatnonzero(count), count[count > 0])
-    value = np.log1p(n)
-    return at, value / np.sqrt((value * value).sum())
+    at = np.sort(ids & np.uint32((1 << bits) - 1))
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    value = np.log1p(np.diff(np.append(first, len(at))))
+    return at[first].astype(np.int64), value / np.sqrt((value * value).sum())

@@ -1,6 +1,6 @@
 """Mixing with soft membership.
 
-A classifier trained on a labelled table gives each document posteriors over domains. Nonnegative
+A classifier of token counts, trained on a labelled table, gives each document posteriors over domains. Nonnegative
 rates of the documents are then fitted by least squares so that the expected tokens of each domain,
 the sum of rate x tokens x posterior, match targets.
 
@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 
 from veritab.llm import tokens
 from veritab.llm.common import bounded_batches, documents, own_columns, rows_of, stored
-from veritab.llm.linear import BITS, Logistic, sample_by_hash, size_within, word_features
+from veritab.llm.linear import Logistic, sample_by_hash, size_within, token_features
 
 DOMAINS = ("clean", "toxic", "junk")
 #: Shares of the tokens that the domains shall have, and the clean tokens kept, as a multiple of those there are.
 TARGETS = {"clean": 0.97, "toxic": 0.01, "junk": 0.02}
 CLEAN_FACTOR = 1.02
+#: Features of the classifier: token ids, folded to so many bits.
+BITS = 16
 #: Labelled documents that train the classifier.
 SAMPLE = 6000
 #: Posteriors are multiples of one part in so many.
@@ -56,6 +58,7 @@ def domain_classifier(df: DataFrame, labels: DataFrame) -> Logistic:
     A doc_id whose labels contradict each other trains nothing. Of repeated documents one stands for all: the
     one with the smallest features.
     """
+    path = tokens.vocabulary_path()
     bounded_batches(df.sparkSession)
     agreed = labels.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"), F.max("domain").alias("other")).where("domain = other").select("doc_id", "domain")
     chosen = F.broadcast(sample_by_hash(agreed, SAMPLE, agreed.count()))  # at most 2 * SAMPLE rows
@@ -63,9 +66,9 @@ def domain_classifier(df: DataFrame, labels: DataFrame) -> Logistic:
     def featured(batches):
         import pyarrow as pa
 
-        known: dict[bytes, int] = {}
+        encoder = tokens.encoder(path)
         for ids, domains, texts in rows_of(batches, "doc_id", "domain", "text"):
-            found = [word_features(t, known) for t in texts]
+            found = [token_features(np.frombuffer(x, "<u4"), BITS) for x in encoder.packed(texts)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(domains, pa.int32()), pa.array([a.astype("<u2").tobytes() for a, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())],
                 names=["doc_id", "domain", "at", "value"],
@@ -98,12 +101,11 @@ def memberships(df: DataFrame, model: Logistic) -> DataFrame:
     def judge(batches):
         import pyarrow as pa
 
-        known: dict[bytes, int] = {}
-        encoder = tokens.encoder(path)
+        encoder, own = tokens.encoder(path), shared.value
         for ids, texts in rows_of(batches, "doc_id", "text"):
-            texts = [t or "" for t in texts]
-            p = [in_parts(shared.value.shares(*word_features(t, known))).tolist() for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) >> 2 for x in encoder.packed(texts)], pa.int64()), pa.array(p, pa.list_(pa.float64()))], names=["doc_id", "n_tokens", "p"])
+            found = [np.frombuffer(x, "<u4") for x in encoder.packed([t or "" for t in texts])]
+            p = [in_parts(own.shares(*token_features(x, BITS))).tolist() for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(p, pa.list_(pa.float64()))], names=["doc_id", "n_tokens", "p"])
 
     return own_columns(df, "doc_id", "text").mapInArrow(judge, "doc_id long, n_tokens long, p array<double>")
 
