@@ -543,6 +543,12 @@ def test_unreadable_amounts_stand_against_approval(spark):
     assert rows(found, "id", "status", "issues") == [(0, "approved", []), (1, "review", ["unreadable tax"]), (2, "review", ["unreadable total"]), (3, "review", ["unreadable subtotal", "unreadable service_charge"]), (4, "review", ["missing total"])]
 
 
+def test_listings_hide_paths_and_raw_texts(spark):
+    df = spark.createDataFrame([(1, "b", "/x", "raw", 1), (2, "a", "/y", "raw", 2), (3, "a", "/z", "raw", 1)], "id long, name string, path string, raw string, created long")
+    assert [r["id"] for r in receipts.listed(df).collect()] == [2, 3, 1] and receipts.listed(df).columns == ["id", "name", "created"]
+    assert receipts.listed(df, detail=True).columns == ["id", "name", "raw", "created"]
+
+
 def test_places_of_the_queue(spark):
     late = [(k, f"o{k % 7}-{k}", "t", "2026-01-01", f"2026-01-{5 + k % 4:02}", "" if k % 3 else "2026-01-20") for k in range(60)]
     df = spark.createDataFrame(late, "record long, order_id string, team string, ordered_on string, due_on string, delivered_on string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,15 @@ def two_sided(left: DataFrame, right: DataFrame, keys: list[str], values: list[s
         F.count_if(mine(0)).alias("n_left"), F.count_if(mine(1)).alias("n_right"),
         F.max(F.when(mine(0), F.col("_v"))).alias("left"), F.max(F.when(mine(1), F.col("_v"))).alias("right"),
     )
+
+
+def placed(df: DataFrame, lead: str, then: list[Column | str], name: str = "place") -> DataFrame:
+    """df with each row's place, from 1: by `lead` descending, then by the others.
+
+    Places before each value of `lead`, of which there are few, come from counts, and only rows with the same
+    value are sorted together: no task sees all rows.
+    """
+    n = df.groupBy(lead).agg(F.count(F.lit(1)).alias("_n"))
+    before = n.select(F.col(lead).alias("_lead"), (F.sum("_n").over(Window.orderBy(F.desc(lead))) - F.col("_n")).alias("_before"))
+    rows = df.withColumn("_at", F.row_number().over(Window.partitionBy(lead).orderBy(*then)))
+    return rows.join(before, rows[lead].eqNullSafe(before["_lead"])).select(*[rows[c] for c in df.columns], (F.col("_before") + F.col("_at")).alias(name))

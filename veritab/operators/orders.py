@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.text import date_of, padded, reasons
-from veritab.operators.keys import with_repeats
+from veritab.operators.keys import placed, with_repeats
 
 ROLES = ("order_id", "team", "ordered_on", "due_on", "delivered_on")
 STATUSES = ("open overdue", "due today", "upcoming", "delivered late", "delivered on time")
@@ -98,13 +98,5 @@ def queue(rows: DataFrame) -> DataFrame:
 
 
 def queue_places(rows: DataFrame) -> DataFrame:
-    """Valid orders with `place`, from 1, in the order of the queue.
-
-    Places before each number of late days come from counts, of which there is one a day, and only orders
-    equally late are sorted together: no task sees the whole queue.
-    """
-    own = valid(rows)
-    n = own.groupBy("late_days").agg(F.count(F.lit(1)).alias("_n"))
-    before = n.select(F.col("late_days").alias("_late"), (F.sum("_n").over(Window.orderBy(F.desc("late_days"))) - F.col("_n")).alias("_before"))
-    placed = own.withColumn("_at", F.row_number().over(Window.partitionBy("late_days").orderBy("due_on", "order_id", "record")))
-    return placed.join(F.broadcast(before), F.col("late_days") == F.col("_late")).withColumn("place", F.col("_before") + F.col("_at")).drop("_late", "_before", "_at")
+    """Valid orders with `place`, from 1, in the order of the queue; there are as many numbers of late days as days."""
+    return placed(valid(rows), "late_days", ["due_on", "order_id", "record"])

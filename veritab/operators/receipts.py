@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritab.functions.text import amount_valid, blank, cents_of, fold, iso_date, money, reasons, trimmed
+from veritab.functions.text import amount_valid, blank, cents_of, fold, formula_safe_strict, iso_date, money, reasons, trimmed
 from veritab.plans.specs import QuestionPlan
 
 AMOUNTS = ("total", "subtotal", "tax", "service_charge")
@@ -105,6 +105,33 @@ def split_pages(df: DataFrame, most: int = 200) -> DataFrame:
     return df.where(ok).select(F.col("id").alias("parent"), F.posexplode("pages").alias("_at", "text")).select("parent", (F.col("_at") + 1).alias("page"), "text")
 
 
+def split_bundles(documents: DataFrame, pages: DataFrame, most: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(children, documents, audit) of splitting the bundles of `pages` (id, pages).
+
+    A bundle is excluded from totals, and an event names its children. A copy isn't split, its original is.
+    """
+    originals = documents.where(F.col("duplicate_of").isNull()).select("id")
+    own = pages.join(originals, "id", "left_semi")
+    ids = own.select(F.col("id").alias("_split"))
+    found = documents.join(ids, documents["id"] == ids["_split"], "left")
+    status = F.when(F.col("_split").isNotNull(), F.lit("excluded")).otherwise(F.col("status"))
+    audit = own.select(F.col("id").alias("document"), F.lit("split into pages").alias("action"), F.size("pages").alias("children"))
+    return split_pages(own, most), found.select(*[status.alias(c) if c == "status" else found[c] for c in documents.columns]), audit
+
+
+def listed(documents: DataFrame, detail: bool = False) -> DataFrame:
+    """What may be shown of documents, the newest first, then by name: no paths, and raw texts only in detail."""
+    hidden = ["path"] if detail else ["path", "raw"]
+    return documents.drop(*hidden).orderBy(F.desc("created"), "name")
+
+
+def approved_export(rows: DataFrame, name: str = "name") -> DataFrame:
+    """(source_id, filename, the fields) of approved documents without issues, guarded against formulas."""
+    open_ = rows.where((F.col("status") == "approved") & (F.size("issues") == 0))
+    fields = ["merchant", "receipt_number", "date", "calendar", "currency", "total", "subtotal", "tax", "service_charge", "document_type"]
+    return open_.select(F.col("id").alias("source_id"), formula_safe_strict(F.col(name)).alias("filename"), *[formula_safe_strict(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in fields])
+
+
 def eligible(rows: DataFrame) -> DataFrame:
     """Approved documents that are still valid and no copies: what totals may count."""
     return rows.where((F.col("status") == "approved") & F.col("duplicate_of").isNull() & (F.size("issues") == 0))

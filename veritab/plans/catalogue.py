@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veritab.functions.text import formula_safe, formula_safe_strict
 from veritab.operators import compare, contracts, inventory, lab, orders, quality, receipts, scoring, snapshots
+from veritab.operators.keys import placed
 from veritab.plans.specs import Contract, Cutoffs, Field, QuestionPlan, SnapshotRules
 from veritab.plans.views import AS_OF, plain_sql, view
 from veritab.sources import csv_text
@@ -148,6 +149,13 @@ def compare_after_trim(spark, sf_dir):
     return compare.status_counts(_compared(spark, sf_dir, clean=True))
 
 
+@query(f"select sku, string_agg(record || ':' || quantity, ';' order by record) as evidence from ({{compare_left}}) x where sku in (select key from ({_PLAIN}) c where status = 'ambiguous') group by sku")
+def compare_evidence(spark, sf_dir):
+    of = _compared(spark, sf_dir).where("status = 'ambiguous'").select(F.col("key").alias("sku"))
+    found = compare.evidence(view(spark, sf_dir, "compare_left"), ["sku"], ["quantity"], of)
+    return found.select("sku", F.array_join(F.transform("evidence", lambda x: F.concat(x["record"].cast("string"), F.lit(":"), x["quantity"])), ";").alias("evidence"))
+
+
 DOCUMENTS = """
     with t as (select record, trim(merchant) as merchant, trim(receipt_number) as receipt_number, upper(trim(currency)) as currency, trim(total) as total from ({receipt_rows}) x),
     f as (select lower(merchant) as m, lower(receipt_number) as r, count(*) as n from t group by 1, 2),
@@ -546,9 +554,13 @@ def lab_global_baseline(spark, sf_dir):
     return lab.global_threshold(view(spark, sf_dir, "lab_view").where("n < 40")).select(F.round("threshold", 4).alias("threshold"))
 
 
-@query(f"select id, reconciliation, sales_anomaly, global_baseline, review_value_cents::bigint as review_value_cents, delta::bigint as delta from ({_LAB_FOUND}) f where reconciliation or sales_anomaly")
+_LAB_TEXT = "case when delta <> 0 then 'Closing stock is ' || delta || ' units off opening + received - sold.' else 'Stock arithmetic balances.' end || case when sales_anomaly then ' Sales are beyond the series'' usual range.' else '' end"
+
+
+@query(f"select row_number() over (order by review_value_cents desc, score desc, id) as place, id, reconciliation, sales_anomaly, global_baseline, review_value_cents::bigint as review_value_cents, delta::bigint as delta, {_LAB_TEXT} as explanation from ({_LAB_FOUND}) f where reconciliation or sales_anomaly")
 def lab_alerts(spark, sf_dir):
-    return _lab(spark, sf_dir)["alerts"].select("id", "reconciliation", "sales_anomaly", "global_baseline", F.col("review_value_cents").cast("bigint").alias("review_value_cents"), "delta")
+    rows = placed(_lab(spark, sf_dir)["alerts"], "review_value_cents", [F.desc("score"), "id"])
+    return rows.select("place", "id", "reconciliation", "sales_anomaly", "global_baseline", F.col("review_value_cents").cast("bigint").alias("review_value_cents"), "delta", "explanation")
 
 
 def _confusion_sql(name: str, p: str, t: str) -> str:
@@ -631,6 +643,16 @@ def receipt_answer(spark, sf_dir):
     return receipts.answer(_validated(spark, sf_dir), QuestionPlan("total"))
 
 
+_MONEY = lambda c: f"case when {c} is null then '' else printf('%d.%02d', {c} // 100, {c} % 100) end"
+
+
+@query(f"""select id as source_id, case when id % 9 = 0 then chr(39) || '=' else 'r' end || id as filename, merchant, receipt_number, date, calendar, currency, {_MONEY("total_cents")} as total, {_MONEY("subtotal_cents")} as subtotal, {_MONEY("tax_cents")} as tax,
+    {_MONEY("service_charge_cents")} as service_charge, document_type from ({_ELIGIBLE}) e""")
+def receipt_approved_export(spark, sf_dir):
+    rows = _validated(spark, sf_dir).withColumn("name", F.concat(F.when(F.col("id") % 9 == 0, "=").otherwise("r"), F.col("id").cast("string")))
+    return receipts.approved_export(rows)
+
+
 @query(f"select id, case when id % 20 = 3 then 'excluded' when id % 2 = 0 and issues = '' then 'approved' else 'review' end as status, case when id % 2 = 0 and issues <> '' then 'issues' else '' end as blocked from ({ISSUES}) i")
 def receipt_review(spark, sf_dir):
     rows = receipts.reviewed(_validated(spark, sf_dir), F.col("id") % 2 == 0, F.col("id") % 20 == 3)
@@ -697,5 +719,14 @@ def document_segments(spark, sf_dir):
     return receipts.split_pages(bundles, most=1_000_000)
 
 
+@query("select id, case when n > 1 and id % 4 <> 0 then 'excluded' else 'review' end as status, case when n > 1 and id % 4 <> 0 then n else 0 end::int as children from (select conv_id as id, count(*) as n from conversations group by conv_id) c")
+def document_split_parents(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    bundles = turns.groupBy(F.col("conv_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("pages"))
+    documents = bundles.select("id", F.lit("review").alias("status"), F.when(F.col("id") % 4 == 0, F.col("id") - 1).alias("duplicate_of"))
+    _, found, audit = receipts.split_bundles(documents, bundles.where(F.size("pages") > 1), most=1_000_000)
+    return found.join(audit.select(F.col("document").alias("id"), "children"), "id", "left").select("id", "status", F.coalesce("children", F.lit(0)).alias("children"))
+
+
 def run(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
     return QUERIES[name](spark, sf_dir)
