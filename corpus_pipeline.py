@@ -1,4 +1,8 @@
-"""From raw documents to packed sequences: quality rules, near duplicates, personal data, mixing, packing."""
+"""From raw documents to packed sequences: quality rules, near duplicates, personal data, mixing, packing.
+
+Every stage but the last returns the columns that it is given, whatever else they are named. An empty table
+passes through as one. Very long texts are worked on whole.
+"""
 
 from __future__ import annotations
 
@@ -16,22 +20,31 @@ def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the rules reject. A null or empty text has too few words and goes; repeated rows are judged alike."""
     return quality_rules.kept_documents(docs)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the smallest doc_id. Null and blank texts, which are like nothing,
+    and rows without doc_id stay; repeated rows of a kept doc_id all stay, as they are one document.
+    """
     return _kept(docs, near_duplicates.near_duplicates(docs))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced by its kind. Null texts stay null; repeated rows are rewritten alike."""
     return personal_data.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their rates say, so none of some and several of others; ties of rates are settled by a hash of doc_id,
+    so repeated rows of one doc_id are taken alike. Null texts have no tokens and are taken at their rate.
+    """
     return mixing.resampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences. A null or empty text is the end mark alone; repeated rows are packed one by one."""
     return packing.packed(docs)
 
 
