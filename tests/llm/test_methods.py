@@ -60,6 +60,22 @@ def test_weak_quality_ranks_labelled_documents(spark, small, labels):
     assert np.mean([r["kept"] for r in found if r["quality"] == 1]) > 0.95
 
 
+def test_weak_quality_parts_junk_of_all_kinds_from_clean_documents(spark):
+    where = SMALL.replace("sf0.001", "sf0.01")
+    found = weak_quality.op1_weak_quality(spark, where).join(spark.read.parquet(f"{where}/labels.parquet"), "doc_id")
+    n = {r["quality"]: (r["n"], r["kept"]) for r in found.groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("kept")).collect()}
+    assert n[0][1] <= 0.1 * n[0][0] and n[1][1] >= 0.99 * n[1][0], n
+
+
+def test_labellers_on_plain_cases():
+    text = "The river runs past the old mill and on to the sea, where small boats lie in the sun and wait for the tide to turn again."
+    of = lambda t: dict(zip(weak_quality.LABELLERS, weak_quality.votes(weak_quality.statistics(t.encode(), t.encode().split())), strict=True))
+    assert 0 not in of(text).values()
+    assert of("Der " * 60)["echoes"] == of("Der " * 60)["top word"] == of("Der " * 60)["variety"] == 0
+    assert of(text.replace(" ", "$$$ "))["runs"] == of(text.replace(" ", "$$$ "))["symbols"] == 0
+    assert set(of("").values()) <= {0, -1, 1} and of("")["length"] == 0
+
+
 # ---- 2 --------------------------------------------------------------------------------------------
 
 

@@ -10,8 +10,10 @@ One pass reads the texts; its votes and sparse features are stored and serve the
 
 from __future__ import annotations
 
+import operator
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,8 +32,9 @@ PRIOR_GOOD = 0.8
 #: Chances of a vote for natural text, for junk and natural text, from which the labellers start: each looks for one
 #: kind of junk, so most of them miss most junk, but natural text is rarely called junk.
 START = (0.6, 0.99)
-LABELLERS = ("length", "symbols", "variety", "lines", "capitals", "word length", "bars", "endings")
+LABELLERS = ("length", "symbols", "variety", "lines", "capitals", "word length", "bars", "endings", "echoes", "top word", "runs")
 _SYMBOLS = re.compile(rb"[#*$%&|<>!]")
+_RUNS = re.compile(rb"[!-/:-@\[-`{-~]{2,}")
 _CAPITALS, _SMALL = re.compile(rb"[A-Z]"), re.compile(rb"[a-z]")
 _SHAPE = (re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[A-Z]+"), re.compile(rb"[0-9]+"))
 MEMORY = 500_000
@@ -54,6 +57,9 @@ def statistics(data: bytes, words: list[bytes]) -> dict[str, float]:
         "bars": words.count(b"|") / max(1, n),
         "endings": sum(x.rstrip()[-1:] in b".!?" for x in lines) / max(1, len(lines)),
         "lines": len(lines),
+        "echoes": sum(map(operator.eq, words, words[1:])) / max(1, n),
+        "runs": len(_RUNS.findall(data)) / max(1, n),
+        "top word": max(Counter(words).values(), default=0) / max(1, n),
     }
 
 
@@ -70,6 +76,9 @@ def votes(s: dict[str, float]) -> list[int]:
         between(n > 0 and not 2.0 <= s["word length"] <= 14, 3.0 <= s["word length"] <= 9),
         between(s["bars"] > 0.1, -1 if n < 20 else s["bars"] == 0),
         between(s["lines"] >= 3 and s["endings"] < 0.2, s["endings"] > 0.6),
+        between(n >= 20 and s["echoes"] > 0.1, n >= 20 and s["echoes"] < 0.02),
+        between(n >= 20 and s["top word"] > 0.2, n >= 20 and s["top word"] < 0.12),
+        between(s["runs"] > 0.15, s["runs"] < 0.03),
     ]
 
 
