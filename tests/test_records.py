@@ -668,3 +668,22 @@ def test_replay_evaluation(spark):
     found = incidents.evaluated(spark)
     expected = {"total": 24, "passed": 24, "broken_deliveries": 21, "schema_detected": 12, "reconciliation_detected": 21, "healthy_deliveries": 3, "healthy_flagged": 0}
     assert one(incidents.evaluation_summary(found)) == expected
+
+
+def test_command_line_incident_lab_and_scores(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    said = lambda: json.loads(capsys.readouterr().out)
+    assert cli.main(["incident", "--fault", "missing_region"]) == 2
+    found = said()
+    assert (found["delivery"]["expected_net_cents"], found["delivery"]["observed_net_cents"], len(found["issues"])) == (found["repaired"]["observed_net_cents"], found["delivery"]["expected_net_cents"] + found["delivery"]["delta_cents"], 4) and found["repaired"]["verified"]
+    assert cli.main(["incident"]) == 0 and said()["issues"] == []
+    assert cli.main(["incident", "--fault", "nonsense"]) == 1
+    capsys.readouterr()
+    assert cli.main(["lab"]) == 0
+    found = said()
+    assert found["reconciliation"]["precision"] == found["reconciliation"]["recall"] == 1.0 and found["alerts"] > 0
+    one = {"model": "m", "case": "1", "status": "ok", "elapsed_seconds": 1.5, "prompt_tokens": 3, "completion_tokens": 4}
+    lines = [one | {"field": "total", "present": True, "actual": "10.00", "expected": "10"}, one | {"field": "merchant", "present": True, "actual": "x", "expected": ""}]
+    (tmp_path / "f.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    assert cli.main(["score", "--fields", str(tmp_path / "f.jsonl")]) == 0
+    assert said() == [{"model": "m", "correct": 1, "total": 2, "failures": 0, "unsupported_unknowns": 1, "median_elapsed_seconds": 1.5, "prompt_tokens": 3, "completion_tokens": 4}]

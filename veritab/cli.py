@@ -1,4 +1,4 @@
-"""Command line: python -m veritab.cli check|publish|profile|orders ... ; exit 0 fine, 1 invalid input, 2 gate blocked."""
+"""Command line: python -m veritab.cli check|profile|orders|incident|lab|score ... ; exit 0 fine, 1 invalid input, 2 gate blocked."""
 
 from __future__ import annotations
 
@@ -10,9 +10,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from veritab.operators import contracts, orders, quality
+from veritab.operators import contracts, incidents, lab, orders, quality, scoring
 from veritab.plans.specs import Contract, SpecError, canonical_id, iso
-from veritab.sources import csv_text
+from veritab.sources import csv_text, synthetic
 from veritab.sources.store import Store, StoreError
 
 ENGINE = "veritab-1"
@@ -42,6 +42,31 @@ def check(spark: SparkSession, store: Store, name: str, spec: dict, source: str,
     return store.save_run("runs", report, tables, ident)
 
 
+def incident(spark: SparkSession, seed: int, faults: list[str]) -> dict:
+    """The seeded ledger against its delivery with faults, and what is left after its repair."""
+    payments, refunds = synthetic.ledger(seed)
+    frame = lambda rows: synthetic.ledger_frame(spark, rows)
+    replay = incidents.Replay(frame(payments), frame(synthetic.delivered(payments, faults)), synthetic.refund_frame(spark, refunds))
+    found = {"issues": [r.asDict() for r in replay.issues.select("payment_id", "kind", "changed_fields").orderBy("payment_id").collect()], "delivery": replay.summary.first().asDict()}
+    return found | {"repaired": replay.repaired().summary.first().asDict()}
+
+
+def evaluation(spark: SparkSession, seed: int) -> dict:
+    """How the detectors do on the seeded inventory: 60 days of training, 30 of calibration, 30 of test."""
+    rows, truth = synthetic.inventory_frames(spark, seed)
+    n = F.col("n")
+    found = lab.evaluated(rows, truth, ["product", "warehouse"], n < 60, n.between(60, 89), n >= 90)
+    return {k.removeprefix("metrics_"): v.first().asDict() for k, v in found.items() if k.startswith("metrics_")} | {"alerts": found["alerts"].count()}
+
+
+def scores(spark: SparkSession, path: Path) -> list[dict]:
+    """By model, from JSON lines of fields (model, case, field, present, actual, expected) with status, seconds and tokens of their case."""
+    schema = "model string, case string, field string, present boolean, actual string, expected string, status string, elapsed_seconds double, prompt_tokens long, completion_tokens long"
+    rows = spark.read.schema(schema).json(path.absolute().as_uri())
+    cases = rows.select("model", "case", "status", "elapsed_seconds", "prompt_tokens", "completion_tokens").distinct()
+    return [r.asDict() for r in scoring.model_summary(scoring.extraction_runs(cases, scoring.field_scores(rows))).orderBy("model").collect()]
+
+
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="veritab")
     parser.add_argument("--store", default=".veritab")
@@ -57,9 +82,23 @@ def main(args: list[str] | None = None) -> int:
     three = sub.add_parser("orders", help="delivery checks of a CSV file with the order columns")
     three.add_argument("--csv", type=Path, required=True)
     three.add_argument("--as-of", required=True)
+    four = sub.add_parser("incident", help="replay of a seeded ledger with faults; exit 2 if the delivery isn't verified")
+    four.add_argument("--seed", type=int, default=17)
+    four.add_argument("--fault", action="append", default=[], help="missing_region, duplicate_retry, amount_unit; may be given more than once")
+    five = sub.add_parser("lab", help="evaluation of the detectors on a seeded inventory")
+    five.add_argument("--seed", type=int, default=42)
+    six = sub.add_parser("score", help="scores of extracted fields by model")
+    six.add_argument("--fields", type=Path, required=True)
     asked = parser.parse_args(args)
     spark = session()
     try:
+        if asked.command == "incident":
+            found = incident(spark, asked.seed, asked.fault)
+            print(json.dumps(found, sort_keys=True))
+            return 0 if found["delivery"]["verified"] else 2
+        if asked.command in ("lab", "score"):
+            print(json.dumps(evaluation(spark, asked.seed) if asked.command == "lab" else scores(spark, asked.fields), sort_keys=True))
+            return 0
         content = asked.csv.read_text(encoding="utf-8")
         if asked.command == "check":
             store = Store.at(asked.store)
