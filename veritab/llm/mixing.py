@@ -4,14 +4,18 @@ A classifier of token counts, trained on a labelled table, gives each document p
 rates of the documents are then fitted by least squares so that the expected tokens of each domain,
 the sum of rate x tokens x posterior, match targets.
 
-The fit is projected gradient descent with momentum, restarted where the error grows, in the metric
-where a document weighs as much as its tokens and a domain's error is relative to the tokens that
-it has at first; then the largest curvature is 1, which is the step, and rare domains converge as
-fast as common ones. In this metric documents of equal posteriors have equal rates at every step,
-so tokens are summed by posteriors first (which are multiples of 1 / PARTS), and a pass covers these
-cells, of which there are at most as many as lattice points, whatever the number of documents. A step
-needs only the residual of each domain, a few numbers; each pass replays the steps so far and sums
-the next residual, so neither rates nor gradients are ever moved or kept.
+The fit is projected gradient descent in the metric where a document weighs as much as its tokens
+and errors of the domains are weighed by the inverse of their Gram matrix over the documents whose
+rate isn't zero; there the curvature is 1, which is the step, however rare or entangled domains are.
+If targets are out of reach, that metric says little of what is near: then the fit starts again with
+errors relative to the tokens that a domain has at first, and momentum, restarted where the error
+grows, and ends at the nearest mix in that sense.
+
+In both metrics documents of equal posteriors have equal rates at every step, so tokens are summed
+by posteriors first (which are multiples of 1 / PARTS), and a pass covers these cells, of which there
+are at most as many as lattice points, whatever the number of documents. A step needs only the weighed
+residual of each domain, a few numbers; each pass replays the steps so far and sums the next residual,
+so neither rates nor gradients are ever moved or kept.
 """
 
 from __future__ import annotations
@@ -138,42 +142,60 @@ def cells(rows: DataFrame) -> DataFrame:
     return stored(rows.groupBy("p").agg(F.sum(F.col("n_tokens").cast("double")).alias("n_tokens")), "cells")
 
 
-def fitted(rows: DataFrame, targets: np.ndarray) -> Steps:
-    """The steps until each target is met within TOLERANCE of itself, or nothing changes any more.
+def sums(rows: DataFrame, steps: Steps, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens of each domain at the rates after these steps, at the next point, Gram matrix of what isn't zero there).
 
-    rows: n_tokens and p, stored. Each pass brings a few sums of each partition to an aggregate, one row to the driver.
-    Targets may be out of reach; then the nearest mix is where steps no longer change it, and met stays false.
+    Each pass brings a few sums of each partition to an aggregate, one row to the driver.
     """
+
+    def partial(batches):
+        import pyarrow as pa
+
+        total = np.zeros((2 + n, n))
+        for batch in batches:
+            if batch.num_rows:
+                p, n_tokens = _matrix(batch.column(1)), batch.column(0).to_numpy()
+                rate, point = replay(p, steps)
+                held = p[point > 0]
+                total += np.concatenate([[(rate * n_tokens) @ p, (point * n_tokens) @ p], (held * n_tokens[point > 0, None]).T @ held])
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total.reshape(-1).tolist()], names=names)
+
+    names = [f"s{k}" for k in range((2 + n) * n)]
+    found = rows.select("n_tokens", "p").mapInArrow(partial, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c).alias(c) for c in names]).first()
+    total = np.array([x or 0.0 for x in found]).reshape(2 + n, n)
+    return total[0], total[1], total[2:]
+
+
+def _descended(rows: DataFrame, targets: np.ndarray, gram: bool) -> tuple[Steps, np.ndarray]:
+    """(steps, tokens reached): in the metric of the Gram matrix, or of the domains' first tokens with momentum."""
     n = len(targets)
-    weight, steps = None, Steps()
-    since, errors = 0, []
+    steps, errors, since, first = Steps(), [], 0, None
     unit = np.maximum(targets, max(1.0, FLOOR * targets.sum()))
-    for _ in range(STEPS):
-
-        def sums(batches, so_far=Steps(list(steps.residuals), list(steps.momentum))):
-            import pyarrow as pa
-
-            total = np.zeros((2, n))
-            for batch in batches:
-                if batch.num_rows:
-                    p, n_tokens = _matrix(batch.column(1)), batch.column(0).to_numpy()
-                    rate, point = replay(p, so_far)
-                    total += np.stack([(rate * n_tokens) @ p, (point * n_tokens) @ p])
-            yield pa.RecordBatch.from_arrays([pa.array(total.reshape(-1)[k : k + 1]) for k in range(2 * n)], names=[f"s{k}" for k in range(2 * n)])
-
-        found = rows.select("n_tokens", "p").mapInArrow(sums, ", ".join(f"s{k} double" for k in range(2 * n))).agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(2 * n)]).first()
-        got = np.array([x or 0.0 for x in found]).reshape(2, n)
-        steps.met = bool((np.abs(got[0] - targets) <= TOLERANCE * unit).all())
-        weight = np.maximum(got[0], 1e-9 * max(1.0, targets.sum())) if weight is None else weight
-        now = float((np.square(got[0] - targets) / weight).sum())
-        if steps.met or (len(errors) >= PATIENCE and min(errors[-PATIENCE:], default=0.0) > (1 - SETTLED) * min(errors[:-PATIENCE], default=np.inf)):
-            break
-        since = since + 1 if not errors or now <= errors[-1] else 0  # momentum that overshoots is dropped
-        errors.append(now)
-        steps.residuals.append((got[1] - targets) / weight)
-        steps.momentum.append(since / (since + 3))
+    while True:
+        got, point, own = sums(rows, steps, n)
+        steps.met = bool((np.abs(got - targets) <= TOLERANCE * unit).all())
+        first = got if first is None else first
+        floor = 1e-9 * max(1.0, first.sum())
+        metric = own + floor * np.eye(n) if gram else np.diag(np.maximum(first, floor))
+        errors.append(float((got - targets) @ np.linalg.solve(metric, got - targets)))
+        if steps.met or len(steps.residuals) >= STEPS or (len(errors) > PATIENCE and min(errors[-PATIENCE:]) > (1 - SETTLED) * min(errors[:-PATIENCE])):
+            return steps, got
+        since = since + 1 if len(errors) == 1 or errors[-1] <= errors[-2] else 0  # momentum that overshoots is dropped
+        steps.residuals.append(np.linalg.solve(metric, point - targets))
+        steps.momentum.append(0.0 if gram else since / (since + 3))
+
+
+def fitted(rows: DataFrame, targets: np.ndarray) -> Steps:
+    """The steps until each target is met within TOLERANCE of itself, or nothing changes any more.
+
+    rows: n_tokens and p, stored. Targets may be out of reach; then the nearest mix is where steps no longer
+    change it, met stays false, and a warning says how far off it is.
+    """
+    steps, got = _descended(rows, targets, gram=True)
+    if not steps.met:
+        steps, got = _descended(rows, targets, gram=False)
     if not steps.met:
-        off = ", ".join(f"{x:+.2%}" for x in (got[0] - targets) / unit)
+        off = ", ".join(f"{x:+.2%}" for x in (got - targets) / np.maximum(targets, max(1.0, FLOOR * targets.sum())))
         warnings.warn(f"mixing targets not met after {len(steps.residuals)} steps, off by {off}", stacklevel=2)
     return steps
 
