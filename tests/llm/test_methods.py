@@ -785,7 +785,7 @@ def test_rates_meet_targets(spark):
 
 def test_rare_domains_meet_their_own_targets(spark):
     rng = np.random.default_rng(8)
-    p = np.stack([mixing.in_parts(x) for x in np.concatenate([rng.dirichlet([50, 0.02, 0.1], 4000), rng.dirichlet([1, 3, 1], 40), rng.dirichlet([0.2, 0.01, 5], 200)])])
+    p = mixing.in_parts(np.concatenate([rng.dirichlet([50, 0.02, 0.1], 4000), rng.dirichlet([1, 3, 1], 40), rng.dirichlet([0.2, 0.01, 5], 200)]))
     assert np.abs(p.sum(axis=1) - 1).max() < 1e-12 and (p >= 0).all()
     n = rng.integers(1, 5000, len(p))
     rows = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>").repartition(5)
@@ -836,6 +836,12 @@ def test_token_features():
     at, value = linear.token_features(np.array([5, 70_000, 5, 3, 5, 4464], np.uint32), 16)
     assert at.tolist() == [3, 5, 4464] and np.allclose(value, np.log1p([1, 3, 2]) / np.sqrt((np.log1p([1, 3, 2]) ** 2).sum()))
     assert [len(x) for x in linear.token_features(np.empty(0, np.uint32), 16)] == [0, 0]
+    rng = np.random.default_rng(5)
+    model = linear.Logistic(1 << 16, 3)
+    model.weights, model.bias = rng.normal(size=model.weights.shape), rng.normal(size=3)
+    texts = [rng.integers(0, 49_408, n).astype(np.uint32) // 7 for n in (0, 1, 50, 3000, 0)]
+    assert np.allclose(linear.token_shares(model, texts, 16), [model.shares(*linear.token_features(x, 16)) for x in texts])
+    assert linear.token_shares(model, [], 16).shape == (0, 3)
 
 
 def test_logistic_learns_soft_labels():

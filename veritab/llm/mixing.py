@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from veritab.llm import tokens
 from veritab.llm.common import bounded_batches, documents, own_columns, rows_of, stored
-from veritab.llm.linear import Logistic, sample_by_hash, size_within, token_features
+from veritab.llm.linear import Logistic, sample_by_hash, size_within, token_features, token_shares
 
 DOMAINS = ("clean", "toxic", "junk")
 #: Shares of the tokens that the domains shall have, and the clean tokens kept, as a multiple of those there are.
@@ -90,9 +90,9 @@ def domain_classifier(df: DataFrame, labels: DataFrame) -> Logistic:
 
 
 def in_parts(p: np.ndarray, parts: int = PARTS) -> np.ndarray:
-    """Posteriors rounded to multiples of one part that still sum to 1: the largest one makes up for the others."""
+    """Posteriors, a row each, rounded to multiples of one part that still sum to 1: the largest one makes up for the others."""
     whole = np.rint(p * parts)
-    whole[p.argmax()] += parts - whole.sum()
+    whole[np.arange(len(p)), p.argmax(axis=1)] += parts - whole.sum(axis=1)
     return whole / parts
 
 
@@ -108,8 +108,9 @@ def memberships(df: DataFrame, model: Logistic) -> DataFrame:
         encoder, own = tokens.encoder(path), shared.value
         for ids, texts in rows_of(batches, "doc_id", "text"):
             found = [np.frombuffer(x, "<u4") for x in encoder.packed([t or "" for t in texts])]
-            p = [in_parts(own.shares(*token_features(x, BITS))).tolist() for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(p, pa.list_(pa.float64()))], names=["doc_id", "n_tokens", "p"])
+            p = in_parts(token_shares(own, found, BITS))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in found], pa.int64()), lists], names=["doc_id", "n_tokens", "p"])
 
     return own_columns(df, "doc_id", "text").mapInArrow(judge, "doc_id long, n_tokens long, p array<double>")
 
