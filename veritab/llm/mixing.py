@@ -35,6 +35,9 @@ DOMAINS = ("clean", "toxic", "junk")
 #: Shares of the tokens that the domains shall have, and the clean tokens kept, as a multiple of those there are.
 TARGETS = {"clean": 0.97, "toxic": 0.01, "junk": 0.02}
 CLEAN_FACTOR = 1.02
+#: Where rows are taken or left by their rates, a domain keeps this share of its tokens at least: clean documents have small
+#: memberships in rare domains, and taking these down to a far target would take many clean documents out.
+LEAST_LEFT = 0.7
 #: Features of the classifier: token ids, folded to so many bits.
 BITS = 16
 #: Labelled documents that train the classifier.
@@ -201,11 +204,16 @@ def fitted(rows: DataFrame, targets: np.ndarray) -> Steps:
     return steps
 
 
-def target_tokens(rows: DataFrame, targets: dict[str, float] = TARGETS) -> np.ndarray:
-    """Tokens for each domain, by shares, so that the first domain keeps its own."""
-    first = rows.agg(F.sum(F.col("n_tokens") * F.col("p")[0])).first()[0] or 0.0
-    total = CLEAN_FACTOR * first / targets[DOMAINS[0]]
-    return np.array([total * targets[d] for d in DOMAINS])
+def target_tokens(rows: DataFrame, targets: dict[str, float] = TARGETS, least: float = 0.0) -> np.ndarray:
+    """Tokens for each domain, by shares, so that the first domain keeps its own.
+
+    No domain grows by more than CLEAN_FACTOR: a share that the corpus doesn't have, as after a filter for
+    that domain, isn't made up by many copies of the few documents that resemble it. Nor does one shrink below
+    the share `least` of what it has.
+    """
+    first = np.array([x or 0.0 for x in rows.agg(*[F.sum(F.col("n_tokens") * F.col("p")[k]).alias(d) for k, d in enumerate(DOMAINS)]).first()])
+    total = CLEAN_FACTOR * first[0] / targets[DOMAINS[0]]
+    return np.clip([total * targets[d] for d in DOMAINS], least * first, CLEAN_FACTOR * first)
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -214,7 +222,7 @@ def copies(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + F.when(part < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def mixed(df: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+def mixed(df: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, least: float = 0.0) -> DataFrame:
     """(doc_id, n_tokens, p_clean, p_toxic, p_junk, rate, copies) of every row.
 
     labels: doc_id, quality, toxic. A null or empty text has no tokens: it bears on no target, and its rate
@@ -226,7 +234,7 @@ def mixed(df: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
     model = domain_classifier(df, labels.select("doc_id", domain_of(labels["quality"], labels["toxic"]).alias("domain")))
     rows = stored(memberships(df, model), "memberships")
     of = cells(rows)
-    steps = fitted(of, target_tokens(of, targets))
+    steps = fitted(of, target_tokens(of, targets, least))
 
     def rates(batches):
         import pyarrow as pa
@@ -240,13 +248,13 @@ def mixed(df: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
     return found.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
-def resampled(df: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+def resampled(df: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, least: float = LEAST_LEFT) -> DataFrame:
     """df with every document as often as its rate says, all columns kept.
 
     Rows are matched by doc_id, null ids with each other; repeated rows of one doc_id are each taken equally
     often, as often as the most of them would be. An empty table gives no rows; null texts are taken at their rate.
     """
-    found = mixed(df, labels, targets).groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    found = mixed(df, labels, targets, least).groupBy("doc_id").agg(F.max("copies").alias("copies"))
     rows = df.select(*[df[c].alias(f"own_{k}") for k, c in enumerate(df.columns)], df["doc_id"].alias("id")).join(found, F.col("id").eqNullSafe(F.col("doc_id"))).where("copies > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return rows.select(*[F.col(f"own_{k}").alias(c) for k, c in enumerate(df.columns)])
