@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.text import date_of, padded, reasons
-from veritab.operators.keys import placed, with_repeats
+from veritab.operators.keys import with_repeats
+from veritab.operators.ranks import placed
 
 ROLES = ("order_id", "team", "ordered_on", "due_on", "delivered_on")
 STATUSES = ("open overdue", "due today", "upcoming", "delivered late", "delivered on time")
@@ -98,5 +99,5 @@ def queue(rows: DataFrame) -> DataFrame:
 
 
 def queue_places(rows: DataFrame) -> DataFrame:
-    """Valid orders with `place`, from 1, in the order of the queue; there are as many numbers of late days as days."""
-    return placed(valid(rows), "late_days", ["due_on", "order_id", "record"])
+    """Valid orders with `place`, from 1, in the order of the queue."""
+    return placed(valid(rows), [F.desc("late_days"), "due_on", "order_id", "record"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veritab.functions.text import formula_safe, formula_safe_strict
 from veritab.operators import compare, contracts, inventory, lab, orders, quality, receipts, scoring, snapshots
-from veritab.operators.keys import placed
+from veritab.operators.ranks import placed
 from veritab.plans.specs import Contract, Cutoffs, Field, QuestionPlan, SnapshotRules
 from veritab.plans.views import AS_OF, plain_sql, view
 from veritab.sources import csv_text
@@ -559,7 +559,7 @@ _LAB_TEXT = "case when delta <> 0 then 'Closing stock is ' || delta || ' units o
 
 @query(f"select row_number() over (order by review_value_cents desc, score desc, id) as place, id, reconciliation, sales_anomaly, global_baseline, review_value_cents::bigint as review_value_cents, delta::bigint as delta, {_LAB_TEXT} as explanation from ({_LAB_FOUND}) f where reconciliation or sales_anomaly")
 def lab_alerts(spark, sf_dir):
-    rows = placed(_lab(spark, sf_dir)["alerts"], "review_value_cents", [F.desc("score"), "id"])
+    rows = placed(_lab(spark, sf_dir)["alerts"], [F.desc("review_value_cents"), F.desc("score"), "id"])
     return rows.select("place", "id", "reconciliation", "sales_anomaly", "global_baseline", F.col("review_value_cents").cast("bigint").alias("review_value_cents"), "delta", "explanation")
 
 
