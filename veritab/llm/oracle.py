@@ -1,5 +1,7 @@
 """SQL for the operators that SQL can express, in DuckDB's dialect."""
 
+from veritab.llm import decontamination as D
+from veritab.llm import manifest as M
 from veritab.llm import quality_rules as Q
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -62,3 +64,60 @@ def warc() -> str:
 with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages), f as (select h, min(page_id) as f from p group by h)
 select page_id, octet_length(encode(html))::bigint as payload_bytes, array_to_string(list_transform(range(0, 8), lambda k: {part}), '') as payload_digest,
     case when page_id = f then 'response' else 'revisit' end as record_type, case when page_id <> f then f end as refers_to from p join f using (h)"""
+
+
+def decontamination() -> str:
+    """Windows are compared as texts: of each number of words that an item's windows have."""
+    words = lambda t: f"regexp_extract_all(translate(coalesce({t}, ''), '{M.UPPER}', '{M.UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    n = D.WINDOW
+    return f"""
+with d as (select row_number() over () as rid, doc_id, {words("text")} as w from documents),
+b as (select item_id, w, least({n}, len(w)) as k from (select item_id, {words("text")} as w from benchmark) x where len(w) > 0),
+v as (select distinct item_id, k, array_to_string(w[i:i + k - 1], ' ') as g from (select item_id, w, k, unnest(range(1, len(w) - k + 2)) as i from b) x),
+g as (select rid, k, i, array_to_string(w[i:i + k - 1], ' ') as g from (select rid, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from b) ks where len(w) >= k) x),
+h as (select g.rid, g.i, g.k, v.item_id from g join v on g.k = v.k and g.g = v.g),
+s as (select rid, i, max(k) as k from h group by rid, i),
+p as (select rid, count(*) as n_hit from (select distinct rid, unnest(range(i, i + k)) as at from s) x group by rid),
+t as (select rid, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as listed from (select distinct rid, item_id from h where item_id is not null) x group by rid)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join p on d.rid = p.rid left join t on d.rid = t.rid"""
+
+
+def _crc(c: str) -> str:
+    """CRC-32 of a number's decimal text, bit by bit."""
+    codes = f"list_transform(string_split({c}::varchar, ''), lambda ch: ascii(ch)::bigint)"
+    bits = "list_reduce(list_prepend(xor(crc, code), [0::bigint for i in range(8)]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"case when {c} is not null then xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {codes}), lambda crc, code: {bits})) end"
+
+
+def manifest(levels: int = 8) -> str:
+    """Trees of up to FAN ** levels documents a language, and as many languages; a tree with one node left is carried on as it is."""
+    field = lambda c: f"coalesce(octet_length(encode({c}::varchar)) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(concat(" + ", ".join(field(c) for c in M.FIELDS[:-1]) + f", {field(text)}))"
+    parts = [
+        "d as (select row_number() over () as rid, * from documents)",
+        f"""x0 as (select rid, doc_id, lang, {leaf("text")} as h, case when coalesce(({_crc("doc_id")}) % 3 = 0, false) then {leaf(f"translate(text, '{M.UPPER}', '{M.UPPER.lower()}')")} end as altered from d)""",
+        "r as (select *, row_number() over (partition by lang order by doc_id nulls first, h) - 1 as pos, dense_rank() over (order by encode(lang) nulls first) - 1 as tree from x0)",
+        "n0 as (select tree, pos, h from r)",
+    ]
+
+    def climb(name: str) -> None:
+        for k in range(levels):
+            parts.append(f"{name}g{k} as (select tree, pos // {M.FAN} as run, string_agg(h, '' order by pos) as g, count(*) as c, any_value(size) as size from (select *, count(*) over (partition by tree) as size from {name}{k}) y group by tree, run)")
+            parts.append(f"{name}{k + 1} as (select tree, run as pos, case when size = 1 then g else sha256(g) end as h from {name}g{k})")
+
+    def path(name: str, rows: str) -> str:
+        for k in range(levels):
+            at = f"(x.pos // {M.FAN**k})"
+            rows = f"""(select x.* exclude (p, f), case when g.size = 1 then p else p || substr(g.g, 1, 64 * ({at} % {M.FAN})) || substr(g.g, 64 * ({at} % {M.FAN}) + 65) end as p,
+                case when g.size = 1 then f else sha256(substr(g.g, 1, 64 * ({at} % {M.FAN})) || f || substr(g.g, 64 * ({at} % {M.FAN}) + 65)) end as f
+                from {rows} x join {name}g{k} g on g.tree = x.tree and g.run = {at} // {M.FAN})"""
+        return rows
+
+    climb("n")
+    parts.append(f"m0 as (select 0 as tree, tree as pos, h from n{levels})")
+    climb("m")
+    parts.append(f"inner_path as (select * from {path('n', '(select r.*, h as leaf, coalesce(altered, h) as f, $$$$ as p from r)')} z)".replace("$$$$", "''"))
+    parts.append(f"outer_path as (select * from {path('m', '(select doc_id, leaf, p, f, tree as pos, 0 as tree, tree as own from inner_path)')} z)")
+    return f"""with {", ".join(parts)}
+select doc_id, leaf, s.h as subroot, t.h as root, sha256(p) as proof_sha256, f as folded_root, f = t.h as verified from outer_path o join n{levels} s on s.tree = o.own, m{levels} t"""

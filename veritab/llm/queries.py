@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from veritab.llm import language_id, mixing, near_duplicates, oracle, packing, personal_data, quality_rules, telephony, tokens, warc, weak_quality
+from veritab.llm import decontamination, language_id, manifest, mixing, near_duplicates, oracle, packing, personal_data, quality_rules, telephony, tokens, warc, weak_quality
 
 QUERIES = {
     "op1_weak_quality": weak_quality.op1_weak_quality,
@@ -13,10 +13,14 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_mixing": mixing.op9_mixing,
     "op10_language_id": language_id.op10_language_id,
+    "op11_decontamination": decontamination.op11_decontamination,
+    "op12_merkle_manifest": manifest.op12_merkle_manifest,
 }
 
 #: The others need hashing, learning or packing that SQL can't express; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": oracle.warc(),
     "op8_quality_rules": oracle.quality_rules(),
+    "op11_decontamination": oracle.decontamination(),
+    "op12_merkle_manifest": oracle.manifest(),
 }
