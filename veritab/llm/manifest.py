@@ -4,7 +4,7 @@ H is the lower-case hexadecimal SHA-256 of inputs put one after another, digests
 leaf is H of its fields, each `-` if null, else its length in bytes, a colon and the value. Eight nodes in a row
 become their H, level by level, until one is left; the last run of a level may be shorter, even a single node.
 
-Trees are built in buckets of BUCKET positions, aligned so that no run crosses two of them. A bucket's nodes go to
+Trees are built in buckets of 4,096 positions, aligned so that no run crosses two of them. A bucket's nodes go to
 one task as Arrow, where DuckDB runs a level at a time: ordered string_agg by run, then sha256. What a bucket ends in
 is a node of the next round, so each round has a 4,096th of the nodes of the one before, and a language of
 a third of all documents is as many even buckets as it needs. Going down again, each bucket meets the siblings
@@ -24,9 +24,8 @@ from veritab.llm.common import discard, documents, own_columns, stored
 from veritab.operators.ranks import placed
 
 FAN = 8
-#: Levels of a bucket, and nodes at its lowest one.
+#: Levels of a bucket, which so has FAN ** LEVELS nodes at the lowest one.
 LEVELS = 4
-BUCKET = FAN**LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -48,10 +47,10 @@ def tampered(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 0, F.lit(False))
 
 
-def _levels(n: int) -> int:
+def _height(n: int, most: int) -> int:
     """How many levels a bucket of a tree with n nodes has: all of them if it is one of several."""
     levels = 0
-    while levels < LEVELS and FAN**levels < n:
+    while levels < most and FAN**levels < n:
         levels += 1
     return levels
 
@@ -68,38 +67,40 @@ def _climbed(con, nodes, levels: int) -> list:
     return steps
 
 
-def bucket_roots(nodes: DataFrame) -> DataFrame:
+def bucket_roots(nodes: DataFrame, levels: int) -> DataFrame:
     """(tree, pos, n, h) of the next round from (tree, pos, n, h): pos is a node's position from 0 and n how many the tree has."""
 
+    size = FAN**levels
+
     def climb(table):
         import duckdb
         import pyarrow as pa
 
         tree, pos, n = (table.column(c)[0].as_py() for c in ("tree", "pos", "n"))
         with duckdb.connect(config={"threads": 1}) as con:
-            _climbed(con, table, _levels(n))
+            _climbed(con, table, _height(n, levels))
             root = con.execute("select h from level").fetchall()
         assert len(root) == 1, "a bucket has one root"
-        return pa.table({"tree": [tree], "pos": [pos // BUCKET], "n": [-(-n // BUCKET)], "h": [root[0][0]]}, schema=pa.schema([("tree", pa.int64()), ("pos", pa.int64()), ("n", pa.int64()), ("h", pa.string())]))
+        return pa.table({"tree": [tree], "pos": [pos // size], "n": [-(-n // size)], "h": [root[0][0]]}, schema=pa.schema([("tree", pa.int64()), ("pos", pa.int64()), ("n", pa.int64()), ("h", pa.string())]))
 
-    return nodes.select("tree", "pos", "n", "h").groupBy("tree", F.floor(F.col("pos") / BUCKET).alias("bucket")).applyInArrow(climb, "tree long, pos long, n long, h string")
+    return nodes.select("tree", "pos", "n", "h").groupBy("tree", F.floor(F.col("pos") / size).alias("bucket")).applyInArrow(climb, "tree long, pos long, n long, h string")
 
 
-def rounds(nodes: DataFrame) -> list[DataFrame]:
+def rounds(nodes: DataFrame, levels: int) -> list[DataFrame]:
     """The nodes of each round of (tree, pos, n, h), up to one where every tree has one node; all but the first are stored."""
     found = [nodes]
     while not found[-1].where("n > 1").isEmpty():
-        found.append(stored(bucket_roots(found[-1]), "round"))
+        found.append(stored(bucket_roots(found[-1], levels), "round"))
     return found
 
 
-def _joined(nodes: DataFrame, above: DataFrame, f, schema: str) -> DataFrame:
+def _joined(nodes: DataFrame, above: DataFrame, levels: int, f, schema: str) -> DataFrame:
     """f of each bucket of nodes and the node above it, with its siblings (l, r: lists from below)."""
     bucket = lambda df, c: df.groupBy(F.col("tree").alias("_tree"), c.alias("_bucket"))
-    return bucket(nodes, F.floor(F.col("pos") / BUCKET)).cogroup(bucket(above, F.col("pos"))).applyInArrow(f, schema)
+    return bucket(nodes, F.floor(F.col("pos") / FAN**levels)).cogroup(bucket(above, F.col("pos"))).applyInArrow(f, schema)
 
 
-def siblings(nodes: DataFrame, above: DataFrame) -> DataFrame:
+def siblings(nodes: DataFrame, above: DataFrame, levels: int) -> DataFrame:
     """nodes (tree, pos, n, h) with the siblings on their way to the root, from those of the next round (tree, pos, l, r)."""
 
     def descend(own, over):
@@ -108,7 +109,7 @@ def siblings(nodes: DataFrame, above: DataFrame) -> DataFrame:
 
         outer = {c: over.column(c)[0].as_py() for c in ("l", "r")}
         with duckdb.connect(config={"threads": 1}) as con:
-            steps = _climbed(con, own, _levels(own.column("n")[0].as_py()))
+            steps = _climbed(con, own, _height(own.column("n")[0].as_py(), levels))
             con.register("own", own)
             found = _paths(con, steps, "select tree, pos, n, h from own")
             names = [f"{side}{k}" for side in "lr" for k in range(len(steps))]
@@ -119,7 +120,7 @@ def siblings(nodes: DataFrame, above: DataFrame) -> DataFrame:
             schema=pa.schema([("tree", pa.int64()), ("pos", pa.int64()), ("n", pa.int64()), ("h", pa.string()), ("l", pa.list_(pa.string())), ("r", pa.list_(pa.string()))]),
         )
 
-    return _joined(nodes, above, descend, "tree long, pos long, n long, h string, l array<string>, r array<string>")
+    return _joined(nodes, above, levels, descend, "tree long, pos long, n long, h string, l array<string>, r array<string>")
 
 
 def _paths(con, steps: list, nodes: str) -> str:
@@ -131,7 +132,7 @@ def _paths(con, steps: list, nodes: str) -> str:
     return query
 
 
-def proved(leaves: DataFrame, above: DataFrame) -> DataFrame:
+def proved(leaves: DataFrame, above: DataFrame, levels: int) -> DataFrame:
     """(doc_id, lang, leaf, subroot, proof_sha256, folded_root) of leaves (tree, pos, n, h, doc_id, lang, altered), from the next round's siblings and subroots.
 
     The fold begins with `altered` where there is one, else with the leaf.
@@ -141,7 +142,7 @@ def proved(leaves: DataFrame, above: DataFrame) -> DataFrame:
         import duckdb
 
         with duckdb.connect(config={"threads": 1}) as con:
-            steps = _climbed(con, own, _levels(own.column("n")[0].as_py()))
+            steps = _climbed(con, own, _height(own.column("n")[0].as_py(), levels))
             con.register("own", own)
             found = _paths(con, steps, "select doc_id, lang, pos, h, coalesce(altered, h) as f from own")
             left, right, subroot = (over.column(c)[0].as_py() for c in ("l", "r", "subroot"))
@@ -151,10 +152,10 @@ def proved(leaves: DataFrame, above: DataFrame) -> DataFrame:
             proof = " || ".join(x for pair in pairs for x in pair) or "''"
             return con.sql(f"select doc_id, lang, h as leaf, '{subroot}' as subroot, sha256({proof}) as proof_sha256, f as folded_root from ({found})").to_arrow_table()
 
-    return _joined(leaves, above, descend, "doc_id long, lang string, leaf string, subroot string, proof_sha256 string, folded_root string")
+    return _joined(leaves, above, levels, descend, "doc_id long, lang string, leaf string, subroot string, proof_sha256 string, folded_root string")
 
 
-def manifest(df: DataFrame) -> DataFrame:
+def manifest(df: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(doc_id, lang, leaf, subroot, root, proof_sha256, folded_root, verified) of every row.
 
     df: doc_id, source, lang, n_chars, text. A null is written as `-`, and null languages make a tree of their own, the
@@ -176,21 +177,21 @@ def manifest(df: DataFrame) -> DataFrame:
     rows = stored(rows, "positions")
     discard(leaves)
 
-    inner = rounds(rows)
+    inner = rounds(rows, levels)
     subroots = inner[-1].select("tree", F.col("h").alias("subroot"))
     # the trees' roots are the leaves of one more tree, in which a tree's number is its position
     number = langs.count()
-    outer = rounds(subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("pos"), F.lit(number).cast("long").alias("n"), F.col("subroot").alias("h")))
+    outer = rounds(subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("pos"), F.lit(number).cast("long").alias("n"), F.col("subroot").alias("h")), levels)
     root = (outer[-1].select("h").first() or [None])[0]
     none = F.array().cast("array<string>")
     above = outer[-1].select("tree", "pos", "n", "h", none.alias("l"), none.alias("r"))
     for nodes in reversed(outer[:-1]):
-        above = siblings(nodes, above)
+        above = siblings(nodes, above, levels)
     above = above.select(F.col("pos").alias("tree"), F.lit(0).cast("long").alias("pos"), "l", "r")
     for nodes in reversed(inner[1:-1]):
-        above = siblings(nodes, above)
+        above = siblings(nodes, above, levels)
     above = stored(above.select("tree", "pos", "l", "r").join(subroots, "tree"), "siblings")  # a row for each bucket of documents
-    found = proved(rows, above)
+    found = proved(rows, above, levels)
     root = F.lit(root).cast("string")
     return found.select("doc_id", "lang", "leaf", "subroot", root.alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == root).alias("verified"))
 
