@@ -26,7 +26,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import datasource as D
 from pyspark.sql import functions as F
 
@@ -230,11 +230,12 @@ class WarcReader(D.DataSourceReader):
     def __init__(self, options: dict, schema):
         self.path, self.names = options["path"], list(schema.names)
         self.verify = options.get("verify", "false").lower() == "true"
+        self.pushdown = options.get("pushdown", "false").lower() == "true"
         self.filters: list = []
 
     def pushFilters(self, filters: list[D.Filter]) -> Iterable[D.Filter]:
         for f in filters:
-            if _test(f):
+            if self.pushdown and _test(f):
                 self.filters.append(f)
             else:
                 yield f
@@ -333,7 +334,10 @@ class WarcWriter(D.DataSourceArrowWriter):
 
 
 class WarcDataSource(D.DataSource):
-    """format("warc"): options path, verify (recompute payload digests), level and date (writing)."""
+    """format("warc"): options path, verify (recompute payload digests), pushdown (see `archive`), level and date (writing).
+
+    A loaded frame may be used again and again. It leaves conditions to Spark: these are pushed down in frames of `archive` alone.
+    """
 
     @classmethod
     def name(cls):
@@ -355,17 +359,20 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
-def archive(spark: SparkSession, path: str, columns: str | None = None, **options: str) -> DataFrame:
-    """The records of an archive as a frame of its own, for one condition; columns are some of SCHEMA, with types.
+def archive(spark: SparkSession, path: str, columns: str | None = None, where: str | Column | None = None, **options: str) -> DataFrame:
+    """The records of an archive that meet a condition, which is pushed down; columns are some of SCHEMA, with types.
 
+    Record type and headers are judged where they are read, and payloads of other records are skipped undecoded.
     Spark doesn't tell Python sources which columns a query needs, so leave payload out where it isn't wanted.
 
-    Spark (4.1) plans a loaded frame's read once and keeps the predicates pushed into it: the same frame,
-    used again without or with another condition, would still give the rows of the first one. So call this
-    for each condition, also for two within one plan.
+    Spark (4.1) keeps the predicates pushed into a loaded frame for the frame's later uses. So they are pushed only with a
+    condition given here, into a frame of its own, and the result takes no further ones: what is put on top of it is judged by
+    Spark on rows that meet this one.
     """
     register(spark)
-    return spark.read.format("warc").schema(columns or SCHEMA).options(**options).load(path)
+    rows = spark.read.format("warc").schema(columns or SCHEMA).options(**options, pushdown=str(where is not None).lower()).load(path)
+    # the last condition always holds, but no other one may be moved below it
+    return rows if where is None else rows.where(where).where(F.monotonically_increasing_id() >= 0)
 
 
 def deduplicated(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -391,6 +398,5 @@ def op7_warc(spark, sf_dir):
     register(spark)
     path = new_path(spark, "warc")
     deduplicated(spark.read.parquet(f"{sf_dir}/pages.parquet")).write.format("warc").mode("append").save(path)
-    found = archive(spark, path, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long", verify="true")
-    return found.where(F.col("record_type").isin("response", "revisit"))
+    return archive(spark, path, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long", F.col("record_type").isin("response", "revisit"), verify="true")
 
