@@ -1,6 +1,7 @@
 """Each operator against brute force, an exact round trip, or held-out accuracy."""
 
 import base64
+import functools
 import gzip
 import hashlib
 import io
@@ -15,13 +16,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritab.llm import common, language_id, linear, mixing, near_duplicates, packing, personal_data, quality_rules, shingles, telephony, tokens, warc, weak_labels, weak_quality
+from veritab.llm.common import documents
 from veritab.llm.queries import ORACLE_SQL, QUERIES
 
-SMALL = "/root/testdata/sf0.001"
+SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 
 
-def test_eleven_names():
-    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(QUERIES) and [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+def test_thirteen_names():
+    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(QUERIES) and [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 
@@ -632,11 +634,23 @@ def test_predicates_are_pushed_down(spark, tmp_path):
     path = f"file://{tmp_path}/a"
     rows = spark.createDataFrame([(k, f"http://h{k % 3}/", bytes([65 + k % 5]) * 10, None, 0 if k % 5 == k else k % 5) for k in range(30)], "page_id long, uri string, payload binary, payload_digest string, refers_to long")
     rows.withColumn("refers_to", F.when(F.col("page_id") >= 5, F.col("refers_to"))).write.format("warc").mode("append").save(path)
-    df = spark.read.format("warc").load(path)
-    picked = df.where((F.col("record_type") == "revisit") & F.col("uri").startswith("http://h1") & (F.col("page_id") > 10) & ~F.col("page_id").isin(13, 16))
+    picked = warc.archive(spark, path, where=(F.col("record_type") == "revisit") & F.col("uri").startswith("http://h1") & (F.col("page_id") > 10) & ~F.col("page_id").isin(13, 16))
     assert sorted(r["page_id"] for r in picked.collect()) == [19, 22, 25, 28]
-    assert not re.search(r"\bFilter\b", picked._jdf.queryExecution().executedPlan().toString())
-    assert df.where("payload is not null").count() == 5
+    assert re.findall(r"Filter .*", picked._jdf.queryExecution().executedPlan().toString()) == ["Filter (monotonically_increasing_id() >= 0)"]
+    assert warc.archive(spark, path, where="payload is not null").count() == 5
+
+
+def test_a_frame_is_used_again_and_again(spark, tmp_path):
+    warc.register(spark)
+    path = f"file://{tmp_path}/a"
+    rows = spark.createDataFrame([(k, f"http://h{k % 3}/", b"x" * k, None, 0 if k % 2 else None) for k in range(50)], "page_id long, uri string, payload binary, payload_digest string, refers_to long")
+    rows.write.format("warc").mode("append").save(path)
+    for df, least in ((spark.read.format("warc").load(path), 0), (warc.archive(spark, path), 0), (warc.archive(spark, path, where="page_id >= 10"), 10)):
+        held = spark.createDataFrame(df.collect(), df.schema)
+        assert held.count() == 50 - least
+        for conditions in (["record_type = 'none'"], ["true"], ["record_type = 'revisit'"], ["page_id < 20", "page_id >= 45"], ["page_id < 20", "true"], ["uri is null"], ["true"]):
+            both = lambda of: functools.reduce(lambda a, b: a.unionByName(b), (of.where(c) for c in conditions))  # noqa: B023, E731
+            assert sorted(r["page_id"] for r in both(df).collect()) == sorted(r["page_id"] for r in both(held).collect()), conditions
 
 
 FILTERS = [
@@ -655,7 +669,7 @@ def test_every_predicate_gives_what_it_gives_in_memory(spark, tmp_path):
     df = warc.archive(spark, path)
     held = spark.createDataFrame(df.collect(), df.schema)
     for condition in FILTERS:
-        assert sorted(map(str, warc.archive(spark, path).where(condition).collect())) == sorted(map(str, held.where(condition).collect())), condition
+        assert sorted(map(str, warc.archive(spark, path, where=condition).collect())) == sorted(map(str, held.where(condition).collect())), condition
 
 
 def test_overwriting_leaves_nothing_of_the_old_archive(spark, tmp_path):
@@ -803,7 +817,7 @@ def test_contradictory_and_repeated_labels_have_a_defined_result(spark, small, l
     flipped = spark.createDataFrame([(-5, "some words of a text"), (-6, "other words")], "doc_id long, text string")
     more = few.union(few).union(spark.createDataFrame([(-5, 0), (-5, 1)], "doc_id long, domain int"))
     again = mixing.domain_classifier(small.select("doc_id", "text").union(small.select("doc_id", "text")).union(flipped), more)
-    assert (model.weights == again.weights).all() and (model.bias == again.bias).all()
+    assert (model.chosen == again.chosen).all() and (model.model.weights == again.model.weights).all() and (model.model.bias == again.model.bias).all()
 
 
 def test_unreachable_targets_give_the_nearest_mix(spark):
@@ -815,14 +829,26 @@ def test_unreachable_targets_give_the_nearest_mix(spark):
     assert (rate >= 0).all() and rate[0] < 0.05 and abs(rate[1] - 3) < 0.05  # errors are relative to the domains' tokens
 
 
-def test_mixing_query(spark, labels):
-    rows = mixing.op9_mixing(spark, SMALL)
-    got = rows.agg(*[F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in mixing.DOMAINS], *[F.sum(F.col("n_tokens") * F.col(f"p_{d}")).alias(f"now_{d}") for d in mixing.DOMAINS]).first()
-    total = mixing.CLEAN_FACTOR * got["now_clean"] / mixing.TARGETS["clean"]
-    for d in mixing.DOMAINS:
-        assert abs(got[d] / min(total * mixing.TARGETS[d], mixing.CLEAN_FACTOR * got[f"now_{d}"]) - 1) <= 1e-3
-    by = {r["q"]: r["m"] for r in rows.join(labels, "doc_id").groupBy(F.expr("case when toxic = 1 then 't' when quality = 0 then 'j' else 'c' end").alias("q")).agg(F.avg("p_clean").alias("m")).collect()}
-    assert by["c"] > by["t"] and by["c"] > by["j"]
+def test_mixing_query(spark):
+    rows = mixing.op9_mixing(spark, LARGER).cache()
+    for r in mixing.shares(rows).collect():
+        assert abs(r["reached"] / mixing.TARGETS[r["domain"]] - 1) <= 1e-3 and r["requested"] == mixing.TARGETS[r["domain"]]
+    kept = rows.agg(F.sum(F.col("rate") * F.col("n_tokens") * F.col("p_clean")) / F.sum(F.col("n_tokens") * F.col("p_clean"))).first()[0]
+    assert abs(kept / mixing.CLEAN_FACTOR - 1) <= 1e-3
+    rows = rows.join(spark.read.parquet(f"{LARGER}/labels.parquet"), "doc_id")
+    clean, toxic = rows.where("quality = 1 and toxic = 0"), rows.where("toxic = 1")
+    assert clean.where("rate < 0.5").count() <= 0.01 * clean.count() and clean.where("rate > 2").count() == 0
+    assert toxic.where("rate > 0.5").count() <= 0.2 * toxic.count()
+
+
+def test_shares_out_of_reach_are_told(spark, small, labels):
+    with pytest.warns(UserWarning, match="not met"):
+        rows = mixing.mixed(small, labels, {"clean": 0.01, "toxic": 0.01, "junk": 0.98})
+    found = {r["domain"]: r for r in mixing.shares(rows, {"clean": 0.01, "toxic": 0.01, "junk": 0.98}).collect()}
+    assert found["junk"]["requested"] == 0.98 and found["junk"]["reached"] < 0.97 and abs(sum(r["reached"] for r in found.values()) - 1) < 1e-9
+    with pytest.raises(ValueError, match="no rates"), pytest.warns(UserWarning):
+        mixing.mixed(small, labels, {"clean": 0.01, "toxic": 0.01, "junk": 0.98}, strict=True)
+    assert all(r["reached"] is None for r in mixing.shares(rows.where("false")).collect())
 
 
 def test_mixing_counts_tokens_as_the_encoder_does(spark, small, labels):
@@ -832,16 +858,25 @@ def test_mixing_counts_tokens_as_the_encoder_does(spark, small, labels):
     assert n == {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(docs).collect()} and min(n[-1], n[-2]) > 100
 
 
-def test_token_features():
-    at, value = linear.token_features(np.array([5, 70_000, 5, 3, 5, 4464], np.uint32), 16)
-    assert at.tolist() == [3, 5, 4464] and np.allclose(value, np.log1p([1, 3, 2]) / np.sqrt((np.log1p([1, 3, 2]) ** 2).sum()))
-    assert [len(x) for x in linear.token_features(np.empty(0, np.uint32), 16)] == [0, 0]
-    rng = np.random.default_rng(5)
-    model = linear.Logistic(1 << 16, 3)
-    model.weights, model.bias = rng.normal(size=model.weights.shape), rng.normal(size=3)
-    texts = [rng.integers(0, 49_408, n).astype(np.uint32) // 7 for n in (0, 1, 50, 3000, 0)]
-    assert np.allclose(linear.token_shares(model, texts, 16), [model.shares(*linear.token_features(x, 16)) for x in texts])
-    assert linear.token_shares(model, [], 16).shape == (0, 3)
+def test_held_out_labels(spark):
+    sf_dir = LARGER
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    labelled = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
+    docs = documents(spark, sf_dir)
+    model = mixing.domain_classifier(docs, labelled.where(~held))
+    rows = docs.where("text is not null").join(labelled.where(held), "doc_id").select("domain", "text").collect()
+    p, of = model.shares([r["text"] for r in rows]), np.array([r["domain"] for r in rows])
+    assert -np.log(np.maximum(p[np.arange(len(of)), of], 1e-6)).mean() < 0.12
+    assert (p[of == 1].argmax(axis=1) == 1).mean() > 0.8 and (p[of == 2].argmax(axis=1) == 2).mean() > 0.9 and p[of == 0, 0].mean() > 0.95
+
+
+def test_features():
+    words = lambda *names: {c if (c := zlib.crc32(w)) >= mixing.FORMS else c + mixing.FORMS for w in names}
+    for text in ("One two,TWO ###\n\nÉté!", "", None, "a" * 10_000, "\x00 \x7f _"):
+        found = mixing.features(text)
+        assert (np.diff(found.astype(np.int64)) > 0).all() and len([x for x in found if x < mixing.FORMS]) >= 6
+        assert {x for x in found.tolist() if x >= mixing.FORMS} == (words(b"one", b"two", "Été".encode()) if text and "One" in text else words(b"a" * 10_000) if text and text[0] == "a" else set())
+    assert mixing.Domains.of([], np.empty(0, np.int64)).shares(["a", None]).tolist() == [[1 / 3] * 3] * 2
 
 
 def test_logistic_learns_soft_labels():

@@ -68,26 +68,3 @@ class Logistic:
     def shares(self, at: np.ndarray, value: np.ndarray) -> np.ndarray:
         """The probability of each class (of the one class)."""
         return self._shares(self.weights[:, at] @ value + self.bias)
-
-
-def token_features(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct token ids of a text, folded to so many bits, with damped counts scaled to length 1."""
-    if not len(ids):
-        return np.empty(0, np.int64), np.empty(0)
-    at = np.sort(ids & np.uint32((1 << bits) - 1))
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    value = np.log1p(np.diff(np.append(first, len(at))))
-    return at[first].astype(np.int64), value / np.sqrt((value * value).sum())
-
-
-def token_shares(model: Logistic, texts: list[np.ndarray], bits: int) -> np.ndarray:
-    """The model's probabilities for token_features of several texts, a row each, worked out for all texts together."""
-    n = len(texts)
-    of = np.repeat(np.arange(n, dtype=np.uint64), [len(x) for x in texts])
-    pairs = of << np.uint64(bits) | np.concatenate([*texts, np.empty(0, np.uint32)]).astype(np.uint64) & np.uint64((1 << bits) - 1)
-    pairs.sort()
-    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.empty(0, np.int64)
-    value = np.log1p(np.diff(np.append(first, len(pairs))))
-    of, at = (pairs[first] >> np.uint64(bits)).astype(np.int64), (pairs[first] & np.uint64((1 << bits) - 1)).astype(np.int64)
-    value /= np.sqrt(np.bincount(of, value * value, n))[of]
-    return model._shares(np.stack([np.bincount(of, value * w[at], n) for w in model.weights], axis=1) + model.bias)

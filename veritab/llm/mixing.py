@@ -1,6 +1,6 @@
 """Mixing with soft membership.
 
-A classifier of token counts, trained on a labelled table, gives each document posteriors over domains. Nonnegative
+A classifier of words and of a text's form, trained on a labelled table, gives each document posteriors over domains. Nonnegative
 rates of the documents are then fitted by least squares so that the expected tokens of each domain,
 the sum of rate x tokens x posterior, match targets.
 
@@ -20,7 +20,10 @@ so neither rates nor gradients are ever moved or kept.
 
 from __future__ import annotations
 
+import functools
 import warnings
+import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,17 +32,20 @@ from pyspark.sql import functions as F
 
 from veritab.llm import tokens
 from veritab.llm.common import bounded_batches, documents, own_columns, rows_of, stored
-from veritab.llm.linear import Logistic, sample_by_hash, size_within, token_features, token_shares
+from veritab.llm.decontamination import plain
+from veritab.llm.linear import Logistic, sample_by_hash, size_within
 
 DOMAINS = ("clean", "toxic", "junk")
 #: Shares of the tokens that the domains shall have, and the clean tokens kept, as a multiple of those there are.
 TARGETS = {"clean": 0.97, "toxic": 0.01, "junk": 0.02}
-CLEAN_FACTOR = 1.02
-#: Where rows are taken or left by their rates, a domain keeps this share of its tokens at least: clean documents have small
-#: memberships in rare domains, and taking these down to a far target would take many clean documents out.
-LEAST_LEFT = 0.7
-#: Features of the classifier: token ids, folded to so many bits.
-BITS = 16
+CLEAN_FACTOR = 1.0
+#: A feature is learned from if so many labelled documents of the sample have it and its chi-square for some domain is as high:
+#: a few words tell a rare domain, and all the others would drown them.
+LEAST_DOCUMENTS, LEAST_CHI = 3, 20.0
+ROUNDS, L2 = 10, 1e-3
+#: ASCII characters that are neither letters nor digits nor white space, and below which number features of form lie.
+MARKS = np.array([c for c in range(33, 127) if not chr(c).isalnum()])
+FORMS = 4096
 #: Labelled documents that train the classifier.
 SAMPLE = 6000
 #: Posteriors are multiples of one part in so many.
@@ -59,13 +65,69 @@ def domain_of(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, 1).when(quality == 0, 2).when((quality == 1) & (toxic == 0), 0)
 
 
-def domain_classifier(df: DataFrame, labels: DataFrame) -> Logistic:
+def features(text: str | None) -> np.ndarray:
+    """The features of a whole text, as distinct ascending 32-bit numbers: which words it has, and its form.
+
+    Words are hashed (lower-cased, cut at ASCII characters other than letters and digits). The form is how often each other ASCII
+    character occurs by words, how many words there are and how long they are, and what share of words and lines are repeats, each in steps.
+    """
+    data = (text or "").encode("utf-8", "replace")
+    counts = Counter(plain(text).split())
+    hashed = np.fromiter(map(zlib.crc32, counts), np.uint32, len(counts))
+    hashed[hashed < FORMS] += FORMS
+    n = max(1, sum(counts.values()))
+    marks = np.bincount(np.frombuffer(data, np.uint8), minlength=128)[MARKS]
+    seen = np.flatnonzero(marks)
+    form = seen * 16 + np.minimum(15, np.log2(1 + 64 * marks[seen] / n)).astype(np.int64)
+    lines = data.split(b"\n")
+    often = [k for _, k in counts.most_common(4)]
+    steps = [16 * len(counts) / n, min(31, np.log2(n)), 16 * sum(often[:1]) / n, 16 * sum(often) / n, 16 * len(set(lines)) / len(lines), min(31, sum(len(w) * k for w, k in counts.items()) / n)]
+    rest = [1024 + 32 * k + int(x) for k, x in enumerate(steps)]
+    return np.unique(np.concatenate([hashed, form.astype(np.uint32), np.array(rest, np.uint32)]))
+
+
+@dataclass
+class Domains:
+    """A linear model of the features that tell domains apart."""
+
+    chosen: np.ndarray
+    model: Logistic
+
+    @staticmethod
+    def of(rows: list[np.ndarray], domains: np.ndarray) -> Domains:
+        """Trained on the features and the domain of each row."""
+        names, at = np.unique(np.concatenate([*rows, np.empty(0, np.uint32)]), return_inverse=True)
+        with_ = np.zeros((len(DOMAINS), len(names)))
+        np.add.at(with_, (np.repeat(domains, [len(r) for r in rows]), at), 1)
+        total, of, n = with_.sum(axis=0), np.bincount(domains, minlength=len(DOMAINS))[:, None], max(1, len(rows))
+        expected = total * of / n
+        chi = (with_ - expected) ** 2 / np.maximum(expected * (1 - of / n) * (1 - total / n), 1e-9)
+        chosen = names[(total >= LEAST_DOCUMENTS) & ((with_ > expected) & (chi >= LEAST_CHI)).any(axis=0)]
+        model = Logistic(len(chosen), len(DOMAINS))
+        if rows:
+            own = [np.flatnonzero(np.isin(chosen, r, assume_unique=True)) for r in rows]
+            model.fit([(x, np.ones(len(x))) for x in own], np.eye(len(DOMAINS))[domains], rounds=ROUNDS, l2=L2)
+        return Domains(chosen, model)
+
+    @functools.cached_property
+    def places(self) -> dict[int, int]:
+        return {name: k for k, name in enumerate(self.chosen.tolist())}
+
+    def shares(self, texts: list[str | None]) -> np.ndarray:
+        """The posteriors of several texts, a row each."""
+        sums = np.tile(self.model.bias, (len(texts), 1))
+        for k, text in enumerate(texts):
+            own = [at for at in map(self.places.get, features(text).tolist()) if at is not None]
+            sums[k] += self.model.weights[:, own].sum(axis=1)
+        return self.model._shares(sums)
+
+
+def domain_classifier(df: DataFrame, labels: DataFrame) -> Domains:
     """A classifier of domains from a bounded sample of labelled documents (labels: doc_id, domain).
 
     A doc_id whose labels contradict each other trains nothing. Of repeated documents one stands for all: the
     one with the smallest features.
     """
-    path = tokens.vocabulary_path()
     bounded_batches(df.sparkSession)
     agreed = labels.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"), F.max("domain").alias("other")).where("domain = other").select("doc_id", "domain")
     chosen = F.broadcast(sample_by_hash(agreed, SAMPLE, agreed.count()))  # at most 2 * SAMPLE rows
@@ -73,23 +135,16 @@ def domain_classifier(df: DataFrame, labels: DataFrame) -> Logistic:
     def featured(batches):
         import pyarrow as pa
 
-        encoder = tokens.encoder(path)
         for ids, domains, texts in rows_of(batches, "doc_id", "domain", "text"):
-            found = [token_features(np.frombuffer(x, "<u4"), BITS) for x in encoder.packed(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(domains, pa.int32()), pa.array([a.astype("<u2").tobytes() for a, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())],
-                names=["doc_id", "domain", "at", "value"],
-            )
-
-    rows = own_columns(df, "doc_id", "text").where("text is not null").join(chosen, "doc_id").select("doc_id", "domain", "text").mapInArrow(featured, "doc_id long, domain int, at binary, value binary")
-    rows = stored(rows.groupBy("doc_id", "domain").agg(F.min(F.struct("at", "value")).alias("f")).select("doc_id", "domain", "f.at", "f.value"), "features")
-    n, total = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("at") + F.octet_length("value"))).first()
+            found = [features(t).astype("<u4").tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(domains, pa.int32()), pa.array(found, pa.binary())], names=["doc_id", "domain", "at"])
+
+    rows = own_columns(df, "doc_id", "text").where("text is not null").join(chosen, "doc_id").select("doc_id", "domain", "text").mapInArrow(featured, "doc_id long, domain int, at binary")
+    rows = stored(rows.groupBy("doc_id", "domain").agg(F.min("at").alias("at")), "features")
+    n, total = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("at"))).first()
     rows = sample_by_hash(rows, size_within(2 * SAMPLE, n, total or 0), n).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["at"]))
-    model = Logistic(1 << BITS, len(DOMAINS))
-    if rows:
-        model.fit([(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(np.float64)) for r in rows], np.eye(len(DOMAINS))[[r["domain"] for r in rows]])
-    return model
+    return Domains.of([np.frombuffer(r["at"], "<u4") for r in rows], np.array([r["domain"] for r in rows], np.int64))
 
 
 def in_parts(p: np.ndarray, parts: int = PARTS) -> np.ndarray:
@@ -99,7 +154,7 @@ def in_parts(p: np.ndarray, parts: int = PARTS) -> np.ndarray:
     return whole / parts
 
 
-def memberships(df: DataFrame, model: Logistic) -> DataFrame:
+def memberships(df: DataFrame, model: Domains) -> DataFrame:
     """(doc_id, n_tokens, p): tokens of each whole text, as op4_token_counts has them, and the posteriors of its domains."""
     path = tokens.vocabulary_path()
     bounded_batches(df.sparkSession)
@@ -110,10 +165,10 @@ def memberships(df: DataFrame, model: Logistic) -> DataFrame:
 
         encoder, own = tokens.encoder(path), shared.value
         for ids, texts in rows_of(batches, "doc_id", "text"):
-            found = [np.frombuffer(x, "<u4") for x in encoder.packed([t or "" for t in texts])]
-            p = in_parts(token_shares(own, found, BITS))
+            found = [len(x) >> 2 for x in encoder.packed([t or "" for t in texts])]
+            p = in_parts(own.shares(texts))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in found], pa.int64()), lists], names=["doc_id", "n_tokens", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64()), lists], names=["doc_id", "n_tokens", "p"])
 
     return own_columns(df, "doc_id", "text").mapInArrow(judge, "doc_id long, n_tokens long, p array<double>")
 
@@ -204,16 +259,10 @@ def fitted(rows: DataFrame, targets: np.ndarray) -> Steps:
     return steps
 
 
-def target_tokens(rows: DataFrame, targets: dict[str, float] = TARGETS, least: float = 0.0) -> np.ndarray:
-    """Tokens for each domain, by shares, so that the first domain keeps its own.
-
-    No domain grows by more than CLEAN_FACTOR: a share that the corpus doesn't have, as after a filter for
-    that domain, isn't made up by many copies of the few documents that resemble it. Nor does one shrink below
-    the share `least` of what it has.
-    """
-    first = np.array([x or 0.0 for x in rows.agg(*[F.sum(F.col("n_tokens") * F.col("p")[k]).alias(d) for k, d in enumerate(DOMAINS)]).first()])
-    total = CLEAN_FACTOR * first[0] / targets[DOMAINS[0]]
-    return np.clip([total * targets[d] for d in DOMAINS], least * first, CLEAN_FACTOR * first)
+def target_tokens(rows: DataFrame, targets: dict[str, float] = TARGETS) -> np.ndarray:
+    """Tokens for each domain, by shares, so that the first domain keeps CLEAN_FACTOR times its own."""
+    own = rows.agg(F.sum(F.col("n_tokens") * F.col("p")[0])).first()[0] or 0.0
+    return CLEAN_FACTOR * own / targets[DOMAINS[0]] * np.array([targets[d] for d in DOMAINS])
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -222,19 +271,22 @@ def copies(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + F.when(part < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def mixed(df: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, least: float = 0.0) -> DataFrame:
+def mixed(df: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, strict: bool = False) -> DataFrame:
     """(doc_id, n_tokens, p_clean, p_toxic, p_junk, rate, copies) of every row.
 
     labels: doc_id, quality, toxic. A null or empty text has no tokens: it bears on no target, and its rate
     is what its posteriors give. Without labels all domains are equally likely. A doc_id with labels that
     contradict each other trains nothing. Repeated rows each give a row, of equal rate and copies; an empty
     table gives none. Very long texts are one document of many tokens. Columns other than doc_id and text
-    are ignored. Where targets can't be met a warning says by how much they are missed.
+    are ignored. Where the shares asked for can't be had, the nearest mix is returned and a warning says by how much each
+    is missed; with `strict` that is an error. `shares` tells what was asked for and what is reached.
     """
     model = domain_classifier(df, labels.select("doc_id", domain_of(labels["quality"], labels["toxic"]).alias("domain")))
     rows = stored(memberships(df, model), "memberships")
     of = cells(rows)
-    steps = fitted(of, target_tokens(of, targets, least))
+    steps = fitted(of, target_tokens(of, targets))
+    if strict and not steps.met:
+        raise ValueError(f"no rates give the shares {targets}")
 
     def rates(batches):
         import pyarrow as pa
@@ -248,13 +300,22 @@ def mixed(df: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     return found.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
-def resampled(df: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, least: float = LEAST_LEFT) -> DataFrame:
+def shares(rows: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """(domain, requested, before, reached): shares of the expected tokens, from rows of `mixed`. A table without tokens has null shares."""
+    of = lambda weight: [F.sum(weight * F.col(f"p_{d}")) for d in DOMAINS]
+    before, reached = of(F.col("n_tokens")), of(F.col("n_tokens") * F.col("rate"))
+    share = lambda own, k: F.try_divide(own[k], functools.reduce(lambda a, b: a + b, own))
+    one = rows.agg(F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(targets[d]).alias("requested"), share(before, k).alias("before"), share(reached, k).alias("reached")) for k, d in enumerate(DOMAINS)]).alias("s"))
+    return one.select(F.inline("s"))
+
+
+def resampled(df: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """df with every document as often as its rate says, all columns kept.
 
     Rows are matched by doc_id, null ids with each other; repeated rows of one doc_id are each taken equally
     often, as often as the most of them would be. An empty table gives no rows; null texts are taken at their rate.
     """
-    found = mixed(df, labels, targets, least).groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    found = mixed(df, labels, targets).groupBy("doc_id").agg(F.max("copies").alias("copies"))
     rows = df.select(*[df[c].alias(f"own_{k}") for k, c in enumerate(df.columns)], df["doc_id"].alias("id")).join(found, F.col("id").eqNullSafe(F.col("doc_id"))).where("copies > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return rows.select(*[F.col(f"own_{k}").alias(c) for k, c in enumerate(df.columns)])
