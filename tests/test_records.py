@@ -512,9 +512,18 @@ def test_receipt_review_and_totals(spark):
 
 def test_pages_of_bundles(spark):
     df = spark.createDataFrame([(1, ["a", "b"]), (2, [])], "id long, pages array<string>")
-    assert rows(receipts.split_pages(df), "parent", "page", "text") == [(1, 1, "a"), (1, 2, "b")]
-    with pytest.raises(Exception, match="at most"):
-        receipts.split_pages(spark.createDataFrame([(1, ["x"] * 201)], "id long, pages array<string>")).collect()
+    assert rows(receipts.split_pages(df), "parent", "page", "text", "error") == [(1, 1, "a", None), (1, 2, "b", None), (2, None, None, "no pages")]
+    more = spark.createDataFrame([(1, ["x"] * 201), (2, ["y"] * 200), (3, None)], "id long, pages array<string>")
+    found = receipts.split_pages(more).collect()
+    assert len(found) == 202 and {(r["parent"], r["error"]) for r in found if r["error"]} == {(1, "more than 200 pages: 201"), (3, "no pages")}
+    turns = spark.createDataFrame([(1, k, f"t{k}") for k in range(5)] + [(2, 2, "b"), (2, 1, "a")], "id long, turn int, text string")
+    bundles = receipts.bundles_of(turns, "turn", 4)
+    assert rows(bundles, "id", "n", "pages") == [(1, 5, None), (2, 2, ["a", "b"])]
+    documents = spark.createDataFrame([(1, "review", None), (2, "review", None), (3, "review", None)], "id long, status string, duplicate_of long")
+    children, after, audit = receipts.split_bundles(documents, bundles, 4)
+    assert rows(children, "parent", "page", "error") == [(1, None, "more than 4 pages: 5"), (2, 1, None), (2, 2, None)]
+    assert rows(after, "id", "status") == [(1, "review"), (2, "excluded"), (3, "review")]
+    assert rows(audit, "document", "action", "children") == [(1, "split refused", 0), (2, "split into pages", 2)]
 
 
 def test_folders_readers_and_extractors(spark, tmp_path, monkeypatch):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veritab.functions.text import blank, fold, matches, trimmed
 from veritab.operators.keys import two_sided, with_repeats
+from veritab.operators.ranks import placed
 from veritab.plans.specs import SpecError
 
 STATUSES = ("matched", "conflict", "left_only", "right_only", "ambiguous", "invalid")
@@ -32,6 +33,11 @@ def compared(left: DataFrame, right: DataFrame, left_key: str, right_key: str, l
     return both.select("key", status.alias("status"), "n_left", "n_right", F.when(F.col("n_left") == 1, a).alias("left_value"), F.when(F.col("n_right") == 1, b).alias("right_value"))
 
 
+def in_order(df: DataFrame) -> DataFrame:
+    """Compared keys with `place`, from 1: ascending by code points, as Spark compares texts."""
+    return placed(df, ["key"])
+
+
 def status_counts(df: DataFrame, statuses: tuple[str, ...] = STATUSES) -> DataFrame:
     """One row with a column for each status, zeros included."""
     return df.agg(*[F.count_if(F.col("status") == s).alias(s) for s in statuses])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veritab.functions.text import date_of, iso_date, matches, padded, reasons
 from veritab.operators.keys import with_repeats
+from veritab.operators.ranks import placed
 from veritab.plans.specs import Cutoffs, iso
 
 ROLES = ("date", "product", "warehouse", "opening", "received", "sold", "closing")
@@ -130,3 +131,13 @@ class Investigation:
 
 def flag_counts(results: DataFrame) -> DataFrame:
     return results.select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def result_places(results: DataFrame) -> DataFrame:
+    """Investigated rows with `place`, from 1: series after series, each by day."""
+    return placed(results, ["product", "warehouse", "day", "record"])
+
+
+def quarantine_places(rows: DataFrame) -> DataFrame:
+    """Quarantined rows with `place`, from 1, in the order of their records."""
+    return placed(quarantined(rows), ["record"])

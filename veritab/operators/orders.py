@@ -101,3 +101,8 @@ def queue(rows: DataFrame) -> DataFrame:
 def queue_places(rows: DataFrame) -> DataFrame:
     """Valid orders with `place`, from 1, in the order of the queue."""
     return placed(valid(rows), [F.desc("late_days"), "due_on", "order_id", "record"])
+
+
+def quarantine_places(rows: DataFrame) -> DataFrame:
+    """Quarantined rows with `place`, from 1, in the order of their records."""
+    return placed(quarantined(rows), ["record"])

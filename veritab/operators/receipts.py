@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.text import amount_valid, blank, cents_of, fold, formula_safe_strict, iso_date, money, reasons, trimmed
+from veritab.operators.ranks import placed
 from veritab.plans.specs import QuestionPlan
 
 AMOUNTS = ("total", "subtotal", "tax", "service_charge")
@@ -15,6 +16,8 @@ CURRENCY_NAMES = {"BR": "ETB", "BIRR": "ETB", "ETHIOPIAN BIRR": "ETB"}
 CURRENCIES = ("ETB", "USD", "EUR", "GBP", "KES", "AED", "SAR", "CNY", "INR", "JPY", "CAD", "AUD", "ZAR", "UGX", "TZS")
 DOCUMENT_TYPES = ("receipt", "invoice")
 LONGEST = 300
+#: Pages of a bundle that is split.
+MOST_PAGES = 200
 #: Total and its parts may differ by so many cents.
 TOLERANCE = 2
 STATUSES = ("imported", "duplicate", "review", "approved", "excluded")
@@ -99,23 +102,48 @@ def content_duplicates(df: DataFrame, content: str, order: str, ident: str) -> D
     return rows.join(first, rows["digest"] == first["_d"], "left").select(*[rows[c] for c in rows.columns], F.when(F.col("_first") != F.col(ident), F.col("_first")).alias("duplicate_of"))
 
 
-def split_pages(df: DataFrame, most: int = 200) -> DataFrame:
-    """A child for each page of each bundle (id, pages): (parent, page from 1, text); bundles of over `most` pages are refused."""
-    ok = F.when(F.size("pages") <= most, True).otherwise(F.raise_error(F.lit(f"bundles have at most {most} pages")).cast("boolean"))
-    return df.where(ok).select(F.col("id").alias("parent"), F.posexplode("pages").alias("_at", "text")).select("parent", (F.col("_at") + 1).alias("page"), "text")
+def _pages(df: DataFrame) -> Column:
+    return F.col("n") if "n" in df.columns else F.when(F.col("pages").isNull(), 0).otherwise(F.size("pages"))
 
 
-def split_bundles(documents: DataFrame, pages: DataFrame, most: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
+def split_pages(df: DataFrame, most: int = MOST_PAGES) -> DataFrame:
+    """A child for each page of each bundle (id, pages): (parent, page from 1, text, error).
+
+    A bundle without pages, or of over `most`, is refused: it gives one row that says why, and the others go on. A
+    column n, if there is one, says how many pages there are.
+    """
+    n = _pages(df)
+    error = F.when(n > most, F.concat(F.lit(f"more than {most} pages: "), n.cast("string"))).when(n <= 0, "no pages")
+    # what is refused is no longer carried along
+    rows = df.select(F.col("id").alias("parent"), error.alias("error"), F.when(error.isNull(), F.col("pages")).alias("pages"))
+    return rows.select("parent", "error", F.posexplode_outer("pages").alias("_at", "text")).select("parent", (F.col("_at") + 1).alias("page"), "text", "error")
+
+
+def bundles_of(pages: DataFrame, order: str, most: int = MOST_PAGES) -> DataFrame:
+    """(id, n, pages) of bundles whose pages are rows (id, text): texts in the order of a column; null where there are over `most`.
+
+    Pages of such bundles aren't gathered, so no row and no task holds more than `most` of one bundle.
+    """
+    counts = pages.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    fit = pages.join(counts.where(F.col("n") > most).select("id"), "id", "left_anti")
+    gathered = fit.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]).alias("pages"))
+    return counts.join(gathered, "id", "left")
+
+
+def split_bundles(documents: DataFrame, pages: DataFrame, most: int = MOST_PAGES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(children, documents, audit) of splitting the bundles of `pages` (id, pages).
 
-    A bundle is excluded from totals, and an event names its children. A copy isn't split, its original is.
+    A bundle is excluded from totals, and an event names its children. A copy isn't split, its original is. A bundle
+    that `split_pages` refuses stays as it is, and its event says why.
     """
     originals = documents.where(F.col("duplicate_of").isNull()).select("id")
     own = pages.join(originals, "id", "left_semi")
-    ids = own.select(F.col("id").alias("_split"))
+    n = _pages(own)
+    fits = n.between(1, most)
+    ids = own.where(fits).select(F.col("id").alias("_split"))
     found = documents.join(ids, documents["id"] == ids["_split"], "left")
     status = F.when(F.col("_split").isNotNull(), F.lit("excluded")).otherwise(F.col("status"))
-    audit = own.select(F.col("id").alias("document"), F.lit("split into pages").alias("action"), F.size("pages").alias("children"))
+    audit = own.select(F.col("id").alias("document"), F.when(fits, "split into pages").otherwise("split refused").alias("action"), F.when(fits, n).otherwise(0).alias("children"))
     return split_pages(own, most), found.select(*[status.alias(c) if c == "status" else found[c] for c in documents.columns]), audit
 
 
@@ -125,6 +153,11 @@ def listed(documents: DataFrame, detail: bool = False) -> DataFrame:
     return documents.drop(*hidden).orderBy(F.desc("created"), "name")
 
 
+def listing_places(documents: DataFrame) -> DataFrame:
+    """Documents with `place`, from 1: the newest first, then by name, then id."""
+    return placed(documents, [F.desc("created"), "name", "id"])
+
+
 def approved_export(rows: DataFrame, name: str = "name") -> DataFrame:
     """(source_id, filename, the fields) of approved documents without issues, guarded against formulas."""
     open_ = rows.where((F.col("status") == "approved") & (F.size("issues") == 0))

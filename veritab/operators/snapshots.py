@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from veritab.functions.text import blank, matches, padded
 from veritab.operators.keys import two_sided
+from veritab.operators.ranks import placed
 from veritab.plans.specs import SnapshotRules, SpecError, iso
 
+#: Replaced rows keep their number in the reference above this bound.
+REPLACED = 1 << 60
 KINDS = ("ambiguous_reference", "unexpected", "missing", "duplicate", "changed")
 
 
@@ -109,7 +112,13 @@ def replaced(reference: DataFrame, delivery: DataFrame, chosen: DataFrame, keys:
     """Delivery rows of other identities, and reference rows of the chosen ones; record keeps the order: replacements come last."""
     kept = delivery.join(chosen, keys, "left_anti").select(F.lit(0).alias("part"), "record", *columns)
     new = reference.join(chosen, keys, "left_semi").select(F.lit(1).alias("part"), "record", *columns)
-    return kept.unionByName(new).select((F.col("record") + F.col("part") * F.lit(1 << 60)).alias("record"), *columns)
+    return kept.unionByName(new).select((F.col("record") + F.col("part") * F.lit(REPLACED)).alias("record"), *columns)
+
+
+def in_order(candidate: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a candidate with `place`, from 1: what was delivered as it came, then the replacements by identity."""
+    replacement = F.col("record") >= REPLACED
+    return placed(candidate, [replacement, F.when(~replacement, F.col("record")), *keys, "record"])
 
 
 def repair_changes(assessment: Assessment, selected: DataFrame) -> DataFrame:

@@ -134,9 +134,9 @@ def _compared(spark, sf_dir, clean=False) -> DataFrame:
     return compare.compared(left, right, "sku", "code", "quantity", "on_hand").select("key", "n_left", "n_right", "status")
 
 
-@query(_PLAIN)
+@query(f"select *, row_number() over (order by key) as place from ({_PLAIN}) c")
 def compare_status(spark, sf_dir):
-    return _compared(spark, sf_dir)
+    return compare.in_order(_compared(spark, sf_dir))
 
 
 @query(f"select {_COUNTS} from ({_PLAIN}) c")
@@ -210,6 +210,21 @@ def contract_typed_accepted(spark, sf_dir):
     return _events(spark, sf_dir).accepted.withColumn("day", F.col("day").cast("string"))
 
 
+def _json_reason(code: str, field: str | None = None, detail: str | None = None) -> str:
+    """SQL of one reason as JSON; braces would be taken for views."""
+    members = ([f"'\"field\":\"{field}\"'"] if field else []) + [f"'\"code\":\"{code}\"'"] + ([f"'\"detail\":\"' || {detail} || '\"'"] if detail else [])
+    return f"chr(123) || {" || ',' || ".join(members)} || chr(125)"
+
+
+_JSON_REASONS = ", ".join([f"case when w_{w} is not null then {_json_reason('invalid_value', c, 'w_' + w)} end" for c, w in (("id", "id"), ("day", "day"), ("user_id", "user"), ("amount", "amount"), ("active", "active"), ("note", "note"))] + [f"case when repeated then {_json_reason('duplicate_key')} end"])
+
+
+@query(f"""select record as source_record, '[' || array_to_string(list_filter([{_JSON_REASONS}], lambda r: r is not null), ',') || ']' as reasons_json, to_json([id, day, user_id, amount, active, note])::varchar as raw_cells_json,
+    row_number() over (order by record) as place from ({CHECKED}) x where not ({_OK})""")
+def contract_quarantine_export(spark, sf_dir):
+    return placed(_events(spark, sf_dir).quarantine_export(), ["source_record"])
+
+
 @query(_REASONS)
 def contract_quarantine_reasons(spark, sf_dir):
     return _events(spark, sf_dir).quarantined.select("record", F.inline("reasons"))
@@ -234,7 +249,10 @@ def contract_gate(spark, sf_dir):
     return _events(spark, sf_dir).gate.select("source", "accepted", "quarantined", "passed", _joined("gate_reasons").alias("why"))
 
 
-@query("select count(*) as source, cast(0 as bigint) as accepted, count(*) as quarantined, false as passed, 'unexpected columns: active, day, note, user_id;below_minimum' as why from ({events_view}) v")
+@query(f"""with v as (select * from ({{events_view}}) e), has as (select unnest(list_filter(json_keys(to_json(r)), lambda c: c not in ('record', 'width'))) as c from (select v as r from v limit 1) x), wants as (select unnest({[f.name for f in TYPED_KEY.fields]}) as c),
+    missing as (select string_agg(c, ', ' order by c) as m from wants where c not in (select c from has)), extra as (select string_agg(c, ', ' order by c) as m from has where c not in (select c from wants))
+    select count(*) as source, cast(0 as bigint) as accepted, count(*) as quarantined, false as passed,
+        array_to_string(list_filter(['missing columns: ' || (select m from missing), 'unexpected columns: ' || (select m from extra), case when 0 < {TYPED_KEY.min_accepted_rows} then 'below_minimum' end, case when count(*) > 0 and count(*) * 100 > {TYPED_KEY.max_quarantine_percent} * count(*) then 'quarantine_exceeded' end], lambda w: w is not null), ';') as why from v""")
 def contract_schema_drift(spark, sf_dir):
     return contracts.validated(view(spark, sf_dir, "events_view"), TYPED_KEY).gate.select("source", "accepted", "quarantined", "passed", _joined("gate_reasons").alias("why"))
 
@@ -281,9 +299,9 @@ def _assessed(spark, sf_dir, delivery="delivery_view", rules=RULES) -> snapshots
     return snapshots.assessed(view(spark, sf_dir, "reference_view"), view(spark, sf_dir, delivery), rules)
 
 
-@query(f"select id, kind, n_left, n_right from ({_KEYED}) k where kind <> 'matched'")
+@query(f"select id, kind, n_left, n_right, row_number() over (order by id) as place from ({_KEYED}) k where kind <> 'matched'")
 def snapshot_issues(spark, sf_dir):
-    return _assessed(spark, sf_dir).issues.select("id", "kind", "n_left", "n_right")
+    return placed(_assessed(spark, sf_dir).issues.select("id", "kind", "n_left", "n_right"), ["id"])
 
 
 @query(f"select kind, count(*) as n from ({_KEYED}) k group by kind")
@@ -335,9 +353,10 @@ def _repaired(spark, sf_dir) -> snapshots.Assessment:
     return one.repaired(one.issues.where(F.col("kind").isin("missing", "unexpected", "duplicate")), "restore rows that went missing or came twice")
 
 
-@query(f"""select {", ".join(SNAPSHOT_COLUMNS)} from ({{delivery_view}}) d where id not in ({_CHOSEN}) union all select {", ".join(SNAPSHOT_COLUMNS)} from ({{reference_view}}) r where id in ({_CHOSEN})""")
+@query(f"""select {", ".join(SNAPSHOT_COLUMNS)}, row_number() over (order by part, case when part = 0 then record end, id, record) as place from (
+    select 0 as part, * from ({{delivery_view}}) d where id not in ({_CHOSEN}) union all by name select 1 as part, * from ({{reference_view}}) r where id in ({_CHOSEN})) c""")
 def snapshot_repair_candidate(spark, sf_dir):
-    return _repaired(spark, sf_dir).delivery.select(*SNAPSHOT_COLUMNS)
+    return snapshots.in_order(_repaired(spark, sf_dir).delivery, ["id"]).select(*SNAPSHOT_COLUMNS, "place")
 
 
 @query(f"select kind, count(*) as n from ({_KEYED}) k where kind = 'changed' group by kind")
@@ -439,9 +458,9 @@ def order_results(spark, sf_dir):
     return orders.valid(_orders(spark, sf_dir)).select("record", "order_id", "team", "status", "late_days", "lead_days", "age_days", "flagged")
 
 
-@query(f"select record, order_id, reasons from ({ORDERS}) z where reasons <> ''")
+@query(f"select record, order_id, reasons, row_number() over (order by record) as place from ({ORDERS}) z where reasons <> ''")
 def order_quarantine(spark, sf_dir):
-    return orders.quarantined(_orders(spark, sf_dir)).select("record", "order_id", _joined("reasons").alias("reasons"))
+    return orders.quarantine_places(_orders(spark, sf_dir)).select("record", "order_id", _joined("reasons").alias("reasons"), "place")
 
 
 @query(f"select {_ORDER_SUMMARY} from ({ORDERS}) z where reasons = ''")
@@ -490,10 +509,10 @@ def _investigation(spark, sf_dir) -> inventory.Investigation:
     return inventory.Investigation(inventory.valid(inventory.checked(view(spark, sf_dir, "stock_view"))), CUTOFFS)
 
 
-@query(f"select record, date, product, warehouse, reasons from ({STOCK}) q where reasons <> ''")
+@query(f"select record, date, product, warehouse, reasons, row_number() over (order by record) as place from ({STOCK}) q where reasons <> ''")
 def inventory_quarantine(spark, sf_dir):
-    rows = inventory.quarantined(inventory.checked(view(spark, sf_dir, "stock_view")))
-    return rows.select("record", "date", "product", "warehouse", _joined("reasons").alias("reasons"))
+    rows = inventory.quarantine_places(inventory.checked(view(spark, sf_dir, "stock_view")))
+    return rows.select("record", "date", "product", "warehouse", _joined("reasons").alias("reasons"), "place")
 
 
 @query(f"select product, warehouse, status, 31 - investigation as missing_test_days, training, calibration, investigation from ({_STATUS}) s")
@@ -506,10 +525,10 @@ def inventory_profiles(spark, sf_dir):
     return _investigation(spark, sf_dir).profiles.select("product", "warehouse", *[F.round(c, 6).alias(c) for c in ("median", "scale", "threshold")])
 
 
-@query(f"select record, cast(day as string) as day, product, warehouse, expected_closing, delta, continuity_delta, prior_record, round(score, 6) as score, flags, case when status <> 'Ready' then status end as skip_reason from ({_FLAGS}) f")
+@query(f"select record, cast(day as string) as day, product, warehouse, expected_closing, delta, continuity_delta, prior_record, round(score, 6) as score, flags, case when status <> 'Ready' then status end as skip_reason, row_number() over (order by product, warehouse, day, record) as place from ({_FLAGS}) f")
 def inventory_results(spark, sf_dir):
-    rows = _investigation(spark, sf_dir).results
-    return rows.select("record", F.col("day").cast("string").alias("day"), "product", "warehouse", "expected_closing", "delta", "continuity_delta", "prior_record", F.round("score", 6).alias("score"), _joined("flags").alias("flags"), "skip_reason")
+    rows = inventory.result_places(_investigation(spark, sf_dir).results)
+    return rows.select("record", F.col("day").cast("string").alias("day"), "product", "warehouse", "expected_closing", "delta", "continuity_delta", "prior_record", F.round("score", 6).alias("score"), _joined("flags").alias("flags"), "skip_reason", "place")
 
 
 @query(f"select flag, count(*) as n from (select unnest(string_split(flags, ';')) as flag from ({_FLAGS}) f where flags <> '') g group by flag")
@@ -633,9 +652,10 @@ def receipt_totals_by_merchant(spark, sf_dir):
     return receipts.totals(_validated(spark, sf_dir), QuestionPlan("merchants", start="1996-01-01", end="1997-12-31", merchant="#0000"))
 
 
-@query(f"select id, merchant, date, currency, total_cents from ({_ELIGIBLE}) e where currency = 'USD'")
+@query(f"select id, merchant, date, currency, total_cents, row_number() over (order by date desc, merchant, id) as place from ({_ELIGIBLE}) e where currency = 'USD'")
 def receipt_list(spark, sf_dir):
-    return receipts.matching(_validated(spark, sf_dir), QuestionPlan("list", currency="usd")).select("id", "merchant", "date", "currency", "total_cents")
+    rows = receipts.matching(_validated(spark, sf_dir), QuestionPlan("list", currency="usd")).select("id", "merchant", "date", "currency", "total_cents")
+    return receipts.listing_places(rows.withColumns({"created": F.col("date"), "name": F.col("merchant")})).drop("created", "name")
 
 
 @query(f"select cast(n as string) || ' approved documents match. Document totals: ' || t as answer from (select sum(n)::bigint as n, string_agg(currency || ' ' || printf('%,.2f', c / 100.0), '; ' order by currency) as t from (select currency, count(*) as n, sum(total_cents)::bigint as c from ({_ELIGIBLE}) e group by currency) g) h")
@@ -711,21 +731,29 @@ def csv_rejected_texts(spark, sf_dir):
     return rows.groupBy(F.col("id").cast("bigint").alias("page_id")).agg(F.max("error").alias("error"), F.count("record").alias("records"))
 
 
-@query("select conv_id as parent, cast(row_number() over (partition by conv_id order by turn) as int) as page, text from conversations")
-def document_segments(spark, sf_dir):
+#: Bundles of these tables are short, and so is the limit that some of them pass.
+MOST_PAGES = 6
+
+
+def _bundles(spark, sf_dir) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    # a bundle is one conversation; its pages are few by contract
-    bundles = turns.groupBy(F.col("conv_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("pages"))
-    return receipts.split_pages(bundles, most=1_000_000)
+    return receipts.bundles_of(turns.select(F.col("conv_id").alias("id"), "turn", "text"), "turn", MOST_PAGES)
+
+
+@query(f"""with t as (select *, count(*) over (partition by conv_id) as n from conversations)
+    select conv_id as parent, cast(row_number() over (partition by conv_id order by turn) as int) as page, text, null as error from t where n <= {MOST_PAGES}
+    union all select distinct conv_id, null, null, 'more than {MOST_PAGES} pages: ' || n from t where n > {MOST_PAGES}""")
+def document_segments(spark, sf_dir):
+    return receipts.split_pages(_bundles(spark, sf_dir), MOST_PAGES)
 
 
-@query("select id, case when n > 1 and id % 4 <> 0 then 'excluded' else 'review' end as status, case when n > 1 and id % 4 <> 0 then n else 0 end::int as children from (select conv_id as id, count(*) as n from conversations group by conv_id) c")
+@query(f"""select id, case when n between 2 and {MOST_PAGES} and id % 4 <> 0 then 'excluded' else 'review' end as status, case when n between 2 and {MOST_PAGES} and id % 4 <> 0 then n else 0 end::bigint as children,
+    case when id % 4 <> 0 and n > 1 then case when n <= {MOST_PAGES} then 'split into pages' else 'split refused' end end as action from (select conv_id as id, count(*) as n from conversations group by conv_id) c""")
 def document_split_parents(spark, sf_dir):
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    bundles = turns.groupBy(F.col("conv_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("pages"))
+    bundles = _bundles(spark, sf_dir)
     documents = bundles.select("id", F.lit("review").alias("status"), F.when(F.col("id") % 4 == 0, F.col("id") - 1).alias("duplicate_of"))
-    _, found, audit = receipts.split_bundles(documents, bundles.where(F.size("pages") > 1), most=1_000_000)
-    return found.join(audit.select(F.col("document").alias("id"), "children"), "id", "left").select("id", "status", F.coalesce("children", F.lit(0)).alias("children"))
+    _, found, audit = receipts.split_bundles(documents, bundles.where(F.col("n") > 1), MOST_PAGES)
+    return found.join(audit.select(F.col("document").alias("id"), F.col("children").cast("bigint").alias("children"), "action"), "id", "left").select("id", "status", F.coalesce("children", F.lit(0)).alias("children"), "action")
 
 
 def run(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
