@@ -580,11 +580,17 @@ SPEC = DEMO.to_json()
 PASSING = "id,date,amount,active\nA1,2026-09-18,12.50,true\nA2,2026-09-19,18.00,false\n"
 
 
-def test_store_appends_only(tmp_path):
-    store = Store.at(tmp_path)
+def test_store_appends_only(spark, tmp_path):
+    store = Store.at(tmp_path, spark)
     assert store.append("runs", "x", {"a": 1}) and not store.append("runs", "x", {"a": 2}) and store.get("runs", "x") == {"a": 1}
     with pytest.raises(StoreError):
         store.get("runs", "../x")
+    with pytest.raises(StoreError):
+        store.get("runs", "y")
+    assert not [p.name for p in (tmp_path / "runs").iterdir() if p.name != "x.json"]  # no drafts, no checksums
+    store.append("runs", "y", {"id": "y", "created": "2"})
+    store.append("runs", "z", {"id": "z", "created": "1"})
+    assert [r.get("id") for r in store.listing("runs", 2)] == ["y", "z"] and store.listing("nothing") == []
     a, b = store.save_dataset("n", PASSING), store.save_dataset("other", PASSING)
     assert a == b and len(store.history(a["id"])) == 1
     store.map_roles(a["id"], ("x", "y"), {"x": 0, "y": 1})
@@ -595,8 +601,8 @@ def test_store_appends_only(tmp_path):
         review_note("maybe", "note")
 
 
-def test_contract_versions(tmp_path):
-    store = Store.at(tmp_path)
+def test_contract_versions(spark, tmp_path):
+    store = Store.at(tmp_path, spark)
     one_, again = store.save_contract("p", DEMO), store.save_contract(" p ", DEMO)
     two = store.save_contract("p", AMOUNTS)
     assert one_ == again and (one_["version"], two["version"]) == (1, 2) and [v["version"] for v in store.versions(one_["pipeline"])] == [2, 1]
@@ -604,7 +610,7 @@ def test_contract_versions(tmp_path):
 
 
 def test_publication_is_guarded(spark, tmp_path):
-    store = Store.at(tmp_path)
+    store = Store.at(f"file://{tmp_path}/a store", spark)
     first = cli.check(spark, store, "p", SPEC, "good.csv", PASSING)
     assert cli.check(spark, store, "p", SPEC, "good.csv", PASSING) == first
     assert not store.publish(first["id"], None)["reused"] and store.publish(first["id"], None)["reused"]

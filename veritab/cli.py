@@ -69,7 +69,7 @@ def scores(spark: SparkSession, path: Path) -> list[dict]:
 
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="veritab")
-    parser.add_argument("--store", default=".veritab")
+    parser.add_argument("--store", default=".veritab", help="a folder, or the URI of one on a file system that Spark reaches")
     sub = parser.add_subparsers(dest="command", required=True)
     one = sub.add_parser("check", help="run a contract over a CSV file")
     one.add_argument("--name", required=True)
@@ -101,7 +101,7 @@ def main(args: list[str] | None = None) -> int:
             return 0
         content = asked.csv.read_text(encoding="utf-8")
         if asked.command == "check":
-            store = Store.at(asked.store)
+            store = Store.at(asked.store, spark)
             report = check(spark, store, asked.name, json.loads(asked.contract.read_text()), asked.csv.name, content)
             print(json.dumps({k: report[k] for k in ("id", "contract_version", "counts", "gate", "error_counts")}, sort_keys=True))
             if not report["gate"]["passed"]:

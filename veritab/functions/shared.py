@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import os
 import tempfile
 import uuid
 
@@ -48,3 +49,17 @@ def discard(*frames: DataFrame) -> None:
             context = df.sparkSession.sparkContext
             where = context._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def file_system(path: str):
+    """A pyarrow file system and the path in it, for file:, hdfs: and other URIs or plain paths; as in Spark, nothing in them is escaped."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    if "://" in path:
+        scheme, rest = path.split("://", 1)
+        return fs.FileSystem.from_uri(f"{scheme}://{quote(rest, safe='/:@')}")
+    return fs.LocalFileSystem(), os.path.abspath(path)

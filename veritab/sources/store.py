@@ -1,29 +1,25 @@
-"""An append-only store in a folder: datasets by content, runs, reviews, and guarded publications.
+"""An append-only store: datasets by content, runs, reviews, imports, and guarded publications.
 
-Every record is a file of its own, written under a temporary name and linked to its final one,
-which fails if that exists: nothing is overwritten, and of two writers one wins. Tables are Parquet
-folders beside their records. The folder is local or mounted; for object stores a catalogue with
-conditional writes would take its place.
+What is kept, records and Parquet tables alike, lies below one folder of one file system (see `records`). The newest
+version, publication or import is found by an aggregation over the records of its kind.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
-import json
-import os
 import uuid
 from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veritab.plans.specs import Contract, SpecError, canonical_id, review_note, role_mapping
 from veritab.sources import csv_text
+from veritab.sources.records import Records, StoreError
 
-
-class StoreError(RuntimeError):
-    """A record that isn't there, or may not be written."""
+__all__ = ["Store", "StoreError", "now"]
 
 
 def now() -> str:
@@ -32,45 +28,29 @@ def now() -> str:
 
 @dataclass(frozen=True)
 class Store:
-    root: Path
+    records: Records
 
     @staticmethod
-    def at(path: str | Path) -> Store:
-        Path(path).mkdir(parents=True, exist_ok=True)
-        return Store(Path(path))
-
-    # ---- records ----
-
-    def _path(self, kind: str, ident: str) -> Path:
-        if not ident or any(c in ident for c in "/\\\0") or ident.startswith("."):
-            raise StoreError(f"not an id: {ident!r}")
-        return self.root / kind / f"{ident}.json"
+    def at(path: str | Path, spark: SparkSession | None = None) -> Store:
+        """The store below a folder: a URI, or a path, which is taken as a local one."""
+        root = str(path)
+        if "://" not in root and not root.startswith("file:"):
+            root = f"file://{Path(root).absolute()}"
+        return Store(Records(root, spark or SparkSession.builder.getOrCreate()))
 
     def append(self, kind: str, ident: str, record: dict) -> bool:
-        """Write a record that isn't there yet; false if it is, which leaves the old one as it was."""
-        target = self._path(kind, ident)
-        target.parent.mkdir(parents=True, exist_ok=True)
-        draft = target.parent / f".{uuid.uuid4().hex}"
-        draft.write_text(json.dumps(record, sort_keys=True))
-        try:
-            os.link(draft, target)
-            return True
-        except FileExistsError:
-            return False
-        finally:
-            draft.unlink()
+        return self.records.append(kind, ident, record)
 
     def get(self, kind: str, ident: str) -> dict:
-        try:
-            return json.loads(self._path(kind, ident).read_text())
-        except FileNotFoundError as error:
-            raise StoreError(f"no such {kind}: {ident}") from error
+        return self.records.get(kind, ident)
 
     def listing(self, kind: str, newest: int | None = None) -> list[dict]:
         """Records, the newest first."""
-        found = [json.loads(p.read_text()) for p in (self.root / kind).glob("[!.]*.json")] if (self.root / kind).exists() else []
-        found.sort(key=lambda r: (r.get("created", ""), str(r.get("id", ""))), reverse=True)
-        return found[:newest]
+        return self.records.listed(kind, "created string, id string", newest=newest)
+
+    def new_table(self, *names: str) -> str:
+        """The path of a table that isn't there yet."""
+        return self.records.path("tables", *names[:-1], f"{names[-1]}-{uuid.uuid4().hex}").toString()
 
     # ---- datasets ----
 
@@ -88,7 +68,8 @@ class Store:
         self.append("audit", f"{ident[:16]}-{dt.datetime.now(dt.timezone.utc).strftime('%Y%m%d%H%M%S%f')}-{uuid.uuid4().hex[:8]}", {"dataset": ident, "action": action, "value": value, "created": now()})
 
     def history(self, ident: str) -> list[dict]:
-        return [r for r in reversed(self.listing("audit")) if r["dataset"] == ident]
+        """What happened to a dataset, in order."""
+        return self.records.listed("audit", "created string, id string, dataset string", F.col("dataset") == ident)[::-1]
 
     def table(self, spark: SparkSession, ident: str) -> tuple[DataFrame, list[str]]:
         """A dataset as (record, cells), with its header."""
@@ -102,8 +83,8 @@ class Store:
 
     def mapping(self, ident: str) -> dict[str, int] | None:
         """The mapping confirmed last."""
-        found = [r["value"] for r in self.history(ident) if r["action"] == "confirmed mapping"]
-        return found[-1] if found else None
+        found = self.records.latest("audit", "dataset string, action string, created string", (F.col("dataset") == ident) & (F.col("action") == "confirmed mapping"), "created")
+        return found["value"] if found else None
 
     # ---- contracts ----
 
@@ -113,26 +94,31 @@ class Store:
             raise SpecError("a pipeline has a name of up to 120 characters")
         pipeline = canonical_id({"name": name.strip()})
         ident = canonical_id({"pipeline": pipeline, "spec": contract.id})
-        while not self._path("contracts", ident).exists():
-            version = max((r["version"] for r in self.versions(pipeline)), default=0) + 1
+        while not self.records.exists("contracts", ident):
+            last = self.latest_version(pipeline)
+            version = last["version"] + 1 if last else 1
             # the version's own record decides which of two writers gets it
             if self.append("versions", f"{pipeline}-{version:06d}", {"pipeline": pipeline, "version": version, "contract": ident, "created": now()}):
                 self.append("contracts", ident, {"id": ident, "pipeline": pipeline, "name": name.strip(), "version": version, "spec": contract.to_json(), "created": now()})
         return self.get("contracts", ident)
 
     def versions(self, pipeline: str) -> list[dict]:
-        return sorted((r for r in self.listing("versions") if r["pipeline"] == pipeline), key=lambda r: -r["version"])
+        found = self.records.listed("versions", "created string, id string, pipeline string", F.col("pipeline") == pipeline)
+        return sorted(found, key=lambda r: -r["version"])
+
+    def latest_version(self, pipeline: str) -> dict | None:
+        return self.records.latest("versions", "pipeline string, version long", F.col("pipeline") == pipeline, "version")
 
     # ---- runs ----
 
     def save_run(self, kind: str, report: dict, tables: dict[str, DataFrame] | None = None, ident: str | None = None) -> dict:
         """Keep a report under the hash of what it says, with its tables; a replay gives back the first one."""
         ident = ident or canonical_id(report)
-        if self._path(kind, ident).exists():
+        if self.records.exists(kind, ident):
             return self.get(kind, ident)
         paths = {}
         for name, df in (tables or {}).items():
-            paths[name] = str(self.root / "tables" / f"{ident[:16]}-{uuid.uuid4().hex[:8]}" / name)
+            paths[name] = self.new_table(ident[:16], name)
             df.write.parquet(paths[name])
         self.append(kind, ident, {**report, "id": ident, "tables": paths, "created": now()})
         return self.get(kind, ident)
@@ -154,13 +140,14 @@ class Store:
         self.append("reviews", f"{ident[:16]}-{record}-{uuid.uuid4().hex}", {"run": ident, "record": record, "decision": decision, "note": note, "created": now()})
 
     def reviews(self, ident: str) -> list[dict]:
-        return [r for r in reversed(self.listing("reviews")) if r["run"] == ident]
+        """Decisions on a run's records, in order."""
+        return self.records.listed("reviews", "created string, id string, run string", F.col("run") == ident)[::-1]
 
     # ---- publications ----
 
     def current(self, pipeline: str) -> dict | None:
-        found = sorted((r for r in self.listing("publications") if r["pipeline"] == pipeline), key=lambda r: r["number"])
-        return found[-1] if found else None
+        """What a pipeline publishes now."""
+        return self.records.latest("publications", "pipeline string, number long", F.col("pipeline") == pipeline, "number")
 
     def publish(self, run: str, expected: str | None) -> dict:
         """Point a pipeline at a run whose gate passed, if what is published is what the caller expects.
@@ -176,7 +163,7 @@ class Store:
             return {**before, "reused": True}
         if (before["run"] if before else None) != expected:
             raise StoreError("what is published has changed")
-        if self.versions(report["pipeline"])[0]["contract"] != report["contract"]:
+        if self.latest_version(report["pipeline"])["contract"] != report["contract"]:
             raise StoreError("the contract has a newer version")
         number = before["number"] + 1 if before else 1
         record = {"id": f"{report['pipeline']}-{number:06d}", "pipeline": report["pipeline"], "number": number, "run": run, "previous": expected, "table": report["tables"].get("accepted"), "created": now()}
