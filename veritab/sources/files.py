@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritab.functions.workers import importable
 from veritab.plans.specs import SpecError
+from veritab.sources.isolated import DEADLINE, MEMORY, CallError, Isolated
 
 #: What can be imported, and how large.
 EXTENSIONS = ("pdf", "heic", "jpeg", "jpg", "png")
@@ -36,57 +38,68 @@ def imported(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXT
     return rows.unionByName(refused)
 
 
-def with_text(documents: DataFrame, read: Callable[[str], list[str]]) -> DataFrame:
-    """documents with `pages` and `raw` by a reader of paths, called on the executors; errors are kept beside them.
+def _beside(documents: DataFrame, column: str, added: str, judged: Callable, f: Callable, deadline: float, memory: int) -> DataFrame:
+    """documents with a column made by f from another one in isolated processes, and what went wrong; judged checks and shapes a result."""
+    from pyspark import cloudpickle
 
-    A reader of PDF files or images is passed in: none is part of this package.
-    """
+    importable(documents.sparkSession)
+    function = cloudpickle.dumps(f)
+    name, kind, error = added.split(" ", 1)[0], added.split(" ", 1)[1], "error" if column == "path" else "extraction_error"
+    schema = documents.select("*", F.lit(None).cast(kind).alias(name), F.lit(None).cast("string").alias(error)).schema
 
-    def pages(batches):
+    def rows(batches):
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        with Isolated(function, deadline, memory) as call:
+            for batch in batches:
+                found, errors = [], []
+                for value in batch.column(batch.schema.get_field_index(column)).to_pylist():
+                    try:
+                        found.append(judged(value, call))
+                        errors.append(None)
+                    except (CallError, SpecError) as problem:
+                        found.append(None)
+                        errors.append(str(problem))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, to_arrow_type(schema[name].dataType)), pa.array(errors, pa.string())], names=[*batch.schema.names, name, error])
+
+    return documents.mapInArrow(rows, schema)
+
+
+def with_text(documents: DataFrame, read: Callable[[str], list[str]], deadline: float = DEADLINE, memory: int = MEMORY) -> DataFrame:
+    """documents with `pages` and `raw` by a reader of paths, and `error` where there are none.
 
-        for batch in batches:
-            found, errors = [], []
-            for path in batch.column(batch.schema.get_field_index("path")).to_pylist():
-                try:
-                    of = read(path)
-                    if not 1 <= len(of) <= MAX_PAGES:
-                        raise SpecError(f"documents have 1 to {MAX_PAGES} pages")
-                    if sum(map(len, of)) > MAX_CHARS:
-                        raise SpecError(f"documents have at most {MAX_CHARS} characters")
-                    found.append(of)
-                    errors.append(None)
-                except (OSError, ValueError) as error:
-                    found.append(None)
-                    errors.append(str(error))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns)] + [pa.array(found, pa.list_(pa.string())), pa.array(errors, pa.string())], names=[*batch.schema.names, "pages", "error"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    out = documents.mapInArrow(pages, f"{fields}, pages array<string>, error string")
+    A reader of PDF files or images is passed in: none is part of this package. It runs in child processes of the
+    executors' workers: one that hangs beyond the deadline, ends its process or takes more memory than it may gives
+    an error for its document, and the other documents go on.
+    """
+
+    def pages(path, call):
+        of = call(path)
+        if not isinstance(of, list) or not all(isinstance(p, str) for p in of):
+            raise SpecError("a reader gives a list of texts")
+        if not 1 <= len(of) <= MAX_PAGES:
+            raise SpecError(f"documents have 1 to {MAX_PAGES} pages")
+        if sum(map(len, of)) > MAX_CHARS:
+            raise SpecError(f"documents have at most {MAX_CHARS} characters")
+        return of
+
+    out = _beside(documents, "path", "pages array<string>", pages, read, deadline, memory)
     return out.withColumn("raw", F.array_join(F.transform("pages", lambda p, i: F.concat(F.lit("[Page "), (i + 1).cast("string"), F.lit("]\n"), p)), "\n\n"))
 
 
-def extracted(documents: DataFrame, extract: Callable[[str], dict]) -> DataFrame:
-    """documents with `fields` (map of text) by an extractor of raw texts, called on the executors. Texts too short for it are errors."""
+def extracted(documents: DataFrame, extract: Callable[[str], dict], deadline: float = DEADLINE, memory: int = MEMORY) -> DataFrame:
+    """documents with `fields` (map of text) by an extractor of raw texts, isolated as readers are, and `extraction_error` where there are none.
 
-    def fields_of(batches):
-        import pyarrow as pa
+    Texts too short for it are errors.
+    """
+
+    def fields(raw, call):
+        if raw is None or len(raw.strip()) < LEAST_CHARS:
+            raise SpecError("not enough readable text")
+        result = call(raw)
+        if not isinstance(result, dict):
+            raise SpecError("extraction gives an object of fields")
+        return [(str(k), None if v is None else str(v)) for k, v in result.items()]
 
-        for batch in batches:
-            found, errors = [], []
-            for raw in batch.column(batch.schema.get_field_index("raw")).to_pylist():
-                try:
-                    if raw is None or len(raw.strip()) < LEAST_CHARS:
-                        raise SpecError("not enough readable text")
-                    result = extract(raw)
-                    if not isinstance(result, dict):
-                        raise SpecError("extraction gives an object of fields")
-                    found.append([(str(k), None if v is None else str(v)) for k, v in result.items()])
-                    errors.append(None)
-                except ValueError as error:
-                    found.append(None)
-                    errors.append(str(error))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns)] + [pa.array(found, pa.map_(pa.string(), pa.string())), pa.array(errors, pa.string())], names=[*batch.schema.names, "fields", "extraction_error"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    return documents.mapInArrow(fields_of, f"{fields}, fields map<string,string>, extraction_error string")
+    return _beside(documents, "raw", "fields map<string,string>", fields, extract, deadline, memory)
