@@ -22,8 +22,6 @@ from __future__ import annotations
 
 import functools
 import warnings
-import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,7 +41,7 @@ CLEAN_FACTOR = 1.0
 #: a few words tell a rare domain, and all the others would drown them.
 LEAST_DOCUMENTS, LEAST_CHI = 3, 20.0
 ROUNDS, L2 = 10, 1e-3
-#: ASCII characters that are neither letters nor digits nor white space, and below which number features of form lie.
+#: ASCII characters that are neither letters nor digits nor white space, and below which number forms lie.
 MARKS = np.array([c for c in range(33, 127) if not chr(c).isalnum()])
 FORMS = 4096
 #: Labelled documents that train the classifier.
@@ -65,60 +63,67 @@ def domain_of(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, 1).when(quality == 0, 2).when((quality == 1) & (toxic == 0), 0)
 
 
-def features(text: str | None) -> np.ndarray:
-    """The features of a whole text, as distinct ascending 32-bit numbers: which words it has, and its form.
+def features(text: str | None) -> tuple[set[bytes], np.ndarray]:
+    """What a whole text is told by: its distinct words, and its form as a few numbers below FORMS.
 
-    Words are hashed (lower-cased, cut at ASCII characters other than letters and digits). The form is how often each other ASCII
-    character occurs by words, how many words there are and how long they are, and what share of words and lines are repeats, each in steps.
+    Words are lower-cased and cut at ASCII characters other than letters and digits. The form is how often each other ASCII
+    character occurs by words, how many words there are and how long they are, and what share of words and of lines is new, each in steps.
     """
     data = (text or "").encode("utf-8", "replace")
-    counts = Counter(plain(text).split())
-    hashed = np.fromiter(map(zlib.crc32, counts), np.uint32, len(counts))
-    hashed[hashed < FORMS] += FORMS
-    n = max(1, sum(counts.values()))
+    own = plain(text)
+    words = own.split()
+    distinct, n = set(words), max(1, len(words))
     marks = np.bincount(np.frombuffer(data, np.uint8), minlength=128)[MARKS]
     seen = np.flatnonzero(marks)
     form = seen * 16 + np.minimum(15, np.log2(1 + 64 * marks[seen] / n)).astype(np.int64)
     lines = data.split(b"\n")
-    often = [k for _, k in counts.most_common(4)]
-    steps = [16 * len(counts) / n, min(31, np.log2(n)), 16 * sum(often[:1]) / n, 16 * sum(often) / n, 16 * len(set(lines)) / len(lines), min(31, sum(len(w) * k for w, k in counts.items()) / n)]
-    rest = [1024 + 32 * k + int(x) for k, x in enumerate(steps)]
-    return np.unique(np.concatenate([hashed, form.astype(np.uint32), np.array(rest, np.uint32)]))
+    steps = (16 * len(distinct) // n, n.bit_length(), 16 * len(set(lines)) // len(lines), min(31, (len(own) - own.count(b" ")) // n))
+    return distinct, np.append(form, [1024 + 32 * k + x for k, x in enumerate(steps)])
 
 
 @dataclass
 class Domains:
-    """A linear model of the features that tell domains apart."""
+    """A linear model of the words and forms that tell domains apart."""
 
-    chosen: np.ndarray
+    words: dict[bytes, int]
+    #: The place of each form's weight, or of a weight of zero.
+    forms: np.ndarray
     model: Logistic
 
     @staticmethod
-    def of(rows: list[np.ndarray], domains: np.ndarray) -> Domains:
+    def of(rows: list[tuple[set[bytes], np.ndarray]], domains: np.ndarray) -> Domains:
         """Trained on the features and the domain of each row."""
-        names, at = np.unique(np.concatenate([*rows, np.empty(0, np.uint32)]), return_inverse=True)
+        names: dict = {}
+        own = [np.array([names.setdefault(x, len(names)) for x in (*sorted(w), *f.tolist())], np.int64) for w, f in rows]
         with_ = np.zeros((len(DOMAINS), len(names)))
-        np.add.at(with_, (np.repeat(domains, [len(r) for r in rows]), at), 1)
+        np.add.at(with_, (np.repeat(domains, [len(r) for r in own]), np.concatenate([*own, np.empty(0, np.int64)])), 1)
         total, of, n = with_.sum(axis=0), np.bincount(domains, minlength=len(DOMAINS))[:, None], max(1, len(rows))
         expected = total * of / n
         chi = (with_ - expected) ** 2 / np.maximum(expected * (1 - of / n) * (1 - total / n), 1e-9)
-        chosen = names[(total >= LEAST_DOCUMENTS) & ((with_ > expected) & (chi >= LEAST_CHI)).any(axis=0)]
-        model = Logistic(len(chosen), len(DOMAINS))
+        chosen = np.flatnonzero((total >= LEAST_DOCUMENTS) & ((with_ > expected) & (chi >= LEAST_CHI)).any(axis=0))
+        place = np.full(len(names) + 1, -1)
+        place[chosen] = np.arange(len(chosen))
+        model = Logistic(len(chosen) + 1, len(DOMAINS))  # the last weight stays zero
         if rows:
-            own = [np.flatnonzero(np.isin(chosen, r, assume_unique=True)) for r in rows]
-            model.fit([(x, np.ones(len(x))) for x in own], np.eye(len(DOMAINS))[domains], rounds=ROUNDS, l2=L2)
-        return Domains(chosen, model)
+            model.fit([(x, np.ones(len(x))) for x in (place[r][place[r] >= 0] for r in own)], np.eye(len(DOMAINS))[domains], rounds=ROUNDS, l2=L2)
+        forms = np.full(FORMS, len(chosen))
+        taken = {name: int(place[k]) for name, k in names.items() if place[k] >= 0}
+        for name, k in taken.items():
+            if isinstance(name, int):
+                forms[name] = k
+        return Domains({name: k for name, k in taken.items() if isinstance(name, bytes)}, forms, model)
 
     @functools.cached_property
-    def places(self) -> dict[int, int]:
-        return {name: k for k, name in enumerate(self.chosen.tolist())}
+    def known(self) -> frozenset[bytes]:
+        return frozenset(self.words)
 
     def shares(self, texts: list[str | None]) -> np.ndarray:
         """The posteriors of several texts, a row each."""
-        sums = np.tile(self.model.bias, (len(texts), 1))
+        weights, sums = self.model.weights.T.copy(), np.tile(self.model.bias, (len(texts), 1))
         for k, text in enumerate(texts):
-            own = [at for at in map(self.places.get, features(text).tolist()) if at is not None]
-            sums[k] += self.model.weights[:, own].sum(axis=1)
+            words, form = features(text)
+            own = [self.words[w] for w in self.known & words]
+            sums[k] += weights[[*own, *self.forms[form].tolist()]].sum(axis=0)
         return self.model._shares(sums)
 
 
@@ -136,15 +141,16 @@ def domain_classifier(df: DataFrame, labels: DataFrame) -> Domains:
         import pyarrow as pa
 
         for ids, domains, texts in rows_of(batches, "doc_id", "domain", "text"):
-            found = [features(t).astype("<u4").tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(domains, pa.int32()), pa.array(found, pa.binary())], names=["doc_id", "domain", "at"])
+            found = [features(t) for t in texts]
+            words, forms = [b" ".join(sorted(w)) for w, _ in found], [f.astype("<u2").tobytes() for _, f in found]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(domains, pa.int32()), pa.array(words, pa.binary()), pa.array(forms, pa.binary())], names=["doc_id", "domain", "words", "forms"])
 
-    rows = own_columns(df, "doc_id", "text").where("text is not null").join(chosen, "doc_id").select("doc_id", "domain", "text").mapInArrow(featured, "doc_id long, domain int, at binary")
-    rows = stored(rows.groupBy("doc_id", "domain").agg(F.min("at").alias("at")), "features")
-    n, total = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("at"))).first()
+    rows = own_columns(df, "doc_id", "text").where("text is not null").join(chosen, "doc_id").select("doc_id", "domain", "text").mapInArrow(featured, "doc_id long, domain int, words binary, forms binary")
+    rows = stored(rows.groupBy("doc_id", "domain").agg(F.min(F.struct("words", "forms")).alias("f")).select("doc_id", "domain", "f.words", "f.forms"), "features")
+    n, total = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("words") + F.octet_length("forms"))).first()
     rows = sample_by_hash(rows, size_within(2 * SAMPLE, n, total or 0), n).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["at"]))
-    return Domains.of([np.frombuffer(r["at"], "<u4") for r in rows], np.array([r["domain"] for r in rows], np.int64))
+    rows.sort(key=lambda r: (r["doc_id"], r["words"]))
+    return Domains.of([(set(bytes(r["words"]).split()), np.frombuffer(r["forms"], "<u2")) for r in rows], np.array([r["domain"] for r in rows], np.int64))
 
 
 def in_parts(p: np.ndarray, parts: int = PARTS) -> np.ndarray:
