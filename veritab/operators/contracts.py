@@ -92,22 +92,35 @@ def _why(field: str | None, code: str, detail: Column | str | None) -> Column:
     return F.struct(F.lit(field).cast("string").alias("field"), F.lit(code).alias("code"), (detail if isinstance(detail, Column) else F.lit(detail)).cast("string").alias("detail"))
 
 
-def validated(df: DataFrame, contract: Contract, headers: list[str] | None = None, ambiguous: bool = False) -> Validated:
+def with_values(df: DataFrame, contract: Contract) -> DataFrame:
+    """df with the typed values as v_<name>."""
+    return df.withColumns({f"v_{f.name}": typed(F.col(f.name), f) for f in contract.fields})
+
+
+def whole_key(contract: Contract) -> Column:
+    """Whether all parts of a typed row's key are valid."""
+    whole = F.lit(True)
+    for k in contract.key:
+        whole &= F.col(f"v_{k}").isNotNull()
+    return whole
+
+
+def validated(df: DataFrame, contract: Contract, headers: list[str] | None = None, ambiguous: bool = False, repeated: str | None = None) -> Validated:
     """Check every row. If the columns differ from the contract, all rows are quarantined for that alone.
 
     A key counts where all its parts are valid, even if other cells aren't; all rows of a repeated key are quarantined.
+    A column that says so already may be named as `repeated`; it is then no column of the contract's.
     """
-    headers = headers or [c for c in df.columns if c not in ("record", "width")]
+    headers = headers or [c for c in df.columns if c not in ("record", "width", repeated)]
     errors = contract.schema_errors(headers, ambiguous)
     if errors:
         return Validated(contract, errors, df.withColumn("reasons", F.array(_why(None, "schema", None))), headers)
     fields = {f.name: f for f in contract.fields}
-    rows = df.withColumns({f"v_{n}": typed(F.col(n), f) for n, f in fields.items()})
-    keys = [f"v_{k}" for k in contract.key]
-    whole = F.lit(True)
-    for k in keys:
-        whole &= F.col(k).isNotNull()
-    rows = with_repeats(rows, keys, "_repeated", whole)
+    rows = with_values(df, contract)
+    if repeated is None:
+        rows = with_repeats(rows, [f"v_{k}" for k in contract.key], "_repeated", whole_key(contract))
+    else:
+        rows = rows.withColumnRenamed(repeated, "_repeated")
     found = []
     if "width" in df.columns:
         found.append(F.when(F.col("width") != len(headers), _why(None, "row_width", None)))
