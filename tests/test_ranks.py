@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from veritab.functions.shared import new_path
+from veritab.operators.keys import with_repeats
 from veritab.operators.ranks import placed
 
 
@@ -48,3 +49,28 @@ def test_one_leading_value_fills_even_ranges(spark):
     assert len(sizes) >= 4 and max(sizes) < 2 * 200_000 / 4
     found = spark.read.parquet(path)
     assert found.agg(F.min("place"), F.max("place"), F.countDistinct("place")).first()[:] == (1, 200_000, 200_000)
+
+
+def test_repeats_are_flagged_in_one_pass(spark):
+    data = [(k, "hot" if k % 3 == 0 else None if k % 50 == 1 else f"k{k // 4}", k % 7 != 0) for k in range(3000)] + [(5, "twin", True)] * 2
+    path = new_path(spark, "rows")
+    spark.createDataFrame(data, "id int, k string, ok boolean").write.parquet(path)
+    found = with_repeats(spark.read.parquet(path), ["k"], "again", F.col("ok"))
+    n = {}
+    for _, k, ok in data:
+        n[k] = n.get(k, 0) + ok
+    assert sorted(rows_of(found, "id", "again")) == sorted((i, ok and n[k] > 1) for i, k, ok in data)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_a_hot_key_fills_even_tasks(spark):
+    df = spark.range(0, 100_000, numPartitions=8).select(F.when(F.col("id") % 10 < 3, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), "id")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        tasks = with_repeats(df, ["k"]).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert max(r["count"] for r in tasks) < 2 * 100_000 / 16

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,6 +14,8 @@ from veritab.plans.specs import Contract, Field, SpecError
 from veritab.sources.synthetic import LEDGER
 
 CONTRACT = Contract(tuple(Field(c, "integer" if c == "amount_cents" else "text") for c in LEDGER), ("payment_id",), 0, 1)
+#: Which of the three faults concern a row: every combination.
+_WHICH = list(itertools.product((False, True), repeat=len(snapshots.FAULTS)))
 METRIC = ("gross_cents", "refunds_cents", "net_cents", "payment_count", "refund_count")
 
 
@@ -100,3 +104,35 @@ def evaluation_summary(cases: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"), F.count_if("passed").alias("passed"), F.count_if(broken).alias("broken_deliveries"), F.count_if(broken & F.col("schema_blocked")).alias("schema_detected"),
         F.count_if(broken & F.col("reconciliation_blocked")).alias("reconciliation_detected"), F.count_if(~broken).alias("healthy_deliveries"), F.count_if(~broken & F.col("reconciliation_blocked")).alias("healthy_flagged"),
     )
+
+
+def scenario_summary(ledger: DataFrame, seeds: dict[int, tuple]) -> DataFrame:
+    """A row for each seed and scenario over a ledger of any size: what was planted, found, missed and found wrongly, and what blocks it.
+
+    seeds: by number, which rows are of the missing region, retried and scaled (conditions). A row is planted where its
+    region is missing, where it is sent twice, or where its amount is scaled and it is still there. A contract sees repeated payments
+    only; reconciliation sees all issues. The ledger is read once for all cases.
+    """
+    keys, columns = ["seed", "payment_id"], list(LEDGER)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("seed"), *[F.coalesce(c, F.lit(False)).alias(f"_{k}") for k, c in zip(("region", "retried", "scaled"), of, strict=True)]) for n, of in seeds.items()]))
+    rows = ledger.select("record", *columns, each.alias("_s")).select("record", *columns, "_s.*")
+    flags = ["_region", "_retried", "_scaled"]
+    versions = snapshots.scenario_versions(rows, *[F.col(f) for f in flags])
+    # what is planted is known from the reference's own rows, and travels with them through the same aggregation
+    found = snapshots.scenario_issues(versions.drop("record"), [*keys, *flags], columns)
+    has = lambda fault: F.col("scenario").bitwiseAND(F.lit(1 << snapshots.FAULTS.index(fault))) != 0
+    gone = has("missing_region") & F.col("_region")
+    planted = gone | (has("duplicate_retry") & F.col("_retried")) | (has("amount_unit") & F.col("_scaled"))
+    count = lambda c, name: F.count_if(c).alias(name)
+    seen = found.groupBy("seed", "scenario").agg(count(planted, "detected"), count(~planted, "false_findings"), count(F.col("n_right") > 1, "repeated"))
+    sizes = rows.groupBy("seed").agg(*[count(functools.reduce(lambda a, b: a & b, [F.col(f) if want else ~F.col(f) for f, want in zip(flags, which, strict=True)]), f"n_{k}") for k, which in enumerate(_WHICH)])
+    cases = []
+    for s in range(snapshots.SCENARIOS):
+        on = [f in snapshots.scenario_faults(s) for f in snapshots.FAULTS]
+        # FAULTS and flags are in one order: missing, retried, scaled
+        n = [F.col(f"n_{k}") for k, which in enumerate(_WHICH) if any(a and b for a, b in zip(on, which, strict=True))]
+        cases.append(F.struct(F.lit(s).alias("scenario"), F.lit(";".join(snapshots.scenario_faults(s))).alias("faults"), (functools.reduce(lambda a, b: a + b, n) if n else F.lit(0)).cast("bigint").alias("planted")))
+    truth = sizes.select("seed", F.inline(F.array(*cases)))
+    one = truth.join(seen, ["seed", "scenario"], "left").fillna(0, ["detected", "false_findings", "repeated"])
+    blocked = F.col("detected") + F.col("false_findings") > 0
+    return one.select("seed", "faults", "planted", "detected", (F.col("planted") - F.col("detected")).alias("missed"), "false_findings", (F.col("repeated") > 0).alias("schema_blocked"), blocked.alias("reconciliation_blocked"))

@@ -1,22 +1,37 @@
-"""Key primitives: repeats and two-sided comparison, without windows over a hot key."""
+"""Key primitives: repeats and two-sided comparison, without a task that sees all rows of a hot key."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
+
+
+#: Parts that the rows of one key are dealt into.
+PARTS = 64
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns but maps: rows that are equal throughout have equal ones."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, MapType | VariantType)])
 
 
 def with_repeats(df: DataFrame, keys: list[str], name: str = "_repeated", valid: Column | None = None) -> DataFrame:
     """df with a flag: whether another row has the same key. Rows whose key isn't valid aren't counted, nor flagged.
 
-    Keys are counted with partial aggregation; only those that repeat are joined back, on a plain equi-join
-    that adaptive execution can broadcast or split, so a key of very many rows doesn't gather in one task.
+    The input is read once, and no task sees all rows of a key. Rows are dealt by key and a part of PARTS, which a hash of the
+    row decides, and counted there; then only the first row of each part meets those of the key's other parts. A row is
+    repeated if its part has another one, or if it is the first of its part and there are other parts.
     """
-    valid = F.lit(True) if valid is None else valid
-    counted = df.where(valid).groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n").withColumn("_hit", F.lit(True))
-    on = [df[k].eqNullSafe(counted[f"_k{i}"]) for i, k in enumerate(keys)]
-    found = df.join(counted, on, "left")
-    return found.select(*[df[c] for c in df.columns], F.coalesce(F.col("_hit") & valid, F.lit(False)).alias(name))
+    key = [F.col(f"`{k}`") for k in keys]
+    rows = df.withColumns({"_valid": F.lit(True) if valid is None else F.coalesce(valid, F.lit(False)), "_hash": row_hash(df)})
+    part = Window.partitionBy(*key, "_valid", F.pmod("_hash", F.lit(PARTS)))
+    # the order is that of the hash, so a task that runs again picks the same first row
+    rows = rows.withColumns({"_in_part": F.count(F.lit(1)).over(part), "_place": F.row_number().over(part.orderBy("_hash"))})
+    firsts = Window.partitionBy(*key, "_valid", F.when(F.col("_place") == 1, -1).otherwise(F.pmod("_hash", F.lit(PARTS))))
+    rows = rows.withColumn("_parts", F.count(F.lit(1)).over(firsts))
+    again = F.col("_valid") & ((F.col("_in_part") > 1) | (F.col("_parts") > 1))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], again.alias(name))
 
 
 def two_sided(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, VariantType
 
 from veritab.functions.shared import stored
+from veritab.operators.keys import row_hash
 
 #: monotonically_increasing_id has the partition above these bits and the row within it below.
 ROW_BITS = 33
@@ -33,8 +33,7 @@ def placed(df: DataFrame, by: list[Column | str], name: str = "place", within: l
     numbering, whichever executors are lost. df is read twice, the first time for the bounds.
     """
     within = within or []
-    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, MapType | VariantType)]
-    order = [*[F.col(f"`{c}`") for c in within], *by, F.xxhash64(*hashed)]
+    order = [*[F.col(f"`{c}`") for c in within], *by, row_hash(df)]
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at := _free("_at", df.columns), F.monotonically_increasing_id())
     rows = stored(rows, "placed")
     group = [F.col(f"`{c}`").alias(f"_g{k}") for k, c in enumerate(within)]

@@ -170,3 +170,53 @@ def faulty(ledger: DataFrame, faults: list[str], region: Column, retried: Column
     if "duplicate_retry" in faults:
         out = out.unionByName(out.where(retried))
     return out
+
+
+#: Every subset of FAULTS is a scenario: its number has a bit for each fault.
+SCENARIOS = 1 << len(FAULTS)
+
+
+def scenario_faults(scenario: int) -> list[str]:
+    return [f for k, f in enumerate(FAULTS) if scenario >> k & 1]
+
+
+def _scenarios_with(fault: str) -> int:
+    """The set of scenarios that have a fault, as bits."""
+    return sum(1 << s for s in range(SCENARIOS) if fault in scenario_faults(s))
+
+
+def scenario_versions(ledger: DataFrame, region: Column, retried: Column, scaled: Column) -> DataFrame:
+    """Each ledger row as every delivery has it: (_side 0) itself, and (_side 1) its versions with the set of scenarios they occur in.
+
+    What `faulty` makes of a ledger for one set of faults, for all sets at once: a row is read once and becomes at most five.
+    """
+    every, no = (1 << SCENARIOS) - 1, F.lit(0)
+    bits = lambda fault: F.lit(_scenarios_with(fault))
+    when = lambda c, a, b: F.when(F.coalesce(c, F.lit(False)), a).otherwise(b)
+    present = when(region, F.bitwise_not(bits("missing_region")).bitwiseAND(F.lit(every)), F.lit(every))
+    large = present.bitwiseAND(when(scaled, bits("amount_unit"), no))
+    plain = present.bitwiseAND(F.bitwise_not(large))
+    again = when(retried, bits("duplicate_retry"), no)
+    hundredfold = (F.col("amount_cents").cast("bigint") * 100).cast("string")
+    version = lambda side, of, cents: F.struct(F.lit(side).alias("_side"), of.cast("int").alias("_scenarios"), cents.alias("_cents"))
+    own = F.col("amount_cents")
+    rows = ledger.withColumn("_v", F.explode(F.array(version(0, F.lit(every), own), version(1, plain, own), version(1, large, hundredfold), version(1, plain.bitwiseAND(again), own), version(1, large.bitwiseAND(again), hundredfold))))
+    rows = rows.where("_v._scenarios <> 0")
+    return rows.select(*[F.col("_v._cents").alias(c) if c == "amount_cents" else F.col(c) for c in ledger.columns], "_v._side", "_v._scenarios")
+
+
+def scenario_issues(versions: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, scenario, kind, n_right) of what reconciliation finds in each scenario: one aggregation by key for all of them."""
+    value = F.struct(*columns)
+    mine = lambda s: (F.col("_side") == 1) & (F.shiftright("_scenarios", s).bitwiseAND(F.lit(1)) == 1)
+    found = [F.count_if(F.col("_side") == 0).alias("n_left"), F.max(F.when(F.col("_side") == 0, value)).alias("left")]
+    for s in range(SCENARIOS):
+        found += [F.count_if(mine(s)).alias(f"n_{s}"), F.max(F.when(mine(s), value)).alias(f"v_{s}")]
+    by = versions.groupBy(*keys).agg(*found)
+    cases = [F.struct(F.lit(s).alias("scenario"), F.col(f"n_{s}").alias("n_right"), (~F.col("left").eqNullSafe(F.col(f"v_{s}"))).alias("differs")) for s in range(SCENARIOS)]
+    rows = by.select(*keys, "n_left", F.inline(F.array(*cases)))
+    kind = (
+        F.when(F.col("n_left") > 1, "ambiguous_reference").when((F.col("n_left") == 0) & (F.col("n_right") > 0), "unexpected")
+        .when((F.col("n_left") == 1) & (F.col("n_right") == 0), "missing").when(F.col("n_right") > 1, "duplicate").when((F.col("n_left") == 1) & F.col("differs"), "changed")
+    )
+    return rows.withColumn("kind", kind).where("kind is not null").select(*keys, "scenario", "kind", "n_right")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.functions.text import formula_safe, formula_safe_strict
-from veritab.operators import compare, contracts, inventory, lab, orders, quality, receipts, scoring, snapshots
+from veritab.operators import compare, contracts, incidents, inventory, lab, orders, quality, receipts, scoring, snapshots
 from veritab.operators.ranks import placed
 from veritab.plans.specs import Contract, Cutoffs, Field, QuestionPlan, SnapshotRules
 from veritab.plans.views import AS_OF, plain_sql, view
@@ -419,13 +419,29 @@ def ledger_repair_metric(spark, sf_dir):
 
 @query(" union all ".join(f"select '{';'.join(faults)}' as faults, count(*) filter (where kind = 'missing') as missing, count(*) filter (where kind = 'duplicate') as duplicates, count(*) filter (where kind = 'changed') as changed from ({_keyed_sql('{ledger_view}', _faulty_sql(faults), LEDGER_COLUMNS, ['payment_id'])}) k{mask}" for mask, faults in _CASES))
 def fault_evaluation(spark, sf_dir):
-    reference, out = view(spark, sf_dir, "ledger_view"), None
-    for _, faults in _CASES:
-        found = snapshots.ledger_issues(reference, _faulty(spark, sf_dir, faults), "payment_id")
-        one = found.agg(F.count_if(F.col("kind") == "missing").alias("missing"), F.count_if(F.col("kind") == "duplicate").alias("duplicates"), F.count_if(F.col("kind") == "changed").alias("changed"))
-        one = one.select(F.lit(";".join(faults)).alias("faults"), "missing", "duplicates", "changed")
-        out = one if out is None else out.unionByName(one)
-    return out
+    number = F.col("payment_id").cast("bigint")
+    versions = snapshots.scenario_versions(view(spark, sf_dir, "ledger_view"), F.col("region") == "1", number % 500 == 3, number % 1000 == 7)
+    found = snapshots.scenario_issues(versions.drop("record"), ["payment_id"], LEDGER_COLUMNS).groupBy("scenario").agg(*[F.count_if(F.col("kind") == kind).alias(name) for kind, name in (("missing", "missing"), ("duplicate", "duplicates"), ("changed", "changed"))])
+    cases = spark.createDataFrame([(mask, ";".join(faults)) for mask, faults in _CASES], "scenario int, faults string")
+    return cases.join(found, "scenario", "left").fillna(0).drop("scenario")
+
+
+_SEEDS = {3: ("1", 500), 17: ("0", 400), 91: ("4", 300)}
+_SUMMARY = " union all ".join(
+    f"""select {seed} as seed, '{";".join(faults)}' as faults, count(*) filter (where p) as planted, count(*) filter (where p and found) as detected, count(*) filter (where p and not found) as missed, count(*) filter (where found and not p) as false_findings,
+        coalesce(bool_or(n_right > 1), false) as schema_blocked, coalesce(bool_or(found), false) as reconciliation_blocked
+    from (select k.n_right, k.kind <> 'matched' as found, {" or ".join([f"region = '{region}'"] * ("missing_region" in faults) + [f"cast(v.payment_id as bigint) % {step} = 3"] * ("duplicate_retry" in faults) + [f"cast(v.payment_id as bigint) % {2 * step} = 7"] * ("amount_unit" in faults)) or "false"} as p
+        from ({{ledger_view}}) v join ({_keyed_sql("{ledger_view}", _faulty_sql(faults).replace("region <> '1'", f"region <> '{region}'").replace("% 1000 = 7", f"% {2 * step} = 7").replace("% 500 = 3", f"% {step} = 3"), LEDGER_COLUMNS, ["payment_id"])}) k using (payment_id)) c{seed}_{mask}"""
+    for seed, (region, step) in _SEEDS.items()
+    for mask, faults in _CASES
+)
+
+
+@query(_SUMMARY)
+def fault_summary(spark, sf_dir):
+    number = F.col("payment_id").cast("bigint")
+    seeds = {seed: (F.col("region") == region, number % step == 3, number % (2 * step) == 7) for seed, (region, step) in _SEEDS.items()}
+    return incidents.scenario_summary(view(spark, sf_dir, "ledger_view"), seeds)
 
 
 # ---- orders -------------------------------------------------------------------------------------
