@@ -26,6 +26,15 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: Rows of a few numbers each that a join may send to every executor: some 40 MB in memory.
+FEW = 1 << 20
+
+
+def few_or_many(df: DataFrame, most: int = FEW) -> DataFrame:
+    """A stored table of a few numbers a row, for the smaller side of a join: broadcast if it has at most `most` rows, else left to a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm import tokens
-from veritab.llm.common import bounded_batches, documents, own_columns, rows_of, stored
+from veritab.llm.common import bounded_batches, documents, few_or_many, own_columns, rows_of, stored
 from veritab.llm.decontamination import plain
 from veritab.llm.linear import Logistic, sample_by_hash, size_within
 
@@ -322,7 +322,9 @@ def resampled(df: DataFrame, labels: DataFrame, targets: dict[str, float] = TARG
     often, as often as the most of them would be. An empty table gives no rows; null texts are taken at their rate.
     """
     found = mixed(df, labels, targets).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    rows = df.select(*[df[c].alias(f"own_{k}") for k, c in enumerate(df.columns)], df["doc_id"].alias("id")).join(found, F.col("id").eqNullSafe(F.col("doc_id"))).where("copies > 0")
+    # most documents are taken once: only the others are looked up, so that texts needn't be moved while these are few
+    others = few_or_many(stored(found.where("copies <> 1"), "copies"))
+    rows = df.select(*[df[c].alias(f"own_{k}") for k, c in enumerate(df.columns)], df["doc_id"].alias("id")).join(others, F.col("id").eqNullSafe(F.col("doc_id")), "left").withColumn("copies", F.coalesce("copies", F.lit(1))).where("copies > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return rows.select(*[F.col(f"own_{k}").alias(c) for k, c in enumerate(df.columns)])
 
