@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.llm import mixing, near_duplicates, packing, personal_data, quality_rules
-from veritab.llm.common import documents, new_path
+from veritab.llm.common import documents, few_or_many, new_path, stored
 
 
 #: Token shares asked of the mix. The quality rules have taken out nearly all junk before: its share is what they leave.
@@ -18,9 +18,13 @@ TARGETS = {"clean": 0.985, "toxic": 0.01, "junk": 0.005}
 
 
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id has a verdict to keep; repeated rows share their doc_id's verdict, null ids too."""
-    keep = verdicts.groupBy("doc_id").agg(F.bool_or("kept").alias("_kept")).where("_kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
+    """docs without the rows whose doc_id has no verdict to keep; repeated rows share their doc_id's verdict, null ids too.
+
+    Only what goes is looked up: while it is few, texts aren't moved.
+    """
+    gone = verdicts.groupBy("doc_id").agg(F.bool_or("kept").alias("_kept")).where("not _kept").select(F.col("doc_id").alias("_id"))
+    gone = few_or_many(stored(gone, "gone"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
