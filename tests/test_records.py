@@ -1,9 +1,12 @@
 """Small tables with known results, boundaries, and rejected declarations."""
 
 import datetime as dt
+import decimal
 import json
+import random
 import threading
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from veritab import cli
 from veritab.functions import text as T
 from veritab.operators import compare, contracts, incidents, inventory, lab, orders, quality, receipts, scoring, snapshots
 from veritab.operators.keys import with_repeats
-from veritab.plans.specs import Contract, Cutoffs, Field, QuestionPlan, SnapshotRules, SpecError, canonical_id, review_note, role_mapping
+from veritab.plans.specs import Contract, Cutoffs, Field, QuestionPlan, SnapshotRules, SpecError, canonical_id, distinct_choices, review_note, role_mapping
 from veritab.sources import csv_text, files, synthetic
 from veritab.sources.store import Store, StoreError
 from veritab.streaming.batches import validated_stream
@@ -38,6 +41,35 @@ def test_white_space_and_folding(spark):
     assert pairs.where(T.fold(F.col("a")) == T.fold(F.col("b"))).count() == 4
 
 
+def test_folding_at_every_code_point(spark):
+    points = [k for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    letters = spark.createDataFrame(pa.table({"id": points, "c": [chr(k) for k in points]}))
+    found = letters.select("id", T.fold(F.concat(F.lit("a"), "c", F.lit("B"))).alias("f")).toArrow().to_pydict()
+    assert [hex(k) for k, f in zip(found["id"], found["f"], strict=True) if f != f"a{chr(k)}B".casefold()] == [] and len(found["id"]) == len(points)
+    words = ["Straße ŉ ﬃ ΟΔΟΣ İstanbul", "", None, "Ꮳꭰ ẞ"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", T.fold(F.col("w")).alias("f")).collect()
+    assert all(r["f"] == (r["w"].casefold() if r["w"] is not None else None) for r in rows)
+
+
+def test_amounts_agree_with_exact_decimals(spark):
+    draw = random.Random(4)
+    some = lambda n: "".join(draw.choice("0012345678900") for _ in range(draw.randrange(n)))
+    texts = [draw.choice(["", "", "+", "-", " "]) + some(14) + draw.choice(["", ".", ","]) + some(8) + draw.choice(["", "", "e", "E-", "e+", "E"]) + some(3) + draw.choice(["", " ", "x"] if draw.random() < 0.3 else [""]) for _ in range(4000)]
+
+    def plainly(text):
+        if not text.strip():
+            return None
+        try:
+            n = decimal.Decimal(text.replace(",", "").strip())
+            return int(n * 100) if n.is_finite() and n >= 0 and n == n.quantize(decimal.Decimal(".01")) and n <= 10**12 else None
+        except decimal.InvalidOperation:
+            return None
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.cents_of(F.col("t")).alias("c")).collect()
+    assert [(r["t"], r["c"], plainly(r["t"])) for r in rows if r["c"] != plainly(r["t"])] == []
+    assert sum(r["c"] is not None for r in rows) > 500
+
+
 def test_dates_are_exact(spark):
     good = ["2024-02-29", "0001-01-01", "9999-12-31"]
     bad = ["2023-02-29", "2026-2-3", " 2026-02-03", "2026-02-03T10", "0000-01-01", "20260203", "2026-02-03\n", "", "２０２６-02-03"]
@@ -53,7 +85,7 @@ def test_formulas_are_guarded(spark):
 
 
 def test_amounts_in_cents(spark):
-    cases = {"115": 11500, "1,234.50": 123450, " 7.1 ": 710, "1.230": 123, "0": 0, "1.234": None, "-1": None, "NaN": None, "1e3": None, "": None, "1000000000000": 100_000_000_000_000, "1000000000001": None}
+    cases = {"115": 11500, "1,234.50": 123450, " 7.1 ": 710, "1.230": 123, "0": 0, "1.234": None, "-1": None, "NaN": None, "1e3": 100_000, "1E-2": 1, "1e-3": None, "+.5e1": 500, "-0": 0, "1_0": 1000, "٣": 300, "1000e-3": 100, "0e99": 0, "1e99999999999": None, "1e13": None, ".": None, "e5": None, "1.e2": 10000, "": None, "1000000000000": 100_000_000_000_000, "1000000000001": None}
     df = spark.createDataFrame(list(cases), "string").toDF("v")
     assert {r["v"]: r["c"] for r in df.select("v", T.cents_of(F.col("v")).alias("c")).collect()} == cases
 
@@ -597,8 +629,17 @@ def test_store_appends_only(spark, tmp_path):
     assert store.mapping(a["id"]) == {"x": 0, "y": 1}
     with pytest.raises(SpecError):
         role_mapping(("x", "y"), {"x": 0, "y": 0}, 3)
-    with pytest.raises(SpecError):
-        review_note("maybe", "note")
+    for note in (("maybe", "note"), (["confirmed issue"], "note"), ("confirmed issue", " "), ("confirmed issue", "x" * 2001), ("confirmed issue", None)):
+        with pytest.raises(SpecError):
+            review_note(*note)
+    assert review_note("expected event", f" {'x' * 2000} ")[1] == "x" * 2000
+    for faults in (["amount_unit", "amount_unit"], ["none"], "amount_unit", None, [["amount_unit"]]):
+        with pytest.raises(SpecError):
+            distinct_choices(faults, snapshots.FAULTS, "faults")
+    assert distinct_choices(["missing_region", "amount_unit"], snapshots.FAULTS, "faults") == ["amount_unit", "missing_region"] and distinct_choices([], snapshots.FAULTS, "faults") == []
+    for key in ([["id"]], [{}], [], ["id", "id"], "id"):
+        with pytest.raises(SpecError):
+            Contract.from_json({**SPEC, "key": key})
 
 
 def test_contract_versions(spark, tmp_path):
@@ -652,6 +693,8 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     (tmp_path / "bad.csv").write_text(PASSING + "A1,x,1,true\n")
     (tmp_path / "drift.csv").write_text("id,other\nA,1\n")
     (tmp_path / "orders.csv").write_text(ORDERS)
+    (tmp_path / "odd.json").write_text(json.dumps({**SPEC, "key": [["id"]]}))
+    assert cli.main(["--store", str(tmp_path / "s"), "check", "--name", "p", "--contract", str(tmp_path / "odd.json"), "--csv", str(tmp_path / "good.csv")]) == 1
     base = ["--store", str(tmp_path / "s"), "check", "--name", "p", "--contract", str(tmp_path / "contract.json"), "--csv"]
     assert cli.main([*base, str(tmp_path / "good.csv"), "--publish"]) == 0
     assert cli.main([*base, str(tmp_path / "bad.csv")]) == 2

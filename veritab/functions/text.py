@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,10 +43,24 @@ def iso_date(c: Column) -> Column:
     return date_of(c).isNotNull()
 
 
+@functools.cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Full case folding by this Python's Unicode data: letters that fold to one letter and what to, and those that fold to several."""
+    folded = {c: f for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if (f := c.casefold()) != c}
+    one = {c: f for c, f in folded.items() if len(f) == 1}
+    return "".join(one), "".join(one.values()), {c: f for c, f in folded.items() if len(f) > 1}
+
+
+def _ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
+
+
 def fold(c: Column) -> Column:
-    """Text for comparison without case: upper, then lower case, so that one letter's spellings meet (final sigma, ß and SS)."""
-    whole = F.replace(F.replace(c, F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss"))
-    return F.replace(F.lower(F.upper(whole)), F.lit("ς"), F.lit("σ"))
+    """Text for comparison without case: full case folding, letter by letter as str.casefold has it. ASCII texts are just lower-cased."""
+    letters, to, several = _folds()
+    table = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
+    long = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    return F.when(_ascii(c), F.lower(c)).otherwise(F.translate(F.when(c.rlike(f"[{''.join(several)}]"), long).otherwise(c), letters, to))
 
 
 def formula_safe(c: Column) -> Column:
@@ -57,19 +73,42 @@ def formula_safe_strict(c: Column) -> Column:
     return F.when(c.rlike(r"\A[=+\-@\t\r]"), F.concat(F.lit("'"), c)).otherwise(c)
 
 
+@functools.cache
+def _digits() -> tuple[str, str]:
+    """Decimal digits of all scripts but ASCII's own, and their values."""
+    found = [c for c in map(chr, range(0x80, 0x110000)) if c.isdecimal()]
+    return "".join(found), "".join(str(int(c)) for c in found)
+
+
 def cents_of(c: Column) -> Column:
-    """Whole cents of an amount: commas and outer white space aside, at most two decimals that aren't zero, 0 to 10**12; else null.
+    """Whole cents of an amount: at most two decimals that aren't zero, 0 to 10**12; else null.
 
-    An empty text is null as well; `amount_valid` tells the two apart.
+    An amount is a decimal number of any length, with an exponent or without; commas, underscores and outer white space
+    don't count, and digits may be of any script. It is read exactly: as its digits without the zeros around them, and how many tens
+    they are to be multiplied by. An empty text is null as well; `amount_valid` tells the two apart.
     """
-    plain = trimmed(F.replace(c, F.lit(","), F.lit("")))
-    number = F.when(matches(plain, r"\+?(?:[0-9]{1,13}(?:\.[0-9]{0,9})?|\.[0-9]{1,9})"), F.regexp_replace(plain, r"\A\+", "").try_cast("decimal(30,9)"))
-    ok = (number == F.round(number, 2)) & (number <= 1_000_000_000_000)
-    return F.when(ok, (number * 100).cast("bigint"))
+    plain = F.replace(trimmed(F.replace(c, F.lit(","), F.lit(""))), F.lit("_"), F.lit(""))
+    plain = F.lower(F.when(_ascii(plain), plain).otherwise(F.translate(plain, *_digits())))
+    number = F.when(matches(plain, r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?"), plain)
+    mantissa = F.ltrim(F.substring_index(number, "e", 1), F.lit("+-"))
+    whole = F.substring_index(mantissa, ".", 1)
+    part = F.when(F.contains(mantissa, F.lit(".")), F.substring_index(mantissa, ".", -1)).otherwise("")
+    exponent = F.when(F.contains(number, F.lit("e")), F.substring_index(number, "e", -1)).otherwise("0").try_cast("int")
+    digits = F.ltrim(F.concat(whole, part), F.lit("0"))
+    kept = F.rtrim(digits, F.lit("0"))
+    # cents are kept x 10 ** tens
+    tens = F.char_length(digits) - F.char_length(kept) - F.char_length(part) + exponent.cast("bigint") + 2
+    cents = F.when((tens >= 0) & (tens + F.char_length(kept) <= 15) & ~F.startswith(number, F.lit("-")), F.concat(kept, F.repeat(F.lit("0"), tens.cast("int"))).try_cast("bigint"))
+    return F.when(kept == "", F.lit(0).cast("bigint")).when(cents <= 100_000_000_000_000, cents)
+
+
+def unreadable(c: Column, cents: Column) -> Column:
+    """Whether a text that isn't blank has no cents."""
+    return ~blank(c) & cents.isNull()
 
 
 def amount_valid(c: Column) -> Column:
-    return blank(c) | cents_of(c).isNotNull()
+    return ~unreadable(c, cents_of(c))
 
 
 def money(cents: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritab.functions.text import amount_valid, blank, cents_of, fold, formula_safe_strict, iso_date, money, reasons, trimmed
+from veritab.functions.text import blank, cents_of, fold, formula_safe_strict, iso_date, money, reasons, trimmed, unreadable
 from veritab.operators.ranks import placed
 from veritab.plans.specs import QuestionPlan
 
@@ -39,11 +39,11 @@ def normalised(df: DataFrame) -> DataFrame:
             "currency": F.coalesce(F.try_element_at(names, currency), currency),
             "calendar": F.lower(texts["calendar"]),
             "document_type": F.lower(texts["document_type"]),
-            "bad_amounts": reasons(*[(~amount_valid(v), c) for c, v in amounts.items()]),
-            **{f"{c}_cents": cents_of(v) for c, v in amounts.items()},
+            **{f"{c}_cents": cents_of(v) for c, v in amounts.items()},  # read once, used by name from here on
         }
     )
-    return out.withColumns({c: F.when(F.col(f"{c}_cents").isNotNull(), money(F.col(f"{c}_cents"))) for c in AMOUNTS})
+    bad = reasons(*[(unreadable(v, F.col(f"{c}_cents")), c) for c, v in amounts.items()])
+    return out.withColumns({"bad_amounts": bad, **{c: F.when(F.col(f"{c}_cents").isNotNull(), money(F.col(f"{c}_cents"))) for c in AMOUNTS}})
 
 
 def _identity() -> tuple[Column, Column]:

@@ -614,17 +614,17 @@ def lab_confusion(spark, sf_dir):
 
 # ---- receipts -----------------------------------------------------------------------------------
 
-_AMOUNT = "regexp_full_match({c}, '[0-9]+([.][0-9]+)?') and try_cast({c} as decimal(20, 6)) = round(try_cast({c} as decimal(20, 6)), 2)"
+_AMOUNT = "regexp_full_match({c}, '[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?') and try_cast({c} as decimal(20, 6)) = round(try_cast({c} as decimal(20, 6)), 2)"
 _CENTS = lambda c: f"case when {_AMOUNT.replace('{c}', c)} then cast(try_cast({c} as decimal(20, 2)) * 100 as bigint) end"
 _BAD_AMOUNTS = " || ".join(f"case when {c} <> '' and not coalesce({_AMOUNT.replace('{c}', c)}, false) then '{c};' else '' end" for c in receipts.AMOUNTS)
-NORMAL = f"""select id, trim(merchant) as merchant, trim(receipt_number) as receipt_number, date, lower(calendar) as calendar, case upper(currency) when 'BIRR' then 'ETB' else upper(currency) end as currency, {_CENTS("total")} as total_cents, {_CENTS("subtotal")} as subtotal_cents,
+NORMAL = f"""select id, trim(merchant) as merchant, trim(receipt_number) as receipt_number, date, lower(calendar) as calendar, case when upper(currency) in ('BIRR', 'BR') then 'ETB' else upper(currency) end as currency, {_CENTS("total")} as total_cents, {_CENTS("subtotal")} as subtotal_cents,
     {_CENTS("tax")} as tax_cents, {_CENTS("service_charge")} as service_charge_cents, rtrim({_BAD_AMOUNTS}, ';') as bad_amounts, lower(document_type) as document_type, status from ({{receipts_raw}}) r"""
 _UNREAD = " || ".join(f"case when list_contains(string_split(bad_amounts, ';'), '{c}') then 'unreadable {c};' else '' end" for c in receipts.AMOUNTS)
 ISSUES = f"""with n as ({NORMAL}), k as (select lower(merchant) as m, lower(receipt_number) as r, count(*) filter (where status in ('review', 'approved')) as n from n where merchant <> '' and receipt_number <> '' group by 1, 2),
     p as (select n.*, coalesce(k.n - case when status in ('review', 'approved') then 1 else 0 end > 0, false) as possible_duplicate from n left join k on lower(n.merchant) = k.m and lower(n.receipt_number) = k.r)
     select *, rtrim({_UNREAD} || case when merchant = '' then 'missing merchant;' else '' end || case when date = '' then 'missing date;' else '' end || case when currency = '' then 'missing currency;' else '' end || case when total_cents is null and not list_contains(string_split(bad_amounts, ';'), 'total') then 'missing total;' else '' end
         || case when document_type = '' then 'missing document_type;' else '' end || case when not ({_DATE.replace("{c}", "date")}) then 'date;' else '' end || case when calendar <> 'gregorian' then 'calendar;' else '' end
-        || case when currency not in ('ETB', 'USD', 'EUR', 'KES') then 'currency;' else '' end || case when document_type not in ('receipt', 'invoice') then 'document type;' else '' end
+        || case when currency not in {receipts.CURRENCIES} then 'currency;' else '' end || case when document_type not in ('receipt', 'invoice') then 'document type;' else '' end
         || case when abs(total_cents - (subtotal_cents + tax_cents + service_charge_cents)) > 2 then 'arithmetic;' else '' end || case when possible_duplicate then 'possible duplicate;' else '' end, ';') as issues from p"""
 _ELIGIBLE = f"select * from ({ISSUES}) i where status = 'approved' and issues = ''"
 

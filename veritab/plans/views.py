@@ -85,8 +85,9 @@ VIEWS = {
                case when o.o_orderkey % 53 = 0 then '' else concat('R', cast(case when o.o_orderkey % 47 = 0 then o.o_orderkey - 1 else o.o_orderkey end as string)) end as receipt_number,
                case when o.o_orderkey % 59 = 0 then '1998-13-01' when o.o_orderkey % 61 = 0 then '' else cast(cast(o.o_orderdate as date) as string) end as date,
                case when o.o_orderkey % 67 = 0 then 'Ethiopian' else 'Gregorian' end as calendar,
-               case when c.c_nationkey % 5 = 0 then 'birr' when c.c_nationkey % 5 = 1 then 'usd' when c.c_nationkey % 5 = 2 then 'EUR' when c.c_nationkey % 5 = 3 then 'KES' else 'XXX' end as currency,
-               case when o.o_orderkey % 71 = 0 then '' when o.o_orderkey % 73 = 0 then '1.234' else concat(cast(o.o_custkey * 3 + 1000 as string), '.50') end as total,
+               case c.c_nationkey % 17 when 0 then 'birr' when 1 then 'usd' when 2 then 'EUR' when 3 then 'KES' when 4 then 'XXX' when 5 then 'gbp' when 6 then 'AED' when 7 then 'SAR' when 8 then 'CNY' when 9 then 'INR'
+                   when 10 then 'JPY' when 11 then 'CAD' when 12 then 'AUD' when 13 then 'ZAR' when 14 then 'UGX' when 15 then 'TZS' else 'BR' end as currency,
+               case when o.o_orderkey % 71 = 0 then '' when o.o_orderkey % 73 = 0 then '1.234' when o.o_orderkey % 113 = 0 then '12E2' when o.o_orderkey % 127 = 0 then '150.0e-1' when o.o_orderkey % 131 = 0 then '1e-3' else concat(cast(o.o_custkey * 3 + 1000 as string), '.50') end as total,
                case when o.o_orderkey % 3 = 0 then cast(o.o_custkey * 3 + case when o.o_orderkey % 79 = 0 then 500 else 900 end as string) else '' end as subtotal,
                case when o.o_orderkey % 107 = 0 then 'abc' else '100.50' end as tax, case when o.o_orderkey % 109 = 0 then '-1' else '0' end as service_charge,
                case when o.o_orderkey % 83 = 0 then 'credit note' else 'Receipt' end as document_type,
