@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from veritab.functions.text import blank, fold, matches, trimmed
 from veritab.operators.keys import two_sided, with_repeats
+from veritab.operators.quality import require_structure
 from veritab.operators.ranks import placed
 from veritab.plans.specs import SpecError
+from veritab.sources.csv_text import named
 
 STATUSES = ("matched", "conflict", "left_only", "right_only", "ambiguous", "invalid")
 DOCUMENT_STATUSES = ("matched", "conflict", "unmatched", "ambiguous", "invalid")
@@ -33,6 +35,12 @@ def compared(left: DataFrame, right: DataFrame, left_key: str, right_key: str, l
     return both.select("key", status.alias("status"), "n_left", "n_right", F.when(F.col("n_left") == 1, a).alias("left_value"), F.when(F.col("n_right") == 1, b).alias("right_value"))
 
 
+def compared_tables(left: DataFrame, right: DataFrame, left_headers: list[str], right_headers: list[str], left_key: str, right_key: str, left_value: str, right_value: str) -> DataFrame:
+    """`compared` of two tables of (record, cells), once their structure is found to be sound; a table that isn't one is refused."""
+    sides = [named(require_structure(cells, headers), headers) for cells, headers in ((left, left_headers), (right, right_headers))]
+    return compared(*sides, left_key, right_key, left_value, right_value)
+
+
 def in_order(df: DataFrame) -> DataFrame:
     """Compared keys with `place`, from 1: ascending by code points, as Spark compares texts."""
     return placed(df, ["key"])

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from veritab.functions.text import blank, matches, padded
 from veritab.operators.keys import two_sided
+from veritab.operators.quality import require_structure
 from veritab.operators.ranks import placed
 from veritab.plans.specs import SnapshotRules, SpecError, iso
+from veritab.sources.csv_text import named
 
 #: Replaced rows keep their number in the reference above this bound.
 REPLACED = 1 << 60
@@ -108,6 +110,12 @@ def assessed(reference: DataFrame, delivery: DataFrame, rules: SnapshotRules) ->
     return Assessment(reference.select("record", *columns), delivery.select("record", *columns), rules, columns)
 
 
+def assessed_tables(reference: DataFrame, delivery: DataFrame, reference_headers: list[str], delivery_headers: list[str], rules: SnapshotRules) -> Assessment:
+    """`assessed` of two tables of (record, cells), once their structure is found to be sound; a table that isn't one is refused."""
+    sides = [named(require_structure(cells, headers), headers).drop("width") for cells, headers in ((reference, reference_headers), (delivery, delivery_headers))]
+    return assessed(*sides, rules)
+
+
 def replaced(reference: DataFrame, delivery: DataFrame, chosen: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Delivery rows of other identities, and reference rows of the chosen ones; record keeps the order: replacements come last."""
     kept = delivery.join(chosen, keys, "left_anti").select(F.lit(0).alias("part"), "record", *columns)
