@@ -133,3 +133,22 @@ def test_stages(spark, odd, empty, tmp_path, at):
         found = stage(spark, df, str(tmp_path))
         assert found.columns == df.columns or name == "packing"
         found.collect()
+
+
+def test_rows_that_stages_keep(spark, odd, tmp_path):
+    as_labels(odd).write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted((r["doc_id"] for r in df.select("doc_id").collect()), key=lambda x: (x is None, x))
+    # 2 (twice), 3 and 8 are copies of 1; what has no text or no id is like nothing
+    kept = stages["near duplicates"](spark, odd, str(tmp_path))
+    assert ids(kept) == [1, 4, 5, 6, 7, 9, 10, 11, 12, 13, None, None]
+    assert {(r["doc_id"], r["length"], r["label"]) for r in kept.collect()} <= {(r["doc_id"], r["length"], r["label"]) for r in odd.collect()}
+    redacted = stages["personal data"](spark, odd, str(tmp_path))
+    texts = {r["doc_id"]: r["text"] for r in redacted.where("doc_id is not null").collect()}
+    assert ids(redacted) == ids(odd) and texts[5] is None and texts[9] == "one two" and "x.y@z.org" not in texts[13] and "10.0.0.1" not in texts[13]
+    # too few words, or one run of words over and over: what no verdict on form is needed for
+    assert not {4, 5, 6, 7, 9, 12} & set(ids(stages["quality rules"](spark, odd, str(tmp_path))))
+    # copies are whole rows, and repeated rows of one id are taken alike
+    mixed = stages["mixing"](spark, odd, str(tmp_path))
+    taken = {i: ids(mixed).count(i) for i in set(ids(mixed))}
+    assert taken.get(2, 0) % 2 == 0 and set(taken) <= set(ids(odd))
