@@ -30,7 +30,7 @@ def test_thirteen_names():
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.sql(f"create view {t} as select * from read_parquet('{SMALL}/{t}.parquet')")
     expected = con.sql(ORACLE_SQL[name])
     found = QUERIES[name](spark, SMALL)
