@@ -69,8 +69,8 @@ def test_a_hot_key_fills_even_tasks(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     try:
-        tasks = with_repeats(df, ["k"]).groupBy(F.spark_partition_id()).count().collect()
+        tasks = with_repeats(df, ["k"]).withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count(F.lit(1)).alias("count"), F.count_if("_repeated").alias("again")).collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert max(r["count"] for r in tasks) < 2 * 100_000 / 16
+    assert len(tasks) == 16 and sum(r["again"] for r in tasks) == 30_000 and max(r["count"] for r in tasks) < 2 * 100_000 / 16
