@@ -74,3 +74,16 @@ def test_a_hot_key_fills_even_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(tasks) == 16 and sum(r["again"] for r in tasks) == 30_000 and max(r["count"] for r in tasks) < 2 * 100_000 / 16
+
+
+def test_the_input_of_places_is_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(k):
+        seen.add(1)
+        return k % 10
+
+    df = spark.range(0, 1000, numPartitions=4).select("id", F.udf(counted, "long")("id").alias("v"))
+    found = sorted(rows_of(placed(df, ["v", "id"]), "place", "id"))
+    assert found == [(n, k) for n, k in enumerate(sorted(range(1000), key=lambda k: (k % 10, k)), 1)]
+    assert seen.value == 1000

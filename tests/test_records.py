@@ -415,6 +415,20 @@ def test_order_quarantine(spark):
     assert orders.quarantined(pairs).count() == 4
 
 
+def test_quarantine_asks_each_rule_once(spark):
+    cells = "record long, order_id string, team string, ordered_on string, due_on string, delivered_on string"
+    df = spark.createDataFrame([(1, "A", " t", "2024-02-30", "", " "), (2, "B", "t", "2024-02-03", "2024-02-02", "2024-02-01"), (3, "B", None, "2024-02-01", "2024-02-02", None), (4, "C", "t", "2024-02-03", "2024-02-02", "2024-03-02")], cells)
+    found = orders.quarantined(orders.checked(df, "2024-03-01")).select("record", "reasons")
+    assert rows(found, "record", "reasons") == [
+        (1, ["team: blank or padded", "ordered_on: not a date", "due_on: blank or padded", "delivered_on: blank or padded"]),
+        (2, ["repeated order id"]),
+        (3, ["team: blank or padded", "repeated order id"]),
+        (4, ["due before ordered", "after snapshot"]),
+    ]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.upper().count("RLIKE") == 3 and "lambda" not in plan
+
+
 # ---- inventory --------------------------------------------------------------------------------------
 
 

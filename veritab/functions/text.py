@@ -117,5 +117,21 @@ def money(cents: Column) -> Column:
 
 
 def reasons(*pairs: tuple[Column, str | Column]) -> Column:
-    """The texts of the conditions that hold, in this order."""
-    return F.array_compact(F.array(*[F.when(cond, text if isinstance(text, Column) else F.lit(text)) for cond, text in pairs])) if pairs else F.array().cast("array<string>")
+    """The texts of the conditions that hold, in this order; a null is no text.
+
+    Arrays of one text or none are put together: dropping nulls from one array takes a lambda, with which Spark compiles neither that nor
+    the conditions.
+    """
+    none = F.array().cast("array<string>")
+    one = lambda cond, text: (cond & text.isNotNull(), F.array(F.coalesce(text, F.lit("")))) if isinstance(text, Column) else (cond, F.array(F.lit(text)))
+    return F.concat(none, *[F.when(*one(cond, text)).otherwise(none) for cond, text in pairs])
+
+
+def bits(*conditions: Column) -> Column:
+    """A whole number with a bit for each condition, the first one lowest, set where it holds: small enough to go through a shuffle."""
+    return functools.reduce(Column.bitwiseOR, [F.when(cond, F.lit(1 << k)).otherwise(0) for k, cond in enumerate(conditions)])
+
+
+def reasons_of(found: Column, *texts: str) -> list[tuple[Column, str]]:
+    """The pairs that `reasons` takes, from `bits`."""
+    return [(found.bitwiseAND(F.lit(1 << k)) != 0, text) for k, text in enumerate(texts)]

@@ -25,12 +25,12 @@ def with_repeats(df: DataFrame, keys: list[str], name: str = "_repeated", valid:
     """
     key = [F.col(f"`{k}`") for k in keys]
     rows = df.withColumns({"_valid": F.lit(True) if valid is None else F.coalesce(valid, F.lit(False)), "_hash": row_hash(df)})
-    part = Window.partitionBy(*key, "_valid", F.pmod("_hash", F.lit(PARTS)))
-    # the order is that of the hash, so a task that runs again picks the same first row
-    rows = rows.withColumns({"_in_part": F.count(F.lit(1)).over(part), "_place": F.row_number().over(part.orderBy("_hash"))})
+    # the order is that of the hash, so a task that runs again picks the same first row; one sort serves both columns
+    part = Window.partitionBy(*key, "_valid", F.pmod("_hash", F.lit(PARTS))).orderBy("_hash")
+    rows = rows.withColumns({"_place": F.row_number().over(part), "_more": F.lead("_hash").over(part).isNotNull()})
     firsts = Window.partitionBy(*key, "_valid", F.when(F.col("_place") == 1, -1).otherwise(F.pmod("_hash", F.lit(PARTS))))
     rows = rows.withColumn("_parts", F.count(F.lit(1)).over(firsts))
-    again = F.col("_valid") & ((F.col("_in_part") > 1) | (F.col("_parts") > 1))
+    again = F.col("_valid") & ((F.col("_place") > 1) | F.col("_more") | (F.col("_parts") > 1))
     return rows.select(*[F.col(f"`{c}`") for c in df.columns], again.alias(name))
 
 

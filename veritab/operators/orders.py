@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritab.functions.text import date_of, padded, reasons
+from veritab.functions.text import bits, date_of, padded, reasons, reasons_of
 from veritab.operators.keys import with_repeats
 from veritab.operators.ranks import placed
 
@@ -21,7 +21,6 @@ def checked(df: DataFrame, as_of: str) -> DataFrame:
     are compared only where nothing else is wrong.
     """
     wide = F.col("width_ok") if "width_ok" in df.columns else F.lit(True)
-    df = with_repeats(df, ["order_id"], "_repeated", F.col("order_id").isNotNull())
     # parsed once, however many rules ask
     df = df.withColumns({f"_day_{r}": date_of(F.col(r)) for r in ROLES if r.endswith("_on")})
     cell = lambda r: F.coalesce(F.col(r), F.lit(""))
@@ -31,16 +30,20 @@ def checked(df: DataFrame, as_of: str) -> DataFrame:
         found.append((wide & dirty(r), f"{r}: blank or padded"))
         if r.endswith("_on"):
             found.append((wide & ~dirty(r) & (cell(r) != "") & F.col(f"_day_{r}").isNull(), f"{r}: not a date"))
-    found.append((wide & F.col("_repeated"), "repeated order id"))
-    first = F.when(~wide, F.array(F.lit("row width"))).otherwise(reasons(*found))
     ordered, due, delivered, today = F.col("_day_ordered_on"), F.col("_day_due_on"), F.col("_day_delivered_on"), F.lit(as_of).cast("date")
-    late = reasons(
+    late = [
         (due < ordered, "due before ordered"),
         (delivered < ordered, "delivered before ordered"),
         ((ordered > today) | F.coalesce(delivered > today, F.lit(False)), "after snapshot"),
-    )
-    rows = df.withColumn("_first", first)
-    rows = rows.withColumn("reasons", F.when(F.size("_first") == 0, late).otherwise(F.col("_first"))).drop("_first", "_repeated")
+    ]
+    # all rules that a row decides alone come before the shuffles of the repeats: no filter on reasons can pull them up and ask them again
+    df = df.withColumns({"_first": bits(*[cond for cond, _ in found]), "_late": bits(*[cond for cond, _ in late])})
+    rows = with_repeats(df, ["order_id"], "_repeated", F.col("order_id").isNotNull())
+    repeated = wide & F.col("_repeated")
+    first = reasons(*reasons_of(F.col("_first"), *[text for _, text in found]), (repeated, "repeated order id"))
+    alone = (F.col("_first") == 0) & ~F.coalesce(repeated, F.lit(False))
+    why = F.when(~wide, F.array(F.lit("row width"))).when(alone, reasons(*reasons_of(F.col("_late"), *[text for _, text in late]))).otherwise(first)
+    rows = rows.withColumn("reasons", why).drop("_first", "_late", "_repeated")
     valid = F.size("reasons") == 0
     late_days = F.greatest(F.lit(0), F.datediff(F.coalesce(delivered, today), due))
     status = F.when(delivered.isNotNull(), F.when(late_days > 0, "delivered late").otherwise("delivered on time")).when(due < today, "open overdue").when(due == today, "due today").otherwise("upcoming")

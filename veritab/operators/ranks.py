@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritab.functions.shared import stored
+from veritab.functions.shared import discard, stored
 from veritab.operators.keys import row_hash
 
 #: monotonically_increasing_id has the partition above these bits and the row within it below.
@@ -30,12 +30,16 @@ def placed(df: DataFrame, by: list[Column | str], name: str = "place", within: l
     size adds how many rows the group (without groups: the table) has. Nulls come first where a column ascends. Rows equal
     in all of `by` are ordered by a hash of all their columns, so only rows equal throughout are interchangeable. An empty
     table gives none. The sorted rows are written to the shared folder once: ranges must not change between counting and
-    numbering, whichever executors are lost. df is read twice, the first time for the bounds.
+    numbering, whichever executors are lost. Sorting reads its input twice, the first time for the bounds, so df is written before,
+    unless it is a stored frame, and worked out once.
     """
     within = within or []
     order = [*[F.col(f"`{c}`") for c in within], *by, row_hash(df)]
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at := _free("_at", df.columns), F.monotonically_increasing_id())
+    given = df if "_stored_at" in df.__dict__ else stored(df, "unplaced")
+    rows = given.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at := _free("_at", df.columns), F.monotonically_increasing_id())
     rows = stored(rows, "placed")
+    if given is not df:
+        discard(given)
     group = [F.col(f"`{c}`").alias(f"_g{k}") for k, c in enumerate(within)]
     names = [f"_g{k}" for k in range(len(within))]
     held = rows.groupBy(F.shiftright(at, ROW_BITS).alias("_part"), *group).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_first"))

@@ -476,7 +476,7 @@ def order_results(spark, sf_dir):
 
 @query(f"select record, order_id, reasons, row_number() over (order by record) as place from ({ORDERS}) z where reasons <> ''")
 def order_quarantine(spark, sf_dir):
-    return orders.quarantine_places(_orders(spark, sf_dir)).select("record", "order_id", _joined("reasons").alias("reasons"), "place")
+    return orders.quarantine_places(_orders(spark, sf_dir).select("record", "order_id", "reasons")).select("record", "order_id", _joined("reasons").alias("reasons"), "place")
 
 
 @query(f"select {_ORDER_SUMMARY} from ({ORDERS}) z where reasons = ''")
@@ -496,7 +496,7 @@ def order_counts(spark, sf_dir):
 
 @query(f"select place, order_id, team, status, due_on, cast(late_days as int) as late_days from (select *, row_number() over (order by late_days desc, due_on, order_id, record) as place from ({ORDERS}) z where reasons = '') q")
 def order_overdue_queue(spark, sf_dir):
-    return orders.queue_places(_orders(spark, sf_dir)).select("place", "order_id", "team", "status", "due_on", "late_days")
+    return orders.queue_places(_orders(spark, sf_dir).select("record", "order_id", "team", "status", "due_on", "late_days", "reasons")).select("place", "order_id", "team", "status", "due_on", "late_days")
 
 
 # ---- inventory ----------------------------------------------------------------------------------
