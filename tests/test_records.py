@@ -84,6 +84,15 @@ def test_formulas_are_guarded(spark):
     assert [r[0] for r in df.select(T.formula_safe_strict(F.col("v"))).collect()] == ["'=1", " +1", "'-1", "'\t@x", "'\rx", "a=1", "", "\xa0=1"]
 
 
+def test_amounts_are_read_once(spark):
+    cases = {"": None, "0": 0, "7": 700, "7.": 700, "7.5": 750, "007.50": 750, "7.500": 750, "7.505": None, ".5": 50, " 7.5 ": 750, "1,234.5": 123450, "1_0": 1000, "+7": 700, "-7": None, "-0": 0, "7e1": 7000, "75E-1": 750, "7e-3": None}
+    cases |= {"999999999999.99": 99_999_999_999_999, "1000000000000": 100_000_000_000_000, "1000000000000.01": None, "0000000000000000007": 700, "7\n": 700, "7 5": None, "\u0667.\u0665": 750, None: None}
+    df = spark.createDataFrame([(t,) for t in cases], "t string").withColumn("c", T.cents_of(F.col("t")))
+    assert {r["t"]: r["c"] for r in df.collect()} == cases
+    # the plain form and the general one, each once
+    assert df._jdf.queryExecution().optimizedPlan().toString().upper().count("RLIKE") == 2
+
+
 def test_amounts_in_cents(spark):
     cases = {"115": 11500, "1,234.50": 123450, " 7.1 ": 710, "1.230": 123, "0": 0, "1.234": None, "-1": None, "NaN": None, "1e3": 100_000, "1E-2": 1, "1e-3": None, "+.5e1": 500, "-0": 0, "1_0": 1000, "٣": 300, "1000e-3": 100, "0e99": 0, "1e99999999999": None, "1e13": None, ".": None, "e5": None, "1.e2": 10000, "": None, "1000000000000": 100_000_000_000_000, "1000000000001": None}
     df = spark.createDataFrame(list(cases), "string").toDF("v")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,22 +12,27 @@ from pyspark.sql import functions as F
 WHITE_SPACE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
-def trimmed(c: Column) -> Column:
-    return F.btrim(c, F.lit(WHITE_SPACE))
-
-
 def _edge(c: Column, at: int) -> Column:
     """Whether the character there is white space: a look-up, where trimming would compare every end with every code point."""
     return F.substring(c, at, 1).isin(list(WHITE_SPACE))
 
 
+def _edges(c: Column) -> Column:
+    return _edge(c, 1) | _edge(c, -1)
+
+
+def trimmed(c: Column) -> Column:
+    """Without white space at the ends; few texts have any."""
+    return F.when(_edges(c), F.btrim(c, F.lit(WHITE_SPACE))).otherwise(c)
+
+
 def blank(c: Column) -> Column:
     """Nothing but white space; a null is blank."""
-    return F.when(c.isNull() | (c == ""), True).when(_edge(c, 1), trimmed(c) == "").otherwise(False)
+    return F.when(c.isNull() | (c == ""), True).when(_edge(c, 1), F.btrim(c, F.lit(WHITE_SPACE)) == "").otherwise(False)
 
 
 def padded(c: Column) -> Column:
-    return F.coalesce(_edge(c, 1) | _edge(c, -1), F.lit(False))
+    return F.coalesce(_edges(c), F.lit(False))
 
 
 def matches(c: Column, pattern: str) -> Column:
@@ -80,31 +86,57 @@ def _digits() -> tuple[str, str]:
     return "".join(found), "".join(str(int(c)) for c in found)
 
 
+def _let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f asks for it: expressions put into each other would grow by products."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 def cents_of(c: Column) -> Column:
     """Whole cents of an amount: at most two decimals that aren't zero, 0 to 10**12; else null.
 
     An amount is a decimal number of any length, with an exponent or without; commas, underscores and outer white space
     don't count, and digits may be of any script. It is read exactly: as its digits without the zeros around them, and how many tens
-    they are to be multiplied by. An empty text is null as well; `amount_valid` tells the two apart.
+    they are to be multiplied by. An empty text is null as well; `amount_valid` tells the two apart. The plain form, up to twelve ASCII
+    digits and up to two decimals, is read by a cast, which is exact for it.
     """
-    plain = F.replace(trimmed(F.replace(c, F.lit(","), F.lit(""))), F.lit("_"), F.lit(""))
-    plain = F.lower(F.when(_ascii(plain), plain).otherwise(F.translate(plain, *_digits())))
-    number = F.when(matches(plain, r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?"), plain)
-    mantissa = F.ltrim(F.substring_index(number, "e", 1), F.lit("+-"))
-    whole = F.substring_index(mantissa, ".", 1)
-    part = F.when(F.contains(mantissa, F.lit(".")), F.substring_index(mantissa, ".", -1)).otherwise("")
+    plain = (c.try_cast("decimal(14,2)") * 100).cast("bigint")
+    nothing = F.lit(None).cast("bigint")
+    return F.when(c == "", nothing).when(matches(c, r"[0-9]{1,12}(?:\.[0-9]{1,2})?"), plain).otherwise(_let(c, _cents))
+
+
+def _cents(c: Column) -> Column:
+    """Of an amount in any form."""
+    bare = F.replace(trimmed(F.replace(c, F.lit(","), F.lit(""))), F.lit("_"), F.lit(""))
+    ascii_ = lambda t: F.lower(F.when(_ascii(t), t).otherwise(F.translate(t, *_digits())))
+    number = lambda t: F.when(matches(t, r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?"), t)
+    return _let(_let(_let(bare, ascii_), number), _cents_of_number)
+
+
+def _cents_of_number(number: Column) -> Column:
     exponent = F.when(F.contains(number, F.lit("e")), F.substring_index(number, "e", -1)).otherwise("0").try_cast("int")
-    digits = F.ltrim(F.concat(whole, part), F.lit("0"))
-    kept = F.rtrim(digits, F.lit("0"))
-    # cents are kept x 10 ** tens
-    tens = F.char_length(digits) - F.char_length(kept) - F.char_length(part) + exponent.cast("bigint") + 2
-    cents = F.when((tens >= 0) & (tens + F.char_length(kept) <= 15) & ~F.startswith(number, F.lit("-")), F.concat(kept, F.repeat(F.lit("0"), tens.cast("int"))).try_cast("bigint"))
-    return F.when(kept == "", F.lit(0).cast("bigint")).when(cents <= 100_000_000_000_000, cents)
+    negative = F.startswith(number, F.lit("-"))
+
+    def of_mantissa(mantissa: Column) -> Column:
+        whole = F.substring_index(mantissa, ".", 1)
+        part = F.when(F.contains(mantissa, F.lit(".")), F.substring_index(mantissa, ".", -1)).otherwise("")
+        digits = lambda part: _let(F.ltrim(F.concat(whole, part), F.lit("0")), lambda digits: of_digits(digits, F.char_length(part)))
+        return _let(part, digits)
+
+    def of_digits(digits: Column, decimals: Column) -> Column:
+        # cents are kept x 10 ** tens
+        of_kept = lambda kept: _let(F.char_length(digits) - F.char_length(kept) - decimals + exponent.cast("bigint") + 2, lambda tens: of_tens(kept, tens))
+        return _let(F.rtrim(digits, F.lit("0")), of_kept)
+
+    def of_tens(kept: Column, tens: Column) -> Column:
+        cents = F.when((tens >= 0) & (tens + F.char_length(kept) <= 15) & ~negative, F.concat(kept, F.repeat(F.lit("0"), tens.cast("int"))).try_cast("bigint"))
+        return F.when(kept == "", F.lit(0).cast("bigint")).otherwise(_let(cents, lambda cents: F.when(cents <= 100_000_000_000_000, cents)))
+
+    return _let(F.ltrim(F.substring_index(number, "e", 1), F.lit("+-")), of_mantissa)
 
 
 def unreadable(c: Column, cents: Column) -> Column:
     """Whether a text that isn't blank has no cents."""
-    return ~blank(c) & cents.isNull()
+    return cents.isNull() & ~blank(c)
 
 
 def amount_valid(c: Column) -> Column:
